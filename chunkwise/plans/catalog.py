@@ -41,6 +41,25 @@ def scratch(spark: SparkSession, sf_dir: str, what: str) -> str:
     return f"{base.rstrip('/')}/chunkwise-scratch/{tag}/{what}"
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table built once per session and data folder, cut from its lineage.
+
+    Stands for a stored table (the chunk store, the annotation file): later
+    queries read it instead of recomputing it.  ``checkpoint`` writes it to the
+    shared checkpoint folder, so executor loss does not lose it.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    df = _SHARED.get(key)
+    if df is None:
+        checkpoint_dir(spark)
+        df = build().checkpoint(eager=True)
+        _SHARED[key] = df
+    return df
+
+
 def load_all() -> None:
     """Import every query module (they register themselves)."""
     import importlib

@@ -10,7 +10,7 @@ from chunkwise.operators.categorize import assign_categories, ingest_summary
 from chunkwise.operators.chunk import chunk_documents
 from chunkwise.operators.embed import SQL_PRODUCT_TEXT, product_embedding_text
 from chunkwise.operators.stats import category_histogram, category_list, corpus_status
-from chunkwise.plans.catalog import register, scratch
+from chunkwise.plans.catalog import register, scratch, shared
 from chunkwise.sources import files
 from chunkwise.sources.tables import (
     SQL_ANN_DENSE,
@@ -29,16 +29,24 @@ from chunkwise.sources.tables import (
 
 
 def all_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold passage spans plus three arithmetic spans per document."""
-    return gold_annotations(spark, sf_dir).unionByName(dense_annotations(spark, sf_dir))
+    """Gold passage spans plus three arithmetic spans per document (the annotation file)."""
+    return shared(
+        spark, sf_dir, "annotations",
+        lambda: gold_annotations(spark, sf_dir).unionByName(dense_annotations(spark, sf_dir)),
+    )
 
 
 SQL_ALL_ANN = f"SELECT * FROM ({SQL_ANN_GOLD}) UNION ALL SELECT * FROM ({SQL_ANN_DENSE})"
 
 
 def categorized_chunks(spark: SparkSession, sf_dir: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    chunks = chunk_documents(corpus(spark, sf_dir), size, overlap)
-    return assign_categories(chunks, all_annotations(spark, sf_dir))
+    """The chunk store of the corpus: chunks with categories (built once per session)."""
+
+    def build() -> DataFrame:
+        chunks = chunk_documents(corpus(spark, sf_dir), size, overlap)
+        return assign_categories(chunks, all_annotations(spark, sf_dir))
+
+    return shared(spark, sf_dir, f"chunks_{size}_{overlap}", build)
 
 
 def sql_categorized_chunks(size: int = 1000, overlap: int = 200) -> dict[str, str]:

@@ -16,7 +16,7 @@ from chunkwise.operators.embed import (
 from chunkwise.operators.render import render_context
 from chunkwise.operators.resolve import resolve_categories, vocabulary
 from chunkwise.operators.search import knn_join, knn_lsh, search
-from chunkwise.plans.catalog import register
+from chunkwise.plans.catalog import register, shared
 from chunkwise.plans.q_ingest import categorized_chunks, sql_categorized_chunks
 from chunkwise.sources.tables import (
     SQL_PRODUCTS,
@@ -35,7 +35,8 @@ FILTER_CATEGORY = "L3"
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed(categorized_chunks(spark, sf_dir), "text")
+    """The chunk store with embeddings (built once per session)."""
+    return shared(spark, sf_dir, "chunks_embedded", lambda: embed(categorized_chunks(spark, sf_dir), "text"))
 
 
 def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
