@@ -12,6 +12,15 @@ plans      End-to-end pipelines (ingest, retrieval and answer evaluation).
 streaming  Incremental, replay-safe corpus ingestion.
 """
 
-from chunkwise.session import get_spark, checkpoint_dir  # noqa: F401
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package that run in Python workers (pandas UDFs,
+# mapInPandas / applyInPandas bodies) are shipped by value, so executors need
+# no installed copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from chunkwise.session import get_spark, checkpoint_dir  # noqa: E402,F401
 
 __version__ = "0.1.0"

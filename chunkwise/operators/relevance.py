@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from chunkwise.functions.text import WORD_PATTERN, normalize_ws, word_tokens
 from chunkwise.operators.categorize import overlapping_pairs
+from chunkwise.session import cut_lineage
 
 DEFAULT_THRESHOLD = 0.5
 CONF_OFFSET = 1.0
@@ -188,8 +189,10 @@ def label_relevance(
     ch = chunks.select(*cols).join(spans.select("document_name").distinct(), "document_name", "left_semi")
     if not has_offsets:
         ch = ch.withColumn("chunk_start", F.lit(None).cast("int")).withColumn("chunk_end", F.lit(None).cast("int"))
-    sp = spans.select("ann_id", "document_name", "start_char", "end_char", "text")
-    ct = chunk_token_counts(ch)
+    # reused by every candidate branch: computed once, lineage cut (shared checkpoint folder)
+    sp = cut_lineage(spans.select("ann_id", "document_name", "start_char", "end_char", "text"))
+    ch = cut_lineage(ch)
+    ct = cut_lineage(chunk_token_counts(ch))
     at = span_token_counts(sp)
     pairs = _candidates(sp, ch, at, ct, threshold, use_offsets)
     ratios = overlap_ratios(pairs, at, ct)

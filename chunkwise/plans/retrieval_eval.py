@@ -21,6 +21,7 @@ from chunkwise.operators.metrics import KEY_COMPAT, KEY_QUALIFIED, case_metrics,
 from chunkwise.operators.relevance import DEFAULT_THRESHOLD, label_relevance
 from chunkwise.operators.sampling import DEFAULT_LIMIT, DEFAULT_SEED, stratified_sample
 from chunkwise.operators.search import knn_join
+from chunkwise.session import cut_lineage
 
 CASE_PREFIX = 28
 
@@ -79,8 +80,8 @@ def retrieval_eval(
     embedder=None,
 ) -> RetrievalEval:
     """Lazy retrieval evaluation over ``spans`` (annotations) and ``chunks`` (with ``category``)."""
-    sample = stratified_sample(spans, limit_per_category, seed, categories)
-    labels = label_relevance(sample, chunks, threshold, use_offsets)
+    sample = cut_lineage(stratified_sample(spans, limit_per_category, seed, categories))
+    labels = cut_lineage(label_relevance(sample, chunks, threshold, use_offsets))
     cases = build_cases(sample, chunks, labels, k)
     ok = cases.filter(F.col("status") == "ok")
     queries = embed(ok.select("ann_id", "query", "category"), "query", "query_vec", embedder=embedder)
