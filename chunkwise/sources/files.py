@@ -193,9 +193,14 @@ QA_SCHEMA = (
 )
 
 
-def read_qa_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Nested QA JSON -> (title, qa_id, question, answer_text, answer_start) with declared schema."""
-    raw = spark.read.schema(QA_SCHEMA).option("multiLine", True).json(path)
+def read_qa_corpus(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Nested QA JSON -> (title, qa_id, question, answer_text, answer_start) with declared schema.
+
+    ``multiline=True`` reads one JSON document per file (the published layout;
+    a file is then parsed by one task); ``False`` reads one ``{"data": [...]}``
+    object per line, which splits across tasks.
+    """
+    raw = spark.read.schema(QA_SCHEMA).option("multiLine", multiline).json(path)
     return qa_rows(raw)
 
 

@@ -142,9 +142,6 @@ FROM part
 
 # -------------------------------------------------------------- vectors -----
 
-QUERY_ID_LIMIT = 20  # vectors with vec_id below this act as queries
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk-like vector rows: (vec_id, embedding, label, category ARRAY<STRING>)."""
     emb = table(spark, sf_dir, "embeddings")
@@ -157,8 +154,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector also acts as a query (searching within its own label)."""
     v = vectors(spark, sf_dir)
-    return v.filter(F.col("vec_id") < QUERY_ID_LIMIT).select(
+    return v.select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label",
         F.concat(F.lit("L"), F.col("label").cast("string")).alias("query_category"),
     )
@@ -166,8 +164,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_VECTORS = "SELECT vec_id, embedding, label, [concat('L', label), 'all'] AS category FROM embeddings"
 SQL_VECTOR_QUERIES = (
-    f"SELECT vec_id AS query_id, embedding AS query_vec, label, concat('L', label) AS query_category "
-    f"FROM embeddings WHERE vec_id < {QUERY_ID_LIMIT}"
+    "SELECT vec_id AS query_id, embedding AS query_vec, label, concat('L', label) AS query_category FROM embeddings"
 )
 
 
@@ -240,6 +237,9 @@ def sql_with(views: dict[str, str], body: str) -> str:
     if not views:
         return body
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in views.items())
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
