@@ -13,7 +13,8 @@ Semantics (size/overlap in "tokens", 4 characters each; C = 4*size, V = 4*overla
 
 The loop is a fold (``aggregate``) over a bounded ``sequence``: every step moves
 ``start`` forward by at least ``C//2 + 2 - V`` characters.  The "last delimiter
-in a window" is found by searching the reversed window, so no regex runs.
+in a window" is found by searching the reversed window.  Windows are read from
+fixed-width code-point blocks, so a step costs O(chunk size), not O(offset).
 """
 
 from __future__ import annotations
@@ -49,12 +50,21 @@ def chunk_geometry(size: int, overlap: int) -> tuple[int, int, int, int]:
     return c, v, half, progress
 
 
-def _last_delim_end(text: Column, win_start0: Column, win_len: int, delim: str) -> Column:
-    """Length up to and including the last ``delim`` fully inside the window (0 = none).
+def _piece(blocks: Column, width: int, start0: Column, length: Column) -> Column:
+    """``text[start0 : start0 + length]`` assembled from fixed-width code-point blocks.
 
-    ``win_start0`` is the 0-based window start; the window is cut at the text end.
+    Touches only the blocks the slice overlaps, so the cost does not grow with
+    the offset (``substring`` on the whole text walks from its start).
     """
-    window = F.substring(text, win_start0 + 1, F.lit(win_len))
+    first = F.floor(start0 / F.lit(width)).cast("int")
+    within = start0 - first * F.lit(width)
+    n_blocks = F.floor((within + length - F.lit(1)) / F.lit(width)).cast("int") + F.lit(1)
+    joined = F.array_join(F.slice(blocks, first + F.lit(1), F.greatest(n_blocks, F.lit(1))), "")
+    return F.substring(joined, within + F.lit(1), length)
+
+
+def _last_delim_end(window: Column, delim: str) -> Column:
+    """Length up to and including the last ``delim`` fully inside ``window`` (0 = none)."""
     pos = F.instr(F.reverse(window), delim[::-1])
     return F.when(pos > 0, F.length(window) - pos + 1).otherwise(F.lit(0))
 
@@ -63,52 +73,68 @@ def chunk_spans(text, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHU
     """ARRAY<STRUCT<text STRING, chunk_start INT, chunk_end INT>> of the chunks of ``text``.
 
     Blank chunks are already removed; the array position is the chunk ordinal.
+    The text is cut once into code-point blocks of ``C//2`` characters and its
+    length computed once (both bound as lambda variables); every step then
+    reads only the two or three blocks its window overlaps.
     """
     text = F.col(text) if isinstance(text, str) else text
     c, v, half, progress = chunk_geometry(size, overlap)
-    n = F.length(text)
-
-    def end_of(start: Column) -> Column:
-        hard = start + F.lit(c)
-        para = _last_delim_end(text, start + F.lit(half), c + PARAGRAPH_PAD - half, "\n\n")
-        sent = _last_delim_end(text, start + F.lit(half), c + SENTENCE_PAD - half, ". ")
-        return (
-            F.when(hard >= n, hard)
-            .when(para > 0, start + F.lit(half) + para)
-            .when(sent > 0, start + F.lit(half) + sent)
-            .otherwise(hard)
+    width = max(half, 1)
+    para_len = c + PARAGRAPH_PAD - half
+    sent_len = c + SENTENCE_PAD - half
+
+    def with_env(env: Column) -> Column:
+        blocks, n = env["blocks"], env["n"]
+
+        def end_of(start: Column) -> Column:
+            hard = start + F.lit(c)
+            lo = start + F.lit(half)
+            para = _last_delim_end(_piece(blocks, width, lo, F.lit(para_len)), "\n\n")
+            sent = _last_delim_end(_piece(blocks, width, lo, F.lit(sent_len)), ". ")
+            return (
+                F.when(hard >= n, hard)
+                .when(para > 0, lo + para)
+                .when(sent > 0, lo + sent)
+                .otherwise(hard)
+            )
+
+        def step(acc: Column, _i: Column) -> Column:
+            start = acc["s"]
+            # bind the computed end once (a one-element transform acts as a let)
+            advanced = F.transform(
+                F.array(end_of(start)),
+                lambda e: F.struct(
+                    (e - F.lit(v)).alias("s"),
+                    F.array_append(acc["spans"], F.struct(start.alias("s"), e.alias("e"))).alias("spans"),
+                ),
+            )[0]
+            return F.when(start < n, advanced).otherwise(acc)
+
+        init = F.struct(F.lit(0).alias("s"), F.array().cast(_SPAN_TYPE).alias("spans"))
+        steps = F.sequence(F.lit(0), (n / F.lit(progress)).cast("int") + F.lit(1))
+        folded = F.aggregate(steps, init, step)["spans"]
+        return F.filter(
+            F.transform(
+                folded,
+                lambda sp: F.struct(
+                    py_strip(_piece(blocks, width, sp["s"], sp["e"] - sp["s"])).alias("text"),
+                    sp["s"].alias("chunk_start"),
+                    sp["e"].alias("chunk_end"),
+                ),
+            ),
+            lambda ch: ch["text"] != F.lit(""),
         )
 
-    def step(acc: Column, _i: Column) -> Column:
-        start = acc["s"]
-        # bind the computed end once (a one-element transform acts as a let)
-        advanced = F.transform(
-            F.array(end_of(start)),
-            lambda e: F.struct(
-                (e - F.lit(v)).alias("s"),
-                F.array_append(acc["spans"], F.struct(start.alias("s"), e.alias("e"))).alias("spans"),
-            ),
-        )[0]
-        return F.when(start < n, advanced).otherwise(acc)
-
-    init = F.struct(F.lit(0).alias("s"), F.array().cast(_SPAN_TYPE).alias("spans"))
-    steps = F.sequence(F.lit(0), (n / F.lit(progress)).cast("int") + F.lit(1))
-    folded = F.aggregate(steps, init, step)["spans"]
-    long_chunks = F.filter(
-        F.transform(
-            folded,
-            lambda sp: F.struct(
-                py_strip(F.substring(text, sp["s"] + 1, sp["e"] - sp["s"])).alias("text"),
-                sp["s"].alias("chunk_start"),
-                sp["e"].alias("chunk_end"),
-            ),
-        ),
-        lambda ch: ch["text"] != F.lit(""),
+    env = F.struct(
+        F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % width), 0).alias("blocks"),
+        F.length(text).alias("n"),
     )
+    long_chunks = F.transform(F.array(env), with_env)[0]
+    n_all = F.length(text)
     short_chunk = F.array(
-        F.struct(text.alias("text"), F.lit(0).alias("chunk_start"), n.alias("chunk_end"))
+        F.struct(text.alias("text"), F.lit(0).alias("chunk_start"), n_all.alias("chunk_end"))
     )
-    return F.when(text.isNull(), F.lit(None)).when(n <= F.lit(c), short_chunk).otherwise(long_chunks)
+    return F.when(text.isNull(), F.lit(None)).when(n_all <= F.lit(c), short_chunk).otherwise(long_chunks)
 
 
 def estimate_page(offset) -> Column:

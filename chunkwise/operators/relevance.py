@@ -118,8 +118,7 @@ def _candidates(spans: DataFrame, chunks: DataFrame, at: DataFrame, ct: DataFram
         .filter(F.col("m.df_v") > 0)
         .select("ann_id", "document_name", F.col("m.tok").alias("tok"))
     )
-    probes = probes3.unionByName(rarest).distinct()
-    parts.append(probes.join(ct.select("document_name", "tok", "chunk_id"), ["document_name", "tok"]).select(*key))
+    probe_list = [probes3, rarest]
 
     # signal 2, edge-only spans: first token inside some vocabulary token of the document
     edge = shaped.filter((F.col("n_inner") <= 0) & (F.size("toks") > 0)).select(
@@ -136,10 +135,10 @@ def _candidates(spans: DataFrame, chunks: DataFrame, at: DataFrame, ct: DataFram
         ).alias("g"),
     ).distinct()
     hit_toks = edge.join(grams, ["document_name", "g"]).filter(F.instr(F.col("tok"), F.col("t1")) > 0)
-    parts.append(
-        hit_toks.select("ann_id", "document_name", "tok").join(ct.select("document_name", "tok", "chunk_id"),
-                                                                ["document_name", "tok"]).select(*key)
-    )
+    probe_list.append(hit_toks.select("ann_id", "document_name", "tok"))
+    probes = probe_list[0].unionByName(probe_list[1]).unionByName(probe_list[2]).distinct()
+    # one probe of the (document, token) -> chunk index for signals 2 and 3
+    parts.append(probes.join(ct.select("document_name", "tok", "chunk_id"), ["document_name", "tok"]).select(*key))
 
     # signal 2, chunk inside span: only chunks no longer than the longest span can qualify
     max_len = spans.agg(F.max(F.length("text"))).first()[0] or 0

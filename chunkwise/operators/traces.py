@@ -3,9 +3,9 @@
 Parts of one run, in order: a call records (tool, args, call id); a return
 with a known call id fills that call; a return without one (or with an
 unknown id) fills the most recent call of the same tool that has no result
-yet.  That rule is stateful within a run, so pairing runs per run in
-``applyInPandas`` (a run is one agent conversation: a small, bounded group);
-runs are spread over tasks by Spark.
+yet.  That rule is stateful within a run, so parts are hash-partitioned by run, sorted by
+(run, seq) inside each partition, and paired in one Python pass per partition
+(``mapInPandas``); only one run's parts are held at a time.
 """
 
 from __future__ import annotations
@@ -36,43 +36,65 @@ def parse_args(raw) -> tuple[str, str]:
         return json.dumps({"raw": raw}), "raw"
 
 
-def _pair_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
+_PAIR_COLS = ["run_id", "call_seq", "tool_name", "tool_call_id", "args_json", "args_kind", "result", "return_seq"]
+
+
+def _pair_parts(rows) -> list[dict]:
+    """Pair the parts of one run (rows sorted by seq)."""
     calls: list[dict] = []
     by_id: dict[str, dict] = {}
-    for row in pdf.itertuples(index=False):
-        if row.part_kind == "tool-call":
-            args, kind = parse_args(row.args)
-            call = {"run_id": row.run_id, "call_seq": row.seq, "tool_name": row.tool_name,
-                    "tool_call_id": row.tool_call_id, "args_json": args, "args_kind": kind,
-                    "result": None, "return_seq": None}
+    for run_id, seq, kind, tool, call_id, args, content in rows:
+        if kind == "tool-call":
+            args_json, args_kind = parse_args(args)
+            call = {"run_id": run_id, "call_seq": seq, "tool_name": tool, "tool_call_id": call_id,
+                    "args_json": args_json, "args_kind": args_kind, "result": None, "return_seq": None}
             calls.append(call)
-            if row.tool_call_id:
-                by_id[row.tool_call_id] = call
-        elif row.part_kind == "tool-return":
-            cid = row.tool_call_id
-            if cid and cid in by_id:
-                by_id[cid]["result"] = row.content
-                by_id[cid]["return_seq"] = row.seq
+            if call_id:
+                by_id[call_id] = call
+        elif kind == "tool-return":
+            if call_id and call_id in by_id:
+                target = by_id[call_id]
             else:
-                for call in reversed(calls):
-                    if call["tool_name"] == row.tool_name and call["result"] is None:
-                        call["result"] = row.content
-                        call["return_seq"] = row.seq
-                        break
-    cols = ["run_id", "call_seq", "tool_name", "tool_call_id", "args_json", "args_kind", "result", "return_seq"]
-    out = pd.DataFrame(calls, columns=cols)
-    return out.astype({"return_seq": "Int64"}) if len(out) else out
+                target = next((c for c in reversed(calls) if c["tool_name"] == tool and c["result"] is None), None)
+            if target is not None:
+                target["result"] = content
+                target["return_seq"] = seq
+    return calls
+
+
+def _pair_stream(batches):
+    """Runs arrive contiguous and seq-ordered; a run may straddle Arrow batches."""
+    pending: list = []
+    current = None
+    out: list[dict] = []
+    cols = ["run_id", "seq", "part_kind", "tool_name", "tool_call_id", "args", "content"]
+    for pdf in batches:
+        for row in zip(*[pdf[c].tolist() for c in cols]):
+            if row[0] != current and pending:
+                out.extend(_pair_parts(pending))
+                pending = []
+            current = row[0]
+            pending.append(row)
+        if out:
+            yield pd.DataFrame(out, columns=_PAIR_COLS).astype({"return_seq": "Int64"})
+            out = []
+    if pending:
+        out.extend(_pair_parts(pending))
+    if out:
+        yield pd.DataFrame(out, columns=_PAIR_COLS).astype({"return_seq": "Int64"})
 
 
 def pair_tool_calls(parts: DataFrame) -> DataFrame:
     """One row per tool call with its result (NULL when no return matched).
 
     ``parts``: (run_id, seq, part_kind 'tool-call'|'tool-return', tool_name,
-    tool_call_id, args, content).
+    tool_call_id, args, content).  Parts are hash-partitioned by run and
+    sorted by (run, seq) inside partitions; one Python pass per partition
+    pairs them run by run (no per-group pandas frames).
     """
     cols = parts.select("run_id", "seq", "part_kind", "tool_name", "tool_call_id", "args", "content")
-    return cols.groupBy("run_id").applyInPandas(_pair_run, PAIR_SCHEMA)
+    ordered = cols.repartition("run_id").sortWithinPartitions("run_id", "seq")
+    return ordered.mapInPandas(_pair_stream, PAIR_SCHEMA)
 
 
 def retrieved_context(pairs: DataFrame, tool: str = "retrieve_contracts") -> DataFrame:

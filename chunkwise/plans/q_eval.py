@@ -19,13 +19,20 @@ LIMIT = 50
 SMOKE_CATEGORIES = ["Cat 2", "en", "src3", "Cat 5", "no such category"]
 
 
+_EVALS: dict = {}
+
+
 def evaluation(spark: SparkSession, sf_dir: str):
+    """The retrieval evaluation of a data folder; its sample and labels are built once per session."""
     from chunkwise.plans.q_search import embedded_chunks
 
-    return retrieval_eval(
-        all_annotations(spark, sf_dir), categorized_chunks(spark, sf_dir), k=K, limit_per_category=LIMIT,
-        embedded_chunks=embedded_chunks(spark, sf_dir),
-    )
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EVALS:
+        _EVALS[key] = retrieval_eval(
+            all_annotations(spark, sf_dir), categorized_chunks(spark, sf_dir), k=K, limit_per_category=LIMIT,
+            embedded_chunks=embedded_chunks(spark, sf_dir),
+        )
+    return _EVALS[key]
 
 
 def sql_eval_ctes() -> dict[str, str]:
