@@ -6,7 +6,9 @@ an embedding service) runs as an Arrow-batched pandas UDF, one call per batch.
 
 The default offline embedder is a hashed bag of words: word tokens (lower
 case, ``[\\p{L}\\p{N}_]+``) are hashed with ``md5`` to a bucket in ``[0, dim)``
-natively in the JVM; the per-row bucket counts are L2-normalised in numpy.
+and the bucket counts L2-normalised -- inside one Arrow batch, hashing each
+distinct token once.  ``token_buckets`` is the same tokenisation and hashing as
+JVM expressions (and ``sql_hashed_long`` in SQL).
 """
 
 from __future__ import annotations
@@ -50,8 +52,46 @@ def _normalised_counts(dim: int):
     return counts_to_vec
 
 
+def _hashed_text_udf(dim: int):
+    """Arrow-batched embedder: tokenise, hash each distinct token once, count, L2-normalise.
+
+    Same result as ``_normalised_counts(token_buckets(text))``: tokens are the
+    lower-cased ``[\\p{L}\\p{N}_]+`` runs and a token's bucket is the first 8 hex
+    digits of its md5, modulo ``dim``.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed_texts(texts: pd.Series) -> pd.Series:
+        import hashlib
+
+        import regex
+
+        pattern = regex.compile(r"[\p{L}\p{N}_]+")
+        cache: dict[str, int] = {}
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            idx = []
+            for tok in pattern.findall(t.lower()):
+                b = cache.get(tok)
+                if b is None:
+                    b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+                    cache[tok] = b
+                idx.append(b)
+            c = np.bincount(np.asarray(idx, dtype=np.int64), minlength=dim).astype(np.float64)
+            norm = np.sqrt((c * c).sum())
+            v = c / norm if norm > 0 else c
+            out.append(v.astype(np.float32))
+        return pd.Series(out)
+
+    return embed_texts
+
+
 def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
-    return _normalised_counts(dim)(token_buckets(text, dim))
+    text = F.col(text) if isinstance(text, str) else text
+    return _hashed_text_udf(dim)(text)
 
 
 def embed(

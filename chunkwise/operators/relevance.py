@@ -24,8 +24,10 @@ Candidate pairs come from
   with their first token;
 * signal 2, chunk inside span: chunks no longer than the longest span.
 
-Spans whose normalised text has no word character at all (punctuation only)
-are compared with every chunk of their document: no token can narrow them.
+* signal 2, spans without any word character (punctuation only): such a span
+  lies inside a non-word run of the chunk, so its first character probes an
+  index of each chunk's distinct non-word characters.
+
 Every candidate is then verified exactly.
 """
 
@@ -34,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwise.functions.text import WORD_PATTERN, normalize_ws, word_tokens
+from chunkwise.functions.text import WORD_PATTERN, WS_CLASS, normalize_ws, word_tokens
 from chunkwise.operators.categorize import overlapping_pairs
 from chunkwise.session import cut_lineage
 
@@ -151,9 +153,18 @@ def _candidates(spans: DataFrame, chunks: DataFrame, at: DataFrame, ct: DataFram
         .select(*key)
     )
 
-    # spans without any word character: nothing narrows them
-    bare = shaped.filter((F.size("toks") == 0) & (F.col("an") != "")).select("ann_id", "document_name")
-    parts.append(bare.join(chunks.select("document_name", "chunk_id"), "document_name").select(*key))
+    # spans without any word character lie inside a non-word run of the chunk:
+    # probe an index of each chunk's distinct non-word characters with their first character
+    bare = shaped.filter((F.size("toks") == 0) & (F.col("an") != "")).select(
+        "ann_id", "document_name", F.substring("an", 1, 1).alias("ch")
+    )
+    symbols = chunks.join(bare.select("document_name").distinct(), "document_name", "left_semi").select(
+        "document_name", "chunk_id",
+        F.explode(F.array_distinct(F.regexp_extract_all(
+            F.regexp_replace(F.lower("text"), "[\\p{L}\\p{N}_]|" + WS_CLASS, ""), F.lit("(?s)."), 0
+        ))).alias("ch"),
+    )
+    parts.append(bare.join(symbols, ["document_name", "ch"]).select(*key))
 
     if use_offsets:
         parts.append(

@@ -12,10 +12,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Broadcast only below this many bytes (estimated); above it the shuffle path runs.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "chunkwise") -> SparkSession:
     """Local/test session with AQE on and the UI off."""
     builder = (
@@ -61,33 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a plan, or None when unknown."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - depends on JVM internals being reachable
-        return None
-
-
-def fits_broadcast(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """True when the side is provably small enough to broadcast.
-
-    The optimizer estimate is used when it is below the limit; otherwise the
-    side is measured with one aggregate job (sum of serialized column sizes),
-    so the decision never rests on a guess.
-    """
-    est = estimated_bytes(df)
-    if est is not None and est <= limit_bytes:
-        return True
-    from pyspark.sql import functions as F
-
-    exprs = []
-    for field in df.schema.fields:
-        exprs.append(F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0)))
-    if not exprs:
-        return True
-    total = df.select(sum(exprs, F.lit(0)).alias("b")).agg(F.sum("b").alias("b")).first()["b"] or 0
-    return int(total) <= limit_bytes
