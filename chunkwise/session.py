@@ -12,6 +12,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "chunkwise") -> SparkSession:
     """Local/test session with AQE on and the UI off."""
     builder = (
