@@ -57,8 +57,9 @@ def q_token_estimate_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     "token_estimate_total",
     sql_with(
         {"products": SQL_PRODUCTS, "corpus": SQL_CORPUS, "d": SQL_DETAILS},
-        """SELECT coalesce(source, 'TOTAL') AS source, count(*) AS items, sum(estimated_chunks) AS embedding_calls,
-                  sum(embedding_tokens) AS total_tokens, round(sum(embedding_tokens) / 1000000.0 * 0.02, 8) AS estimated_cost_usd
+        """SELECT coalesce(source, 'TOTAL') AS source, count(*) AS items,
+                  CAST(sum(estimated_chunks) AS BIGINT) AS embedding_calls, CAST(sum(embedding_tokens) AS BIGINT) AS total_tokens,
+                  round(sum(embedding_tokens) / 1000000.0 * 0.02, 8) AS estimated_cost_usd
            FROM d GROUP BY ROLLUP (source)""",
     ),
 )

@@ -55,6 +55,18 @@ def norm_value(v):
     return v
 
 
+def spark_kind(dt) -> str:
+    name = dt.simpleString()
+    return {"int": "int32", "bigint": "int64", "smallint": "int16", "tinyint": "int8", "double": "float64",
+            "float": "float32", "string": "string", "boolean": "bool"}.get(name, name.split("(")[0])
+
+
+def duck_kind(t: str) -> str:
+    t = t.upper()
+    return {"INTEGER": "int32", "BIGINT": "int64", "SMALLINT": "int16", "TINYINT": "int8", "DOUBLE": "float64",
+            "FLOAT": "float32", "VARCHAR": "string", "BOOLEAN": "bool", "HUGEINT": "int128"}.get(t, t.split("(")[0].lower())
+
+
 def rows_key(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm_value(r[i]) for i in order) for r in rows]
@@ -78,6 +90,11 @@ def check(spark, name, fn, sql, sf_dir, con):
     if sorted(scols) != sorted(dcols):
         res.update(status="COLUMNS", spark_cols=scols, duck_cols=dcols)
         return res
+    skinds = {f.name: spark_kind(f.dataType) for f in sdf.schema.fields}
+    dkinds = {d[0]: duck_kind(str(d[1])) for d in cur.description}
+    diff = {c: (skinds[c], dkinds[c]) for c in scols if skinds[c] != dkinds[c]}
+    if diff:
+        res["type_diff"] = diff
     a, b = rows_key(scols, srows), rows_key(dcols, drows)
     if a == b:
         res["status"] = "ok"
