@@ -8,8 +8,6 @@ re-run or a replayed streaming batch appends nothing.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,9 +100,9 @@ def migrate_down(table: DataFrame) -> DataFrame:
 
 
 def table_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Which stored tables exist and which columns they have (schema probe)."""
+    """Schema probe: which stored tables exist and which columns they have."""
     rows = []
     for name, path in paths.items():
-        df = read_store(spark, path) if os.path.exists(path.replace("file:", "")) or "://" in path else None
+        df = read_store(spark, path)
         rows.append((name, df is not None, ",".join(df.columns) if df is not None else None))
     return spark.createDataFrame(rows, "table string, exists boolean, columns string")

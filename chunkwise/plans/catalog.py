@@ -51,7 +51,7 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     queries read it instead of recomputing it.  ``checkpoint`` writes it to the
     shared checkpoint folder, so executor loss does not lose it.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), name)
     df = _SHARED.get(key)
     if df is None:
         checkpoint_dir(spark)

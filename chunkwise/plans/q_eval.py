@@ -26,7 +26,7 @@ def evaluation(spark: SparkSession, sf_dir: str):
     """The retrieval evaluation of a data folder; its sample and labels are built once per session."""
     from chunkwise.plans.q_search import embedded_chunks
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _EVALS:
         _EVALS[key] = retrieval_eval(
             all_annotations(spark, sf_dir), categorized_chunks(spark, sf_dir), k=K, limit_per_category=LIMIT,

@@ -219,3 +219,12 @@ def q_corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform("top_categories", lambda s: F.concat(s["category"], F.lit(":"), s["count"].cast("string"))), ","
         ).alias("top_categories"),
     )
+
+
+@register("annotation_roundtrip", sql_with({"ann": SQL_ALL_ANN}, "SELECT document_name, category, start_char, end_char, text FROM ann"))
+def q_annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + S3: spans written as per-document annotation JSON and read back."""
+    path = scratch(spark, sf_dir, "annotations_json")
+    files.write_annotations(all_annotations(spark, sf_dir), path)
+    back = files.read_annotation_lines(spark, path)
+    return back.select("document_name", "category", "start_char", "end_char", "text")

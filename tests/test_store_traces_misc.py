@@ -150,3 +150,29 @@ def test_stream_replay_is_idempotent(spark):
         lambda d: __import__("chunkwise.operators.chunk", fromlist=["x"]).chunk_documents(d)).count()
     assert ingest_batch(docs, None, store) == 0  # a replayed batch appends nothing
     assert spark.read.parquet(store).count() == n
+
+
+def test_snapshot_sink_and_status(spark):
+    from chunkwise.operators.store import table_status
+
+    base = tempfile.mkdtemp(prefix="snap-")
+    df = spark.createDataFrame([("ALL", 0.5)], "category string, recall double")
+    assert files.save_snapshot(df, base, "retrieval", "2026-01-01_10-00")
+    back = spark.read.json(f"{base}/mode=retrieval/ts=2026-01-01_10-00").first()
+    assert back.recall == 0.5
+    df.write.parquet(f"{base}/store")
+    st = {r.table: (r.exists, r.columns) for r in table_status(spark, {"store": f"{base}/store",
+                                                                      "missing": f"{base}/nope"}).collect()}
+    assert st == {"store": (True, "category,recall"), "missing": (False, None)}
+
+
+def test_annotation_sink_round_trip(spark):
+    base = tempfile.mkdtemp(prefix="ann-")
+    spans = spark.createDataFrame(
+        [("a.txt", "C1", 5, 9, "abcd"), ("a.txt", "C2", 0, 3, "xyz"), ("b.txt", "C1", 1, 2, "")],
+        "document_name string, category string, start_char int, end_char int, text string",
+    )
+    files.write_annotations(spans, base + "/out")
+    back = sorted(tuple(r) for r in files.read_annotation_lines(spark, base + "/out")
+                  .select("document_name", "category", "start_char", "end_char", "text").collect())
+    assert back == sorted(tuple(r) for r in spans.collect())
