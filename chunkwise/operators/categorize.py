@@ -38,12 +38,17 @@ def overlapping_pairs(
         "document_name", "chunk_id", "chunk_start", "chunk_end",
         F.explode(_bucket_range(F.col("chunk_start"), F.col("chunk_end"), bucket)).alias("b"),
     )
-    an = annotations.select(
+    # a span can only meet chunks of its own document: bound its bucket range by that
+    # document's chunk extent (one row per document), so an oversized span cannot explode
+    extent = chunks.groupBy("document_name").agg(F.max(F.greatest("chunk_end", "chunk_start")).alias("doc_end"))
+    bounded = annotations.join(extent, "document_name", "inner")
+    hi = F.least(F.col("end_char"), F.col("doc_end") + F.lit(1))
+    an = bounded.select(
         F.col("document_name").alias("a_doc"),
         F.col("start_char").alias("a_start"),
         F.col("end_char").alias("a_end"),
         *[F.col(c) for c in ann_cols],
-        F.explode(_bucket_range(F.col("start_char"), F.col("end_char"), bucket)).alias("a_b"),
+        F.explode(_bucket_range(F.least(F.col("start_char"), F.col("doc_end")), hi, bucket)).alias("a_b"),
     )
     joined = ck.join(
         an,

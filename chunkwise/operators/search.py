@@ -5,9 +5,10 @@
   per-partition top-k followed by a k-row merge (``TakeOrderedAndProject``).
 * ``knn_join``: a table of queries against a table of vectors -> k nearest per
   query.  The corpus is streamed once through ``mapInPandas``; each task scores
-  its batch against the (size-bounded, broadcast) query block with one matrix
-  product, keeps k candidates per query, and a final ``row_number() <= k``
-  (partial top-k before the shuffle) merges them.  Query blocks larger than
+  its batches against the (size-bounded, broadcast) query block with one matrix
+  product, keeps a running top-k per query across its batches and emits k rows
+  per query per partition; a final ``row_number() <= k`` (partial top-k before
+  the shuffle) merges them.  Query blocks larger than
   the broadcast bound are split and processed as several passes, so the
   result stays exact for any number of queries.
 
@@ -78,17 +79,24 @@ def _bounded_blocks(df: DataFrame, bytes_expr: Column, limit: int, key: str) ->
 
 
 def _knn_scan(bvar, key_cols, vec_col, cat_col, payload, k, with_category):
+    """Per partition: running top-k per query over all Arrow batches, emitted once at the end."""
+
     def scan(batches):
         qids, qmat, qcats = bvar.value
-        qmat = np.asarray(qmat, dtype=np.float64) if len(qids) else np.zeros((0, 0))
-        qnorm = (qmat * qmat).sum(axis=1) if len(qids) else None
-        dim = qmat.shape[1] if len(qids) else 0
+        if len(qids) == 0:
+            return
+        qmat = np.asarray(qmat, dtype=np.float64)
+        qnorm = (qmat * qmat).sum(axis=1)
+        dim = qmat.shape[1]
         cat_groups: dict = {}
         if with_category:
             for j, c in enumerate(qcats):
                 cat_groups.setdefault(c if c else None, []).append(j)
+        # per query: list of (rounded distance, key tuple, exact distance, payload row)
+        best: list[list] = [[] for _ in qids]
+        cols = list(key_cols) + list(payload)
         for pdf in batches:
-            if len(qids) == 0 or len(pdf) == 0:
+            if len(pdf) == 0:
                 continue
             vecs = pdf[vec_col].tolist()
             ok = np.array([v is not None and len(v) == dim for v in vecs], dtype=bool)
@@ -101,37 +109,33 @@ def _knn_scan(bvar, key_cols, vec_col, cat_col, payload, k, with_category):
             d2 = xnorm[:, None] + qnorm[None, :] - 2.0 * (x @ qmat.T)  # rows x queries
             if with_category:
                 cats = sub[cat_col].tolist()
-                for c, cols in cat_groups.items():
+                for c, qcols in cat_groups.items():
                     if c is None:
                         continue
                     mask = np.array([cs is not None and c in list(cs) for cs in cats], dtype=bool)
-                    d2[np.ix_(~mask, cols)] = np.inf
-            keys_frame = sub[list(key_cols)]
-            order_keys = list(zip(*[keys_frame[c].tolist() for c in key_cols]))
-            out = []
-            kk = min(k, len(sub))
-            tol_base = 1e-6 * (xnorm.max() + qnorm.max() + 1.0)
+                    d2[np.ix_(~mask, qcols)] = np.inf
+            values = list(zip(*[sub[c].tolist() for c in cols])) if cols else [()] * len(sub)
+            nk = len(key_cols)
+            tol = 1e-6 * (xnorm.max() + qnorm.max() + 1.0)
             for j in range(len(qids)):
                 col = d2[:, j]
                 finite = np.isfinite(col)
-                if not finite.any():
+                m = int(finite.sum())
+                if m == 0:
                     continue
-                kth = np.partition(col[finite], min(kk, finite.sum()) - 1)[min(kk, finite.sum()) - 1]
-                cand = np.nonzero(finite & (col <= kth + tol_base))[0]
+                kk = min(k, m)
+                kth = np.partition(col[finite], kk - 1)[kk - 1]
+                cand = np.nonzero(finite & (col <= kth + tol))[0]
                 diff = x[cand] - qmat[j][None, :]
                 exact = np.sqrt((diff * diff).sum(axis=1))
-                ranked = sorted(
-                    zip(np.round(exact, RANK_DECIMALS).tolist(), [order_keys[i] for i in cand], cand.tolist(), exact.tolist())
-                )[:k]
-                for _r, _kv, i, dist in ranked:
-                    out.append((qids[j], i, dist))
-            if not out:
-                continue
-            rows = sub.iloc[[i for _, i, _ in out]].reset_index(drop=True)
-            res = rows[list(key_cols) + list(payload)].copy()
-            res.insert(0, "query_id", [q for q, _, _ in out])
-            res["distance"] = [d for _, _, d in out]
-            yield res
+                merged = best[j] + [
+                    (round(float(e), RANK_DECIMALS), values[i][:nk], float(e), values[i]) for e, i in zip(exact, cand)
+                ]
+                merged.sort(key=lambda t: (t[0], t[1]))
+                best[j] = merged[:k]
+        rows = [(qids[j],) + item[3] + (item[2],) for j in range(len(qids)) for item in best[j]]
+        if rows:
+            yield pd.DataFrame(rows, columns=["query_id"] + cols + ["distance"])
 
     return scan
 
