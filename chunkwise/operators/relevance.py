@@ -15,11 +15,11 @@ Candidate pairs come from
 * signal 1: the bucketed interval join of ``categorize.overlapping_pairs``;
 * signal 3: prefix filtering -- a chunk reaching the threshold must contain
   one of the span's first ``|A| - tau + 1`` token occurrences in any fixed
-  order, so only those tokens (rarest first within the document) probe the
-  (document, token) -> chunk index;
+  order, so only those tokens (longest first: longer tokens are rarer) probe
+  the (document, token) -> chunk index;
 * signal 2, span inside chunk: a token of the span that is bounded by
   non-word characters inside the normalised span is a whole token of every
-  chunk containing it -- the rarest such token probes the index; spans with
+  chunk containing it -- the longest such token probes the index; spans with
   only edge tokens probe a character-gram index of the document vocabulary
   with their first token;
 * signal 2, chunk inside span: chunks no longer than the longest span.
@@ -28,7 +28,8 @@ Candidate pairs come from
   lies inside a non-word run of the chunk, so its first character probes an
   index of each chunk's distinct non-word characters.
 
-Every candidate is then verified exactly.
+Every candidate is then verified exactly; the ratio is computed per candidate
+pair from the two token arrays.
 """
 
 from __future__ import annotations
@@ -45,62 +46,40 @@ CONF_OFFSET = 1.0
 CONF_CONTAINS = 0.95
 
 
-def chunk_token_counts(chunks: DataFrame) -> DataFrame:
-    """(document_name, chunk_id, tok, c_cnt)."""
-    return (
-        chunks.select("document_name", "chunk_id", F.explode(word_tokens("text")).alias("tok"))
-        .groupBy("document_name", "chunk_id", "tok")
-        .agg(F.count("*").alias("c_cnt"))
+def multiset_overlap(a_toks: Column, c_toks: Column) -> Column:
+    """sum over distinct tokens t of span of min(count of t in span, count of t in chunk)."""
+    return F.aggregate(
+        F.array_distinct(a_toks),
+        F.lit(0).cast("long"),
+        lambda acc, t: acc + F.least(
+            F.size(F.filter(a_toks, lambda x: x == t)), F.size(F.filter(c_toks, lambda x: x == t))
+        ).cast("long"),
     )
 
 
-def span_token_counts(spans: DataFrame) -> DataFrame:
-    """(ann_id, document_name, tok, a_cnt)."""
-    return (
-        spans.select("ann_id", "document_name", F.explode(word_tokens("text")).alias("tok"))
-        .groupBy("ann_id", "document_name", "tok")
-        .agg(F.count("*").alias("a_cnt"))
-    )
-
+def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offsets: bool) -> DataFrame:
+    """Candidate (ann_id, document_name, chunk_id) pairs; a superset of the relevant pairs.
 
-def overlap_ratios(pairs: DataFrame, at: DataFrame, ct: DataFrame) -> DataFrame:
-    """(ann_id, document_name, chunk_id, inter, ann_total, ratio) for the given pairs."""
-    totals = at.groupBy("ann_id").agg(F.sum("a_cnt").alias("ann_total"))
-    inter = (
-        pairs.join(at.drop("document_name"), "ann_id")
-        .join(ct, ["document_name", "chunk_id", "tok"])
-        .groupBy("ann_id", "document_name", "chunk_id")
-        .agg(F.sum(F.least("a_cnt", "c_cnt")).alias("inter"))
-    )
-    out = pairs.join(inter, ["ann_id", "document_name", "chunk_id"], "left").join(totals, "ann_id", "left")
-    inter_c = F.coalesce(F.col("inter"), F.lit(0)).cast("long")
-    total_c = F.coalesce(F.col("ann_total"), F.lit(0)).cast("long")
-    return out.select(
-        "ann_id", "document_name", "chunk_id", inter_c.alias("inter"), total_c.alias("ann_total"),
-        F.when(total_c > 0, inter_c / total_c).otherwise(F.lit(0.0)).alias("ratio"),
-    )
-
-
-def _candidates(spans: DataFrame, chunks: DataFrame, at: DataFrame, ct: DataFrame, threshold: float,
-                use_offsets: bool) -> DataFrame:
+    ``spans`` carries ``atoks`` and ``chunks`` carries ``ctoks`` (token arrays).
+    """
     parts = []
     key = ["ann_id", "document_name", "chunk_id"]
-    # document frequency of each token among the chunks of its document
-    dfreq = ct.groupBy("document_name", "tok").agg(F.count("*").alias("df"))
+    index = chunks.select("document_name", "chunk_id", F.explode(F.array_distinct("ctoks")).alias("tok"))
 
-    # signal 3: prefix probes
+    # signal 3: prefix probes.  Token occurrences ordered longest first (longer tokens
+    # are rarer); a chunk reaching the threshold holds one of the first |A| - tau + 1.
+    counts = spans.select("ann_id", "document_name", F.explode("atoks").alias("tok")).groupBy(
+        "ann_id", "document_name", "tok"
+    ).agg(F.count("*").alias("a_cnt"))
     w_ann = Window.partitionBy("ann_id")
-    w_ord = w_ann.orderBy(F.col("df_v").asc(), F.col("tok").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = at.join(dfreq, ["document_name", "tok"], "left").withColumn("df_v", F.coalesce("df", F.lit(0)))
-    ranked = ranked.withColumn("total", F.sum("a_cnt").over(w_ann)).withColumn(
+    w_ord = w_ann.orderBy(F.length("tok").desc(), F.col("tok").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("total", F.sum("a_cnt").over(w_ann)).withColumn(
         "before", F.coalesce(F.sum("a_cnt").over(w_ord), F.lit(0))
     )
     tau = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(threshold))) - F.lit(1))
-    probes3 = ranked.filter((F.col("before") < F.col("total") - tau + F.lit(1)) & (F.col("df_v") > 0)).select(
-        "ann_id", "document_name", "tok"
-    )
+    probes3 = ranked.filter(F.col("before") < F.col("total") - tau + F.lit(1)).select("ann_id", "document_name", "tok")
 
-    # signal 2 (span inside chunk): rarest interior token of the normalised span
+    # signal 2 (span inside chunk): the longest interior token of the normalised span
     norm = spans.select("ann_id", "document_name", normalize_ws("text").alias("an"))
     toks = F.regexp_extract_all(F.col("an"), F.lit(WORD_PATTERN), 0)
     sw = F.col("an").rlike("^" + WORD_PATTERN).cast("int")
@@ -110,24 +89,22 @@ def _candidates(spans: DataFrame, chunks: DataFrame, at: DataFrame, ct: DataFram
     ).withColumn("n_inner", F.size("toks") - F.col("sw") - F.col("ew"))
     inner = shaped.filter(F.col("n_inner") > 0).select(
         "ann_id", "document_name",
-        F.explode(F.slice("toks", F.col("sw") + F.lit(1), F.col("n_inner"))).alias("tok"),
+        F.aggregate(
+            F.slice("toks", F.col("sw") + F.lit(1), F.col("n_inner")), F.lit(""),
+            lambda best, t: F.when(
+                (F.length(t) > F.length(best)) | ((F.length(t) == F.length(best)) & (t < best)), t
+            ).otherwise(best),
+        ).alias("tok"),
     )
-    rarest = (
-        inner.join(dfreq, ["document_name", "tok"], "left")
-        .withColumn("df_v", F.coalesce("df", F.lit(0)))
-        .groupBy("ann_id", "document_name")
-        .agg(F.min(F.struct("df_v", "tok")).alias("m"))
-        .filter(F.col("m.df_v") > 0)
-        .select("ann_id", "document_name", F.col("m.tok").alias("tok"))
-    )
-    probe_list = [probes3, rarest]
 
     # signal 2, edge-only spans: first token inside some vocabulary token of the document
     edge = shaped.filter((F.col("n_inner") <= 0) & (F.size("toks") > 0)).select(
         "ann_id", "document_name", F.col("toks")[0].alias("t1")
     )
     edge = edge.withColumn("g", F.substring("t1", 1, F.least(F.length("t1"), F.lit(3))))
-    vocab = dfreq.select("document_name", "tok").join(edge.select("document_name").distinct(), "document_name", "left_semi")
+    vocab = index.select("document_name", "tok").join(
+        edge.select("document_name").distinct(), "document_name", "left_semi"
+    ).distinct()
     grams = vocab.select(
         "document_name", "tok",
         F.explode(
@@ -137,10 +114,10 @@ def _candidates(spans: DataFrame, chunks: DataFrame, at: DataFrame, ct: DataFram
         ).alias("g"),
     ).distinct()
     hit_toks = edge.join(grams, ["document_name", "g"]).filter(F.instr(F.col("tok"), F.col("t1")) > 0)
-    probe_list.append(hit_toks.select("ann_id", "document_name", "tok"))
-    probes = probe_list[0].unionByName(probe_list[1]).unionByName(probe_list[2]).distinct()
+
+    probes = probes3.unionByName(inner).unionByName(hit_toks.select("ann_id", "document_name", "tok")).distinct()
     # one probe of the (document, token) -> chunk index for signals 2 and 3
-    parts.append(probes.join(ct.select("document_name", "tok", "chunk_id"), ["document_name", "tok"]).select(*key))
+    parts.append(probes.join(index, ["document_name", "tok"]).select(*key))
 
     # signal 2, chunk inside span: only chunks no longer than the longest span can qualify
     max_len = spans.agg(F.max(F.length("text"))).first()[0] or 0
@@ -185,7 +162,7 @@ def label_relevance(
     threshold: float = DEFAULT_THRESHOLD,
     use_offsets: bool = True,
 ) -> DataFrame:
-    """(ann_id, document_name, chunk_id, confidence, signal, ratio) for every relevant pair.
+    """(ann_id, document_name, chunk_id, ratio, confidence, signal) for every relevant pair.
 
     ``spans``: (ann_id, document_name, start_char, end_char, text);
     ``chunks``: (document_name, chunk_id, text[, chunk_start, chunk_end]).
@@ -200,24 +177,24 @@ def label_relevance(
     if not has_offsets:
         ch = ch.withColumn("chunk_start", F.lit(None).cast("int")).withColumn("chunk_end", F.lit(None).cast("int"))
     # reused by every candidate branch: computed once, lineage cut (shared checkpoint folder)
-    sp = cut_lineage(spans.select("ann_id", "document_name", "start_char", "end_char", "text"))
-    ch = cut_lineage(ch)
-    ct = cut_lineage(chunk_token_counts(ch))
-    at = span_token_counts(sp)
-    pairs = _candidates(sp, ch, at, ct, threshold, use_offsets)
-    ratios = overlap_ratios(pairs, at, ct)
+    sp = cut_lineage(spans.select("ann_id", "document_name", "start_char", "end_char", "text",
+                                  word_tokens("text").alias("atoks")))
+    ch = cut_lineage(ch.withColumn("ctoks", word_tokens("text")))
+    pairs = _candidates(sp, ch, threshold, use_offsets)
     full = (
-        ratios.join(sp.select("ann_id", "start_char", "end_char", normalize_ws("text").alias("an")), "ann_id")
-        .join(ch.select("document_name", "chunk_id", "chunk_start", "chunk_end",
+        pairs.join(sp.select("ann_id", "start_char", "end_char", "atoks", normalize_ws("text").alias("an")), "ann_id")
+        .join(ch.select("document_name", "chunk_id", "chunk_start", "chunk_end", "ctoks",
                         normalize_ws("text").alias("cn")), ["document_name", "chunk_id"])
     )
+    total = F.size("atoks")
+    ratio = F.when(total > 0, multiset_overlap(F.col("atoks"), F.col("ctoks")) / total).otherwise(F.lit(0.0))
     s1 = (
         F.lit(use_offsets) & F.col("chunk_start").isNotNull() & F.col("chunk_end").isNotNull()
         & (F.col("start_char") < F.col("chunk_end")) & (F.col("end_char") > F.col("chunk_start"))
     )
     s2 = (F.col("an") != "") & ((F.instr(F.col("cn"), F.col("an")) > 0) | (F.instr(F.col("an"), F.col("cn")) > 0))
     s3 = F.col("ratio") >= F.lit(float(threshold))
-    labelled = full.select(
+    labelled = full.withColumn("ratio", ratio.cast("double")).select(
         "ann_id", "document_name", "chunk_id", "ratio",
         F.when(s1, F.lit(CONF_OFFSET)).when(s2, F.lit(CONF_CONTAINS)).otherwise(F.round("ratio", 4)).alias("confidence"),
         F.when(s1, F.lit("offset")).when(s2, F.lit("contains")).when(s3, F.lit("tokens")).alias("signal"),
