@@ -49,12 +49,21 @@ def search(
     vec_col: str = "embedding",
     category_col: str = "category",
     keys: tuple[str, ...] = ("document_name", "chunk_id"),
+    resolve: bool = False,
 ) -> DataFrame:
     """Top-k rows of ``corpus`` nearest to one query vector, with ``rank`` (1..k) and ``distance``.
 
     ``query_vec`` is a list of floats or a Column; ``where`` is an extra
-    structured filter (e.g. a price bound), applied before ranking.
+    structured filter (e.g. a price bound, our extension), applied before
+    ranking.  ``resolve=True`` first corrects ``category`` against the
+    corpus's category vocabulary (the agent tool's behaviour; direct search
+    uses it as given).
     """
+    if resolve and category:
+        from chunkwise.operators.resolve import resolve_categories, vocabulary
+
+        req = corpus.sparkSession.createDataFrame([(category,)], "requested string")
+        category = resolve_categories(req, vocabulary(corpus)).first()["resolved"]  # one row
     qv = query_vec if isinstance(query_vec, Column) else vector_literal(query_vec)
     df = corpus.filter(F.col(vec_col).isNotNull())
     cf = category_filter(category, category_col)

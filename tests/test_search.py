@@ -79,3 +79,14 @@ def test_resolve_empty_vocabulary(spark):
     rdf = spark.createDataFrame([("Anything",)], "requested string")
     r = resolve_categories(rdf, vdf).first()
     assert (r.resolved, r.was_corrected) == ("Anything", False)
+
+
+def test_search_where_and_resolve(spark):
+    rows, df = _corpus(spark)
+    q = [0.5] * 8
+    got = [r.chunk_id for r in search(df, q, 5, where=F.col("chunk_id") % 2 == 0).orderBy("rank").collect()]
+    exp = [c for _, c in _brute([r for r in rows if r[1] % 2 == 0], q, 5)]
+    assert got == exp
+    fixed = [(r.document_name, r.chunk_id) for r in search(df, q, 4, category="c1", resolve=True).orderBy("rank").collect()]
+    assert fixed == _brute(rows, q, 4, "C1")  # case-only correction
+    assert search(df, q, 4, category="c1").count() == 0  # direct search: no correction

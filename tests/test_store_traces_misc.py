@@ -176,3 +176,24 @@ def test_annotation_sink_round_trip(spark):
     back = sorted(tuple(r) for r in files.read_annotation_lines(spark, base + "/out")
                   .select("document_name", "category", "start_char", "end_char", "text").collect())
     assert back == sorted(tuple(r) for r in spans.collect())
+
+
+def test_status_offline_and_online(spark):
+    from chunkwise.operators.stats import corpus_status
+
+    chunks = spark.createDataFrame([("a", 0, ["X", "Y"]), ("a", 1, ["X"])], "document_name string, chunk_id int, category array<string>")
+    prods = spark.createDataFrame([(1,)], "product_id int")
+    off = corpus_status(prods, None).first()
+    assert off.status == "offline" and off.contract_count == 0 and off.top_categories is None
+    on = corpus_status(prods, chunks).first()
+    assert (on.status, on.product_count, on.contract_count, on.category_count) == ("online", 1, 2, 2)
+    assert [(t.category, t["count"]) for t in on.top_categories] == [("X", 2), ("Y", 1)]
+
+
+def test_invalid_utf8_files(spark):
+    base = tempfile.mkdtemp(prefix="utf-")
+    with open(os.path.join(base, "good.txt"), "wb") as fh:
+        fh.write("héllo".encode("utf-8"))
+    with open(os.path.join(base, "bad.txt"), "wb") as fh:
+        fh.write(b"\xff\xfe broken")
+    assert files.invalid_utf8_count(spark, base).first().invalid_files == 1
