@@ -231,3 +231,29 @@ def knn_lsh(
     )
     w = Window.partitionBy(query_id).orderBy(F.round("distance", RANK_DECIMALS).asc(), F.col(key).asc())
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def write_category_bridge(chunks: DataFrame, path: str, keys: tuple[str, ...] = ("document_name", "chunk_id"),
+                          category_col: str = "category") -> None:
+    """Materialise ``(category, keys...)`` partitioned by category: the filtered-search index.
+
+    A category filter then reads one partition (partition pruning) instead of
+    testing ``array_contains`` on every stored chunk.
+    """
+    bridge = chunks.select(F.explode(F.array_distinct(F.col(category_col))).alias("cat"), *keys)
+    bridge.repartition("cat").write.mode("overwrite").partitionBy("cat").parquet(path)
+
+
+def search_with_bridge(
+    corpus: DataFrame,
+    bridge_path: str,
+    query_vec,
+    category: str,
+    k: int = DEFAULT_K,
+    vec_col: str = "embedding",
+    keys: tuple[str, ...] = ("document_name", "chunk_id"),
+) -> DataFrame:
+    """``search`` restricted to one category through the bridge table (same result)."""
+    spark = corpus.sparkSession
+    members = spark.read.parquet(bridge_path).filter(F.col("cat") == F.lit(category)).select(*keys)
+    return search(corpus.join(members, list(keys), "left_semi"), query_vec, k, vec_col=vec_col, keys=keys)

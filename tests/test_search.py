@@ -90,3 +90,17 @@ def test_search_where_and_resolve(spark):
     fixed = [(r.document_name, r.chunk_id) for r in search(df, q, 4, category="c1", resolve=True).orderBy("rank").collect()]
     assert fixed == _brute(rows, q, 4, "C1")  # case-only correction
     assert search(df, q, 4, category="c1").count() == 0  # direct search: no correction
+
+
+def test_category_bridge_prunes_and_matches(spark, tmp_path):
+    from chunkwise.operators.search import search_with_bridge, write_category_bridge
+
+    rows, df = _corpus(spark)
+    path = str(tmp_path / "bridge")
+    write_category_bridge(df, path)
+    q = [0.25] * 8
+    for cat in ("C0", "C2", "all"):
+        got = [(r.document_name, r.chunk_id) for r in search_with_bridge(df, path, q, cat, 6).orderBy("rank").collect()]
+        assert got == _brute(rows, q, 6, cat)
+    plan = spark.read.parquet(path).filter(F.col("cat") == "C1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cat" in plan
