@@ -89,14 +89,15 @@ def chunk_spans(text, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHU
         def end_of(start: Column) -> Column:
             hard = start + F.lit(c)
             lo = start + F.lit(half)
-            para = _last_delim_end(_piece(blocks, width, lo, F.lit(para_len)), "\n\n")
-            sent = _last_delim_end(_piece(blocks, width, lo, F.lit(sent_len)), ". ")
-            return (
-                F.when(hard >= n, hard)
-                .when(para > 0, lo + para)
-                .when(sent > 0, lo + sent)
-                .otherwise(hard)
-            )
+
+            def cut(window: Column) -> Column:
+                # the sentence window is a prefix of the paragraph window
+                para = _last_delim_end(window, "\n\n")
+                sent = _last_delim_end(F.substring(window, 1, sent_len), ". ")
+                return F.when(para > 0, lo + para).when(sent > 0, lo + sent).otherwise(hard)
+
+            searched = F.transform(F.array(_piece(blocks, width, lo, F.lit(para_len))), cut)[0]
+            return F.when(hard >= n, hard).otherwise(searched)
 
         def step(acc: Column, _i: Column) -> Column:
             start = acc["s"]
