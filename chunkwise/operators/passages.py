@@ -50,10 +50,11 @@ def _scan_fn(bvar, doc_key: str):
                     for key in keys:
                         out_doc.append(dk); out_key.append(key); out_start.append(end_idx - plen + 1)
                         out_len.append(plen); out_text.append(ptext)
-            yield pd.DataFrame(
-                {doc_key: out_doc, "passage_key": out_key, "start_char": out_start,
-                 "passage_len": out_len, "passage": out_text}
-            )
+            if out_doc:  # an empty frame has untyped columns: emit nothing instead
+                yield pd.DataFrame(
+                    {doc_key: out_doc, "passage_key": out_key, "start_char": out_start,
+                     "passage_len": out_len, "passage": out_text}
+                )
 
     return scan
 

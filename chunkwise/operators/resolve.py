@@ -41,7 +41,8 @@ def _fuzzy_fn(bvar, cutoff: float):
                     req.append(word)
                     res.append(hit[0])
                     score.append(difflib.SequenceMatcher(None, hit[0], word).ratio())
-            yield pd.DataFrame({"requested": req, "fuzzy": res, "score": score})
+            if req:  # an empty frame has untyped columns: emit nothing instead
+                yield pd.DataFrame({"requested": req, "fuzzy": res, "score": score})
 
     return best
 

@@ -58,3 +58,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Inputs up to this size may be re-spread over all cores with one (cheap) shuffle.
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan (file sizes for scans), or None."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - JVM internals not reachable
+        return None
+
+
+def spread_small_input(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Round-robin a small input over all task slots before CPU-heavy per-row work.
+
+    A small table stored as one row group is read by one task, leaving the
+    rest of the cluster idle for chunking, scanning or embedding.  Only inputs
+    whose estimated size is at most ``max_bytes`` are re-spread (the shuffle is
+    then cheap); large inputs keep their scan partitioning -- no extra shuffle.
+    """
+    size = plan_size_bytes(df)
+    if size is None or size > max_bytes:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(2 * slots, 1))

@@ -110,7 +110,8 @@ def _write_files_fn(directory: str):
                     fh.write(text or "")
                 os.replace(tmp, target)  # atomic: a retried task rewrites the same file
                 sizes.append(len(text or ""))
-            yield pd.DataFrame({"file_name": pdf["file_name"], "n_chars": sizes})
+            if sizes:
+                yield pd.DataFrame({"file_name": pdf["file_name"], "n_chars": sizes})
 
     return write
 

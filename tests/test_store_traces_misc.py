@@ -197,3 +197,15 @@ def test_invalid_utf8_files(spark):
     with open(os.path.join(base, "bad.txt"), "wb") as fh:
         fh.write(b"\xff\xfe broken")
     assert files.invalid_utf8_count(spark, base).first().invalid_files == 1
+
+
+def test_passages_with_empty_partitions(spark):
+    from chunkwise.operators.passages import locate_passages
+
+    docs = spark.createDataFrame([(i, "filler text " * 5 + ("the gold clause here" if i == 7 else "")) for i in range(40)],
+                                 "doc_id long, text string").repartition(16)
+    bench = spark.createDataFrame([(1, "gold clause"), (2, "never present"), (3, "")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_char) for r in locate_passages(docs, bench).collect()
+                 if r.item_id != 3)
+    assert got == [(7, 1, 64)]
+    assert locate_passages(docs, bench).filter("item_id = 3").count() == 40  # empty passage: every document at 0
