@@ -257,3 +257,22 @@ def search_with_bridge(
     spark = corpus.sparkSession
     members = spark.read.parquet(bridge_path).filter(F.col("cat") == F.lit(category)).select(*keys)
     return search(corpus.join(members, list(keys), "left_semi"), query_vec, k, vec_col=vec_col, keys=keys)
+
+
+def product_results(top: DataFrame) -> DataFrame:
+    """Search-result projection for products: seven fields plus distance; price as double."""
+    return top.select(
+        "rank", "product_id", "product_name", "product_brand", "gender",
+        F.col("price_inr").cast("double").alias("price_inr"), "description", "primary_color", "distance",
+    )
+
+
+def contract_results(top: DataFrame) -> DataFrame:
+    """Search-result projection for chunks: six fields plus distance; a NULL category becomes []."""
+    from chunkwise.operators.store import contract_key
+
+    return top.select(
+        "rank", contract_key(F.col("document_name"), F.col("chunk_id")).alias("contract_id"),
+        "document_name", "chunk_id", "page", "text",
+        F.coalesce(F.col("category"), F.array().cast("array<string>")).alias("category"), "distance",
+    )

@@ -15,7 +15,8 @@ from chunkwise.operators.embed import (
 )
 from chunkwise.operators.render import render_context
 from chunkwise.operators.resolve import resolve_categories, vocabulary
-from chunkwise.operators.search import knn_join, knn_lsh, search
+from chunkwise.operators.search import contract_results, knn_join, knn_lsh, product_results, search
+from chunkwise.operators.store import sql_contract_key
 from chunkwise.plans.catalog import register, shared
 from chunkwise.plans.q_ingest import categorized_chunks, sql_categorized_chunks
 from chunkwise.sources.tables import (
@@ -80,18 +81,16 @@ def q_embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
             "scored": "SELECT p.*, list_distance(pv.vec, qv.vec) AS d FROM products p JOIN pv USING (product_id), qv",
         },
         f"""SELECT CAST(row_number() OVER (ORDER BY round(d, 9), product_id) AS INTEGER) AS rank,
-                  product_id, product_name, CAST(price_inr AS DOUBLE) AS price_inr, round(d, 6) AS distance
+                  product_id, product_name, product_brand, gender, CAST(price_inr AS DOUBLE) AS price_inr,
+                  description, primary_color, round(d, 6) AS distance
            FROM scored QUALIFY rank <= {K}""",
     ),
 )
 def q_knn_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: top-8 products for one query text by L2 distance."""
     qv = embed_one(spark, PRODUCT_QUERY)
-    top = search(embedded_products(spark, sf_dir), qv, K, keys=("product_id",))
-    return top.select(
-        "rank", "product_id", "product_name", F.col("price_inr").cast("double").alias("price_inr"),
-        F.round("distance", 6).alias("distance"),
-    )
+    top = product_results(search(embedded_products(spark, sf_dir), qv, K, keys=("product_id",)))
+    return top.withColumn("distance", F.round("distance", 6))
 
 
 def _first_passage(spark: SparkSession, sf_dir: str) -> str:
@@ -109,17 +108,18 @@ def _first_passage(spark: SparkSession, sf_dir: str) -> str:
             "scored": "SELECT c.*, list_distance(cvec.vec, qv.vec) AS d FROM cchunks2 c JOIN cvec USING (document_name, chunk_id), qv",
         },
         f"""SELECT CAST(row_number() OVER (ORDER BY round(d, 9), document_name, chunk_id) AS INTEGER) AS rank,
-                  document_name, chunk_id, page, array_to_string(category, '|') AS categories, round(d, 6) AS distance
+                  {sql_contract_key('document_name', 'chunk_id')} AS contract_id, document_name, chunk_id, page, text,
+                  array_to_string(category, '|') AS categories, round(d, 6) AS distance
            FROM scored QUALIFY rank <= {K}""",
     ),
 )
 def q_knn_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: top-8 chunks for one query text, no category filter."""
     qv = embed_one(spark, _first_passage(spark, sf_dir))
-    top = search(embedded_chunks(spark, sf_dir), qv, K)
+    top = contract_results(search(embedded_chunks(spark, sf_dir), qv, K))
     return top.select(
-        "rank", "document_name", "chunk_id", "page", F.array_join("category", "|").alias("categories"),
-        F.round("distance", 6).alias("distance"),
+        "rank", "contract_id", "document_name", "chunk_id", "page", "text",
+        F.array_join("category", "|").alias("categories"), F.round("distance", 6).alias("distance"),
     )
 
 
