@@ -8,7 +8,7 @@ re-run or a replayed streaming batch appends nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise.operators.categorize import UNCATEGORIZED
@@ -20,9 +20,16 @@ STAGE1_TO_STAGE2 = {"id": "contract_id", "file_name": "document_name", "chunk_in
 
 
 def first_per_key(batch: DataFrame, keys: tuple[str, ...], order: list[Column]) -> DataFrame:
-    """One row per key: the first by ``order`` (stable, explicit)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """One row per key: the first by ``order`` (then by the row's values, so the pick is total).
+
+    A ``min`` over a struct is combined map-side before the shuffle, so a key
+    repeated across a large share of the batch never lands whole in one task.
+    """
+    rest = [c for c in batch.columns if c not in keys]
+    ords = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    packed = F.struct(*ords, *[F.col(f"`{c}`") for c in rest])
+    best = batch.groupBy(*keys).agg(F.min(packed).alias("_best"))
+    return best.select(*keys, *[F.col("_best")[c].alias(c) for c in rest]).select(*batch.columns)
 
 
 def new_rows(batch: DataFrame, target: DataFrame | None, keys: tuple[str, ...], order: list[Column] | None = None) -> DataFrame:

@@ -164,15 +164,20 @@ def read_annotations(spark: SparkSession, path: str, on_missing: str = "empty")
     )
 
 
-def write_annotations(spans: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Span rows -> JSON lines, one object per document (``document_name``, ``annotations``)."""
-    grouped = spans.groupBy("document_name").agg(
+def write_annotations(spans: DataFrame, path: str, mode: str = "overwrite", window: int = 4000) -> None:
+    """Span rows -> JSON lines of (``document_name``, ``annotations``).
+
+    One line per document and ``window``-character range of span starts, so a
+    document with very many spans is split over bounded lines (the reader
+    flattens all lines of a document back together).
+    """
+    grouped = spans.groupBy("document_name", F.floor(F.col("start_char") / F.lit(window)).alias("_w")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("start_char", "end_char", "category", "text"))),
             lambda a: F.struct(a["category"].alias("category"), a["start_char"].alias("start_char"),
                                a["end_char"].alias("end_char"), a["text"].alias("text")),
         ).alias("annotations")
-    )
+    ).drop("_w")
     grouped.write.mode(mode).json(path)
 
 
