@@ -33,6 +33,7 @@ DEFAULT_CHUNK_SIZE = 1000
 DEFAULT_CHUNK_OVERLAP = 200
 
 _SPAN_TYPE = "array<struct<s:int,e:int>>"
+_TAIL = 64
 
 
 def chunk_geometry(size: int, overlap: int) -> tuple[int, int, int, int]:
@@ -101,19 +102,32 @@ def chunk_spans(text, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHU
 
         def step(acc: Column, _i: Column) -> Column:
             start = acc["s"]
+            tail = acc["tail"]
+            full = F.size(tail) >= F.lit(_TAIL)
             # bind the computed end once (a one-element transform acts as a let)
             advanced = F.transform(
                 F.array(end_of(start)),
                 lambda e: F.struct(
                     (e - F.lit(v)).alias("s"),
-                    F.array_append(acc["spans"], F.struct(start.alias("s"), e.alias("e"))).alias("spans"),
+                    F.when(full, F.array_append(acc["done"], tail)).otherwise(acc["done"]).alias("done"),
+                    F.array_append(
+                        F.when(full, F.array().cast(_SPAN_TYPE)).otherwise(tail),
+                        F.struct(start.alias("s"), e.alias("e")),
+                    ).alias("tail"),
                 ),
             )[0]
             return F.when(start < n, advanced).otherwise(acc)
 
-        init = F.struct(F.lit(0).alias("s"), F.array().cast(_SPAN_TYPE).alias("spans"))
+        # spans accumulate in a short tail that moves into ``done`` when full: appends
+        # copy at most _TAIL entries (plus k/_TAIL references), not the whole list
+        init = F.struct(
+            F.lit(0).alias("s"),
+            F.array().cast(f"array<{_SPAN_TYPE}>").alias("done"),
+            F.array().cast(_SPAN_TYPE).alias("tail"),
+        )
         steps = F.sequence(F.lit(0), (n / F.lit(progress)).cast("int") + F.lit(1))
-        folded = F.aggregate(steps, init, step)["spans"]
+        acc_end = F.aggregate(steps, init, step)
+        folded = F.flatten(F.array_append(acc_end["done"], acc_end["tail"]))
         return F.filter(
             F.transform(
                 folded,

@@ -82,3 +82,12 @@ def test_chunk_spans_cover_text(spark):
     assert spans[0][0] == 0 and spans[-1][1] >= len(text)
     for (s1, e1), (s2, e2) in zip(spans, spans[1:]):
         assert s2 <= e1  # overlapping or touching windows: no gap
+
+
+def test_many_chunks_one_document(spark):
+    rnd = random.Random(21)
+    text = "".join(rnd.choice(["word ", "mot. ", "x\n\n", "ü "]) for _ in range(60000))
+    df = spark.createDataFrame([("big", text)], "document_name string, text string")
+    got = sorted((r.chunk_id, r.text, r.chunk_start, r.chunk_end) for r in chunk_documents(df, 50, 10).collect())
+    exp = [(i, t, s, e) for i, (t, s, e) in enumerate(chunk_model(text, 50, 10))]
+    assert len(exp) > 64 * 10 and got == exp
