@@ -3,9 +3,9 @@
 Parts of one run, in order: a call records (tool, args, call id); a return
 with a known call id fills that call; a return without one (or with an
 unknown id) fills the most recent call of the same tool that has no result
-yet.  That rule is stateful within a run, so parts are hash-partitioned by run, sorted by
-(run, seq) inside each partition, and paired in one Python pass per partition
-(``mapInPandas``); only one run's parts are held at a time.
+yet.  Id matches are equi-joins; only runs that need the id-less rule (which is
+stateful within a run) are hash-partitioned by run, sorted by (run, seq) and
+paired in one Python pass per partition (``mapInPandas``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkwise.operators.render import CALL_SEPARATOR
 
@@ -84,17 +85,62 @@ def _pair_stream(batches):
         yield pd.DataFrame(out, columns=_PAIR_COLS).astype({"return_seq": "Int64"})
 
 
+@F.pandas_udf(T.StructType([T.StructField("args_json", T.StringType()), T.StructField("args_kind", T.StringType())]))
+def _args_columns(args: pd.Series) -> pd.DataFrame:
+    parsed = [parse_args(a) for a in args]
+    return pd.DataFrame({"args_json": [p[0] for p in parsed], "args_kind": [p[1] for p in parsed]})
+
+
 def pair_tool_calls(parts: DataFrame) -> DataFrame:
     """One row per tool call with its result (NULL when no return matched).
 
     ``parts``: (run_id, seq, part_kind 'tool-call'|'tool-return', tool_name,
-    tool_call_id, args, content).  Parts are hash-partitioned by run and
-    sorted by (run, seq) inside partitions; one Python pass per partition
-    pairs them run by run (no per-group pandas frames).
+    tool_call_id, args, content).
+
+    A return whose id names an earlier call of its run is matched by an
+    equi-join on (run, call id) -- the latest earlier call with that id; when
+    several returns reach one call the last one wins.  Runs in which every
+    return is matched that way are paired by joins alone.  Runs with a return
+    that has no id, or an unknown one, need the "latest open call of the same
+    tool" rule, whose outcome depends on order: those runs are hash-partitioned
+    by run, sorted by (run, seq) and paired in one Python pass per partition.
     """
     cols = parts.select("run_id", "seq", "part_kind", "tool_name", "tool_call_id", "args", "content")
-    ordered = cols.repartition("run_id").sortWithinPartitions("run_id", "seq")
-    return ordered.mapInPandas(_pair_stream, PAIR_SCHEMA)
+    calls = cols.filter(F.col("part_kind") == "tool-call")
+    rets = cols.filter(F.col("part_kind") == "tool-return")
+    keyed_calls = calls.filter(F.col("tool_call_id").isNotNull() & (F.col("tool_call_id") != "")).select(
+        "run_id", F.col("seq").alias("call_seq"), "tool_call_id"
+    )
+    keyed_rets = rets.filter(F.col("tool_call_id").isNotNull() & (F.col("tool_call_id") != "")).select(
+        "run_id", F.col("seq").alias("return_seq"), "tool_call_id", "content"
+    )
+    by_id = (
+        keyed_rets.join(keyed_calls, ["run_id", "tool_call_id"])
+        .filter(F.col("call_seq") < F.col("return_seq"))
+        .groupBy("run_id", "return_seq")
+        .agg(F.max("call_seq").alias("call_seq"), F.first("content").alias("content"))
+    )
+    unmatched = rets.select("run_id", F.col("seq").alias("return_seq")).join(
+        by_id.select("run_id", "return_seq"), ["run_id", "return_seq"], "left_anti"
+    )
+    sequential_runs = unmatched.select("run_id").distinct()
+
+    # runs paired by joins: per call, the last return that named it
+    last = by_id.groupBy("run_id", "call_seq").agg(F.max(F.struct("return_seq", "content")).alias("r"))
+    native = (
+        calls.join(sequential_runs, "run_id", "left_anti")
+        .withColumnRenamed("seq", "call_seq")
+        .join(last, ["run_id", "call_seq"], "left")
+        .withColumn("a", _args_columns(F.col("args")))
+        .select(
+            "run_id", "call_seq", "tool_name", "tool_call_id", F.col("a.args_json").alias("args_json"),
+            F.col("a.args_kind").alias("args_kind"), F.col("r.content").alias("result"),
+            F.col("r.return_seq").alias("return_seq"),
+        )
+    )
+    ordered = cols.join(sequential_runs, "run_id", "left_semi").repartition("run_id").sortWithinPartitions("run_id", "seq")
+    sequential = ordered.mapInPandas(_pair_stream, PAIR_SCHEMA)
+    return native.unionByName(sequential)
 
 
 def retrieved_context(pairs: DataFrame, tool: str = "retrieve_contracts") -> DataFrame:

@@ -209,3 +209,30 @@ def test_passages_with_empty_partitions(spark):
                  if r.item_id != 3)
     assert got == [(7, 1, 64)]
     assert locate_passages(docs, bench).filter("item_id = 3").count() == 40  # empty passage: every document at 0
+
+
+def test_join_pairing_equals_sequential_rule(spark):
+    import random
+
+    from chunkwise.operators.traces import _pair_parts
+
+    rnd = random.Random(5)
+    parts = []
+    for run in range(60):
+        ids = [f"i{j}" for j in range(4)]
+        for seq in range(rnd.randint(1, 12)):
+            tool = rnd.choice(["retrieve_contracts", "retrieve_products"])
+            if rnd.random() < 0.5:
+                cid = rnd.choice(ids + [None, ""]) if run % 3 == 0 else rnd.choice(ids)
+                parts.append((run, seq, "tool-call", tool, cid, '{"q": %d}' % seq, None))
+            else:
+                cid = rnd.choice(ids + [None, "zz"]) if run % 3 == 0 else rnd.choice(ids)
+                parts.append((run, seq, "tool-return", tool, cid, None, f"r{run}-{seq}"))
+    df = spark.createDataFrame(parts, PARTS)
+    got = {(r.run_id, r.call_seq): (r.result, r.return_seq, r.args_kind) for r in pair_tool_calls(df).collect()}
+    exp = {}
+    for run in range(60):
+        rows = sorted(p for p in parts if p[0] == run)
+        for c in _pair_parts(rows):
+            exp[(run, c["call_seq"])] = (c["result"], c["return_seq"], c["args_kind"])
+    assert got == exp
