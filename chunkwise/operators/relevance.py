@@ -102,6 +102,8 @@ def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offse
         "ann_id", "document_name", F.col("toks")[0].alias("t1")
     )
     edge = edge.withColumn("g", F.substring("t1", 1, F.least(F.length("t1"), F.lit(3))))
+    # the span table is small and checkpointed: skip branches that have no spans
+    has_edge = edge.limit(1).count() > 0
     vocab = index.select("document_name", "tok").join(
         edge.select("document_name").distinct(), "document_name", "left_semi"
     ).distinct()
@@ -115,7 +117,10 @@ def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offse
     ).distinct()
     hit_toks = edge.join(grams, ["document_name", "g"]).filter(F.instr(F.col("tok"), F.col("t1")) > 0)
 
-    probes = probes3.unionByName(inner).unionByName(hit_toks.select("ann_id", "document_name", "tok")).distinct()
+    probes = probes3.unionByName(inner)
+    if has_edge:
+        probes = probes.unionByName(hit_toks.select("ann_id", "document_name", "tok"))
+    probes = probes.distinct()
     # one probe of the (document, token) -> chunk index for signals 2 and 3
     parts.append(probes.join(index, ["document_name", "tok"]).select(*key))
 
@@ -135,13 +140,15 @@ def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offse
     bare = shaped.filter((F.size("toks") == 0) & (F.col("an") != "")).select(
         "ann_id", "document_name", F.substring("an", 1, 1).alias("ch")
     )
+    has_bare = bare.limit(1).count() > 0
     symbols = chunks.join(bare.select("document_name").distinct(), "document_name", "left_semi").select(
         "document_name", "chunk_id",
         F.explode(F.array_distinct(F.regexp_extract_all(
             F.regexp_replace(F.lower("text"), "[\\p{L}\\p{N}_]|" + WS_CLASS, ""), F.lit("(?s)."), 0
         ))).alias("ch"),
     )
-    parts.append(bare.join(symbols, ["document_name", "ch"]).select(*key))
+    if has_bare:
+        parts.append(bare.join(symbols, ["document_name", "ch"]).select(*key))
 
     if use_offsets:
         parts.append(
