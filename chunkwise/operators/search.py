@@ -117,11 +117,20 @@ def _knn_scan(bvar, key_cols, vec_col, cat_col, payload, k, with_category):
             xnorm = (x * x).sum(axis=1)
             d2 = xnorm[:, None] + qnorm[None, :] - 2.0 * (x @ qmat.T)  # rows x queries
             if with_category:
-                cats = sub[cat_col].tolist()
+                # one pass over the rows' category lists: category -> rows holding it
+                rows_of = {c: [] for c in cat_groups if c is not None}
+                for i, cs in enumerate(sub[cat_col].tolist()):
+                    if cs is None:
+                        continue
+                    for c in set(cs):
+                        hit = rows_of.get(c)
+                        if hit is not None:
+                            hit.append(i)
                 for c, qcols in cat_groups.items():
                     if c is None:
                         continue
-                    mask = np.array([cs is not None and c in list(cs) for cs in cats], dtype=bool)
+                    mask = np.zeros(len(sub), dtype=bool)
+                    mask[rows_of[c]] = True
                     d2[np.ix_(~mask, qcols)] = np.inf
             values = list(zip(*[sub[c].tolist() for c in cols])) if cols else [()] * len(sub)
             nk = len(key_cols)
