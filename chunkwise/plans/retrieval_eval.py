@@ -48,7 +48,10 @@ class RetrievalEval:
 
 def build_cases(sample: DataFrame, chunks: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """Attach relevant chunk ids to each sampled span; mark spans without document or match."""
-    docs = chunks.select("document_name").distinct().withColumn("has_doc", F.lit(True))
+    wanted = sample.select("document_name").distinct()
+    docs = chunks.select("document_name").join(wanted, "document_name", "left_semi").distinct().withColumn(
+        "has_doc", F.lit(True)
+    )
     rel = labels.groupBy("ann_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
     out = sample.join(docs, "document_name", "left").join(rel, "ann_id", "left")
     status = (
