@@ -159,6 +159,10 @@ def q_judge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------- traces --
 
+# SQL twin of the pairing on this fixture: turns alternate call / return, so a
+# return belongs to the call just before it (by id on even runs, by the id-less
+# rule on odd ones).  The general rule is checked against the sequential model
+# in tests/test_store_traces_misc.py.
 SQL_PAIRS = """
 SELECT c.run_id, c.seq AS call_seq, c.tool_name, c.tool_call_id,
        CASE WHEN json_valid(c.args) THEN 'json' ELSE 'raw' END AS args_kind,
