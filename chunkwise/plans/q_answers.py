@@ -112,11 +112,6 @@ def q_judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_prompts(cases, _answer_outputs(spark, sf_dir, cases))
 
 
-SQL_VERDICT_JSON = """concat('{"correctness": ', CASE WHEN l.quality = 1 THEN 'true' ELSE 'false' END,
-       ', "correctness_reason": "quality label", "faithfulness": ', CASE WHEN l.toxic = 0 THEN 'true' ELSE 'false' END,
-       ', "faithfulness_reason": "toxicity label"}')"""
-
-
 def _verdicts(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
     """Stand-in judge output: a verdict JSON per case from the ``labels`` table (quality, 1 - toxic)."""
     labels = table(spark, sf_dir, "labels")
