@@ -31,8 +31,16 @@ class RetrievalEval:
     sample: DataFrame
     labels: DataFrame
     cases: DataFrame  # every sampled span with status ok / no_document / no_match
-    retrieved: DataFrame
+    retrieved_plan: DataFrame
     k: int
+    _retrieved: DataFrame | None = None
+
+    @property
+    def retrieved(self) -> DataFrame:
+        """Top-k rows per case (cases x k rows), materialised once and shared by every metric."""
+        if self._retrieved is None:
+            self._retrieved = cut_lineage(self.retrieved_plan)
+        return self._retrieved
 
     def ok_cases(self) -> DataFrame:
         return self.cases.filter(F.col("status") == "ok")
@@ -90,7 +98,7 @@ def retrieval_eval(
     queries = embed(ok.select("ann_id", "query", "category"), "query", "query_vec", embedder=embedder)
     corpus = embedded_chunks if embedded_chunks is not None else embed(chunks, "text", embedder=embedder)
     retrieved = knn_join(queries, corpus, k, query_id="ann_id", query_category="category")
-    return RetrievalEval(sample, labels, cases, retrieved, k)
+    return RetrievalEval(sample, labels, cases, retrieved, k)  # retrieval runs on first use
 
 
 __all__ = ["RetrievalEval", "retrieval_eval", "build_cases", "KEY_QUALIFIED", "KEY_COMPAT"]
