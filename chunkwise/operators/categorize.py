@@ -64,6 +64,8 @@ def assign_categories(chunks: DataFrame, annotations: DataFrame | None, bucket:
 
     ``annotations``: (document_name, category, start_char, end_char[, text]);
     ``None`` means no annotation file: every chunk is Uncategorized.
+    ``chunks`` is read three times (bucket keys, document extents, join-back):
+    pass a materialised table, not a costly lazy plan (see ``chunk_store``).
     """
     if annotations is None:
         return chunks.withColumn("category", F.array(F.lit(UNCATEGORIZED)))
@@ -105,3 +107,10 @@ def ingest_summary(docs: DataFrame, chunks: DataFrame, annotations: DataFrame |
         F.count_if((kind == 2) & flag).alias("categorized_chunks"),
         F.count_if((kind == 2) & ~flag).alias("uncategorized_chunks"),
     )
+
+
+def chunk_store(chunks: DataFrame, annotations: DataFrame | None, bucket: int = DEFAULT_BUCKET) -> DataFrame:
+    """Materialise the chunk rows once (reliable checkpoint), then categorize them."""
+    from chunkwise.session import cut_lineage
+
+    return assign_categories(cut_lineage(chunks), annotations, bucket)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise.functions.chunking import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
-from chunkwise.operators.categorize import assign_categories, ingest_summary
+from chunkwise.operators.categorize import chunk_store, ingest_summary
 from chunkwise.operators.chunk import chunk_documents
 from chunkwise.operators.embed import embed, product_embedding_text
 from chunkwise.operators.store import CHUNK_KEY, PRODUCT_KEY, append_if_absent
@@ -50,7 +50,7 @@ def ingest_contracts(
     """
     docs = files.read_text_corpus(spark, corpus_dir)
     ann = files.read_annotations(spark, annotations_path, on_missing="empty") if annotations_path else None
-    chunks = cut_lineage(assign_categories(chunk_documents(docs, size, overlap), ann))
+    chunks = cut_lineage(chunk_store(chunk_documents(docs, size, overlap), ann))
     added = append_if_absent(chunks, store_path, CHUNK_KEY, embed_fn=lambda df: embed(df, "text", embedder=embedder))
     summary = ingest_summary(docs, chunks, ann)
     return summary.withColumn("chunks_added", F.lit(added).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise.functions.chunking import sql_chunks, sql_page
-from chunkwise.operators.categorize import assign_categories, ingest_summary
+from chunkwise.operators.categorize import chunk_store, ingest_summary
 from chunkwise.operators.chunk import chunk_documents
 from chunkwise.operators.embed import SQL_PRODUCT_TEXT, product_embedding_text
 from chunkwise.operators.stats import category_histogram, category_list, corpus_status
@@ -43,8 +43,7 @@ def categorized_chunks(spark: SparkSession, sf_dir: str, size: int = 1000, overl
     """The chunk store of the corpus: chunks with categories (built once per session)."""
 
     def build() -> DataFrame:
-        chunks = chunk_documents(corpus(spark, sf_dir), size, overlap)
-        return assign_categories(chunks, all_annotations(spark, sf_dir))
+        return chunk_store(chunk_documents(corpus(spark, sf_dir), size, overlap), all_annotations(spark, sf_dir))
 
     return shared(spark, sf_dir, f"chunks_{size}_{overlap}", build)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwise.operators.categorize import assign_categories
+from chunkwise.operators.categorize import chunk_store
 from chunkwise.operators.chunk import chunk_documents
 from chunkwise.operators.embed import embed
 from chunkwise.operators.store import CHUNK_KEY, append_if_absent
@@ -22,7 +22,7 @@ from chunkwise.operators.store import CHUNK_KEY, append_if_absent
 def ingest_batch(docs: DataFrame, annotations: DataFrame | None, store_path: str, embedder=None,
                  size: int = 1000, overlap: int = 200) -> int:
     """Batch form: chunk -> categorize -> (anti-join) -> embed -> append.  Returns rows appended."""
-    chunks = assign_categories(chunk_documents(docs, size, overlap), annotations)
+    chunks = chunk_store(chunk_documents(docs, size, overlap), annotations)
     return append_if_absent(
         chunks, store_path, CHUNK_KEY, order=None,
         embed_fn=lambda df: embed(df, "text", embedder=embedder),
