@@ -21,7 +21,7 @@ from chunkwise.operators.sampling import sql_stratified_sample, stratified_sampl
 from chunkwise.operators.search import knn_join
 from chunkwise.operators.tokens import approx_tokens
 from chunkwise.operators.traces import pair_tool_calls, retrieved_context, usage
-from chunkwise.plans.catalog import register
+from chunkwise.plans.catalog import register, shared
 from chunkwise.plans.q_ingest import all_annotations, sql_categorized_chunks
 from chunkwise.plans.q_search import embedded_chunks, sql_contract_row
 from chunkwise.sources.tables import SQL_TRACES, sql_with, table, traces
@@ -170,7 +170,9 @@ WHERE c.part_kind = 'tool-call'
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_tool_calls(traces(spark, sf_dir))
+    """Tool calls paired with returns; the trace table is stored once per session (read by several branches)."""
+    parts = shared(spark, sf_dir, "trace_parts", lambda: traces(spark, sf_dir))
+    return pair_tool_calls(parts)
 
 
 @register("trace_pairs", sql_with({"tr": SQL_TRACES}, SQL_PAIRS))
