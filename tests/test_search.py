@@ -104,3 +104,18 @@ def test_category_bridge_prunes_and_matches(spark, tmp_path):
         assert got == _brute(rows, q, 6, cat)
     plan = spark.read.parquet(path).filter(F.col("cat") == "C1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cat" in plan
+
+
+def test_resolve_cutoff_edges_and_ties(spark):
+    import difflib
+
+    vocab = ["abcdefghij", "abcdefghzz", "abcdefghyy", "zzzz"]
+    # ratio("abcdefxxxx", "abcdefghij") = 0.6 exactly; one more match char lifts it above
+    requests = ["abcdefxxxx", "abcdexxxxx", "abcdefghxx", "zzz", "ABCDEFGHIJ"]
+    for r in requests:
+        assert isinstance(difflib.get_close_matches(r, vocab, n=1, cutoff=0.6), list)
+    vdf = spark.createDataFrame([(v,) for v in vocab], "category string")
+    rdf = spark.createDataFrame([(r,) for r in requests], "requested string")
+    got = {r.requested: (r.resolved, r.was_corrected) for r in resolve_categories(rdf, vdf).collect()}
+    for r in requests:
+        assert got[r] == resolve_model(r, sorted(vocab)), r

@@ -236,3 +236,12 @@ def test_join_pairing_equals_sequential_rule(spark):
         for c in _pair_parts(rows):
             exp[(run, c["call_seq"])] = (c["result"], c["return_seq"], c["args_kind"])
     assert got == exp
+
+
+def test_pluggable_token_counter(spark):
+    from pyspark.sql import functions as F2
+
+    docs = spark.createDataFrame([("a.txt", "one two three four five")], "document_name string, text string")
+    words = lambda c: F2.size(F2.split(F2.trim(c), " +")).cast("long")
+    r = contract_estimates(docs, counter=words).first()
+    assert r.raw_tokens == 5 and r.embedding_tokens == 5
