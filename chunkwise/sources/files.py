@@ -98,17 +98,27 @@ def invalid_utf8_count(spark: SparkSession, directory: str, glob: str = "*.txt")
 # ------------------------------------------------------------------ S5 -----
 
 
+def _fs_and_root(directory: str):
+    """A pyarrow filesystem for the folder URI (local path, file://, hdfs://, s3://, gs://...)."""
+    from pyarrow import fs as pafs
+
+    if "://" not in directory:
+        return pafs.LocalFileSystem(), os.path.abspath(directory)
+    return pafs.FileSystem.from_uri(directory)
+
+
 def _write_files_fn(directory: str):
     def write(batches):
-        os.makedirs(directory, exist_ok=True)
+        fs, root = _fs_and_root(directory)
+        fs.create_dir(root, recursive=True)
         for pdf in batches:
             sizes = []
             for name, text in zip(pdf["file_name"].tolist(), pdf["text"].tolist()):
-                target = os.path.join(directory, name)
+                target = f"{root}/{name}"
                 tmp = target + ".part"
-                with open(tmp, "w", encoding="utf-8", newline="") as fh:
-                    fh.write(text or "")
-                os.replace(tmp, target)  # atomic: a retried task rewrites the same file
+                with fs.open_output_stream(tmp) as out:
+                    out.write((text or "").encode("utf-8"))
+                fs.move(tmp, target)  # a retried task rewrites the same file
                 sizes.append(len(text or ""))
             if sizes:
                 yield pd.DataFrame({"file_name": pdf["file_name"], "n_chars": sizes})
@@ -122,14 +132,19 @@ def materialize_corpus(
     """Write each row's ``text`` to ``directory/<name with .pdf -> .txt>``; returns files written.
 
     Skipped when the directory already holds ``skip_if_at_least`` ``.txt``
-    files.  Tasks write straight into the (shared) directory; a retried task
-    rewrites its files atomically, so executor loss is harmless.
+    files.  Tasks write straight into the shared folder through pyarrow's
+    filesystems (local, HDFS, object stores); a retried task rewrites its files,
+    so executor loss is harmless.
     """
-    spark = docs.sparkSession
-    if skip_if_at_least is not None and os.path.isdir(directory):
-        existing = sum(1 for f in os.listdir(directory) if f.endswith(".txt"))
-        if existing >= skip_if_at_least:
-            return 0
+    if skip_if_at_least is not None:
+        from pyarrow import fs as pafs
+
+        fs, root = _fs_and_root(directory)
+        info = fs.get_file_info(root)
+        if info.type == pafs.FileType.Directory:
+            listing = fs.get_file_info(pafs.FileSelector(root, recursive=False))
+            if sum(1 for f in listing if f.path.endswith(".txt")) >= skip_if_at_least:
+                return 0
     rows = docs.select(F.replace(F.col(name_col), F.lit(".pdf"), F.lit(".txt")).alias("file_name"), "text")
     out = rows.mapInPandas(_write_files_fn(directory), "file_name string, n_chars long")
     return int(out.agg(F.count("*")).first()[0])

@@ -245,3 +245,13 @@ def test_pluggable_token_counter(spark):
     words = lambda c: F2.size(F2.split(F2.trim(c), " +")).cast("long")
     r = contract_estimates(docs, counter=words).first()
     assert r.raw_tokens == 5 and r.embedding_tokens == 5
+
+
+def test_materialize_corpus_and_skip(spark):
+    base = tempfile.mkdtemp(prefix="mat-")
+    docs = spark.createDataFrame([("a.pdf", "alpha\n"), ("b.txt", "beta")], "file_name string, text string")
+    assert files.materialize_corpus(docs, base + "/c", skip_if_at_least=None) == 2
+    assert sorted(os.listdir(base + "/c")) == ["a.txt", "b.txt"]
+    assert files.materialize_corpus(docs, base + "/c", skip_if_at_least=2) == 0  # enough files: skipped
+    back = {r.document_name: r.text for r in files.read_text_corpus(spark, "file://" + base + "/c").collect()}
+    assert back == {"a.txt": "alpha\n", "b.txt": "beta"}
