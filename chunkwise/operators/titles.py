@@ -36,7 +36,8 @@ def match_titles(titles: DataFrame, files: DataFrame, title_col: str = "title",
     f = files.select(F.col(file_col).alias("file_name")).distinct().withColumn("fnorm", normalize_name(F.col("file_name")))
     exact = f.select(F.col("file_name").alias("target"), F.col("file_name").alias("f1"))
     by_norm = f.groupBy("fnorm").agg(F.min("file_name").alias("f2"))
-    by_prefix = f.groupBy(F.substring("fnorm", 1, PREFIX_LEN).alias("fpre")).agg(F.min("file_name").alias("f3"))
+    # smallest file per prefix = smallest of the per-name minima (normalises each file once)
+    by_prefix = by_norm.groupBy(F.substring("fnorm", 1, PREFIX_LEN).alias("fpre")).agg(F.min("f2").alias("f3"))
     out = (
         t.join(exact, "target", "left")
         .join(by_norm, F.col("tnorm") == F.col("fnorm"), "left")
