@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 
 import pandas as pd
@@ -251,5 +252,5 @@ def save_snapshot(df: DataFrame, root: str, mode_name: str, stamp: str) -> bool:
         df.write.mode("overwrite").json(f"{root.rstrip('/')}/mode={mode_name}/ts={stamp}")
         return True
     except Exception as exc:  # the reference logs and continues
-        print(f"snapshot failed: {exc}")
+        logging.getLogger("chunkwise").warning("snapshot failed: %s", exc)
         return False
