@@ -102,8 +102,13 @@ def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offse
         "ann_id", "document_name", F.col("toks")[0].alias("t1")
     )
     edge = edge.withColumn("g", F.substring("t1", 1, F.least(F.length("t1"), F.lit(3))))
-    # the span table is small and checkpointed: skip branches that have no spans
-    has_edge = edge.limit(1).count() > 0
+    # the span table is small and checkpointed: one aggregate decides which branches have spans
+    facts = shaped.join(spans.select("ann_id", F.length("text").alias("tl")), "ann_id").agg(
+        F.max("tl").alias("max_len"),
+        F.count_if((F.col("n_inner") <= 0) & (F.size("toks") > 0)).alias("n_edge"),
+        F.count_if((F.size("toks") == 0) & (F.col("an") != "")).alias("n_bare"),
+    ).first()
+    has_edge = (facts["n_edge"] or 0) > 0
     vocab = index.select("document_name", "tok").join(
         edge.select("document_name").distinct(), "document_name", "left_semi"
     ).distinct()
@@ -125,7 +130,7 @@ def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offse
     parts.append(probes.join(index, ["document_name", "tok"]).select(*key))
 
     # signal 2, chunk inside span: only chunks no longer than the longest span can qualify
-    max_len = spans.agg(F.max(F.length("text"))).first()[0] or 0
+    max_len = facts["max_len"] or 0
     short = chunks.select("document_name", "chunk_id", F.length(normalize_ws("text")).alias("cl")).filter(
         F.col("cl") <= F.lit(int(max_len))
     )
@@ -140,7 +145,7 @@ def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offse
     bare = shaped.filter((F.size("toks") == 0) & (F.col("an") != "")).select(
         "ann_id", "document_name", F.substring("an", 1, 1).alias("ch")
     )
-    has_bare = bare.limit(1).count() > 0
+    has_bare = (facts["n_bare"] or 0) > 0
     symbols = chunks.join(bare.select("document_name").distinct(), "document_name", "left_semi").select(
         "document_name", "chunk_id",
         F.explode(F.array_distinct(F.regexp_extract_all(
