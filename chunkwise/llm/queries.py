@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwise.llm import langid, licenses, packing, quality, secrets, token_files
+from chunkwise.llm import decontaminate, html_text, langid, licenses, line_dedup, minhash_dedup, packing, quality, secrets, token_files
 from chunkwise.llm.storage import new_folder
 from chunkwise.llm.tokens import default_path
 
@@ -35,12 +35,37 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path(PACK_TOKENIZER), PACK_END)
 
 
+@_query
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of all documents: doc_id, class_id, copy_of."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it holds."""
+    return decontaminate.contained_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the chunks of lines that stand in an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, removed_col="lines_removed")
+
+
 @_query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents, by models of the rows that may train."""
