@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwise.llm import langid, packing
+from chunkwise.llm import decontaminate, langid, line_dedup, minhash_dedup, packing
 from chunkwise.llm.queries import PACK_END, PACK_TOKENIZER, table
 from chunkwise.llm.storage import stored
 from chunkwise.llm.tokens import default_path
@@ -21,6 +21,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_accepted(docs, models)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without chunks of lines that stand in an earlier one."""
+    return line_dedup.dedup_lines(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return minhash_dedup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of what is left: one row per piece."""
     return packing.pack_documents(docs, default_path(PACK_TOKENIZER), PACK_END)
@@ -28,6 +43,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("decontamination", decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
 
