@@ -1,146 +1,132 @@
 """Agent traces: pairing tool calls with tool returns, usage, and retrieved context.
 
-Parts of one run, in order: a call records (tool, args, call id); a return
-with a known call id fills that call; a return without one (or with an
-unknown id) fills the most recent call of the same tool that has no result
-yet.  Id matches are equi-joins; only runs that need the id-less rule (which is
-stateful within a run) are hash-partitioned by run, sorted by (run, seq) and
-paired in one Python pass per partition (``mapInPandas``).
+Rules, in the order of a run's parts: a return whose call id names an earlier
+call of its run fills that call (the latest one with that id); any other return
+fills the most recent call of its tool that has no result at that moment; the
+last return that reaches a call gives its result.
+
+Named returns are an equi-join.  The other rule is bracket matching: inside a
+run and tool, calls open, returns close, and a return belongs to the last call
+at its own depth -- window functions over (run, tool) and (run, tool, depth).
+Only where a run uses both rules on one tool does the order of all its parts
+matter; those (run, tool) groups are walked in order by one streaming pass.
 """
 
 from __future__ import annotations
 
-import json
+import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chunkwise.operators.render import CALL_SEPARATOR
 
-PAIR_SCHEMA = (
-    "run_id long, call_seq long, tool_name string, tool_call_id string, args_json string, args_kind string, "
-    "result string, return_seq long"
-)
-
-
-def parse_args(raw) -> tuple[str, str]:
-    """Tool arguments as JSON text: a dict as given, a string parsed as JSON, else ``{"raw": text}``."""
-    if raw is None:
-        return json.dumps({}), "empty"
-    if isinstance(raw, dict):
-        return json.dumps(raw, sort_keys=True), "json"
-    try:
-        return json.dumps(json.loads(raw), sort_keys=True), "json"
-    except (ValueError, TypeError):
-        return json.dumps({"raw": raw}), "raw"
-
-
-_PAIR_COLS = ["run_id", "call_seq", "tool_name", "tool_call_id", "args_json", "args_kind", "result", "return_seq"]
-
-
-def _pair_parts(rows) -> list[dict]:
-    """Pair the parts of one run (rows sorted by seq)."""
-    calls: list[dict] = []
-    by_id: dict[str, dict] = {}
-    for run_id, seq, kind, tool, call_id, args, content in rows:
-        if kind == "tool-call":
-            args_json, args_kind = parse_args(args)
-            call = {"run_id": run_id, "call_seq": seq, "tool_name": tool, "tool_call_id": call_id,
-                    "args_json": args_json, "args_kind": args_kind, "result": None, "return_seq": None}
-            calls.append(call)
-            if call_id:
-                by_id[call_id] = call
-        elif kind == "tool-return":
-            if call_id and call_id in by_id:
-                target = by_id[call_id]
-            else:
-                target = next((c for c in reversed(calls) if c["tool_name"] == tool and c["result"] is None), None)
-            if target is not None:
-                target["result"] = content
-                target["return_seq"] = seq
-    return calls
-
-
-def _pair_stream(batches):
-    """Runs arrive contiguous and seq-ordered; a run may straddle Arrow batches."""
-    pending: list = []
-    current = None
-    out: list[dict] = []
-    cols = ["run_id", "seq", "part_kind", "tool_name", "tool_call_id", "args", "content"]
+FILL_SCHEMA = "run_id long, call_seq long, return_seq long, content string"
+
+
+def args_columns(args: Column) -> tuple[Column, Column]:
+    """(args_json, args_kind): JSON text in canonical form, other text as ``{"raw": text}``, null as ``{}``."""
+    parsed = F.try_parse_json(args)
+    as_json = F.when(args.isNull(), F.lit("{}")).when(parsed.isNotNull(), F.to_json(parsed)).otherwise(
+        F.to_json(F.struct(args.alias("raw")))
+    )
+    kind = F.when(args.isNull(), F.lit("empty")).when(parsed.isNotNull(), F.lit("json")).otherwise(F.lit("raw"))
+    return as_json, kind
+
+
+def _bracket_fills(events: DataFrame) -> DataFrame:
+    """Fills by depth for (run, tool) groups without named returns: (run_id, call_seq, return_seq, content)."""
+    by_tool = Window.partitionBy("run_id", "tool_name").orderBy("seq")
+    upto = by_tool.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("opens"), 1).when(F.col("content").isNotNull(), -1).otherwise(0)  # a null result leaves its call open
+    walked = events.withColumn("height", F.sum(step).over(upto))
+    walked = walked.withColumn("floor", F.least(F.lit(0), F.min("height").over(upto)))  # returns that found nothing open
+    depth = F.col("height") - F.col("floor")
+    closed = (~F.col("opens")) & F.col("content").isNotNull()
+    nothing_open = closed & (F.col("height") == F.col("floor")) & (
+        F.coalesce(F.lag("floor").over(by_tool), F.lit(0)) > F.col("floor")
+    )
+    walked = walked.withColumn("depth", F.when(closed, depth + 1).otherwise(depth)).withColumn("stray", nothing_open).where("NOT stray")
+    level = Window.partitionBy("run_id", "tool_name", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    matched = walked.withColumn("call_seq", F.last(F.when(F.col("opens"), F.col("seq")), ignorenulls=True).over(level))
+    return matched.where(~F.col("opens") & F.col("call_seq").isNotNull() & (F.col("depth") > 0)).select(
+        "run_id", "call_seq", F.col("seq").alias("return_seq"), "content"
+    )
+
+
+def _walk(batches):
+    """Fills of (run, tool) groups that mix both rules; rows come grouped and in order.
+
+    Holds the open calls of one group (a heap, latest first) and nothing else.
+    """
+    group, waiting, is_open = None, [], {}
     for pdf in batches:
-        for row in zip(*[pdf[c].tolist() for c in cols]):
-            if row[0] != current and pending:
-                out.extend(_pair_parts(pending))
-                pending = []
-            current = row[0]
-            pending.append(row)
-        if out:
-            yield pd.DataFrame(out, columns=_PAIR_COLS).astype({"return_seq": "Int64"})
-            out = []
-    if pending:
-        out.extend(_pair_parts(pending))
-    if out:
-        yield pd.DataFrame(out, columns=_PAIR_COLS).astype({"return_seq": "Int64"})
-
-
-@F.pandas_udf(T.StructType([T.StructField("args_json", T.StringType()), T.StructField("args_kind", T.StringType())]))
-def _args_columns(args: pd.Series) -> pd.DataFrame:
-    parsed = [parse_args(a) for a in args]
-    return pd.DataFrame({"args_json": [p[0] for p in parsed], "args_kind": [p[1] for p in parsed]})
+        fills = []
+        for run, tool, seq, opens, target, content in zip(
+            pdf["run_id"], pdf["tool_name"], pdf["seq"], pdf["opens"], pdf["target"], pdf["content"]
+        ):
+            if (run, tool) != group:
+                group, waiting, is_open = (run, tool), [], {}
+            if opens:
+                is_open[seq] = True
+                heapq.heappush(waiting, -seq)
+                continue
+            if pd.isna(target):
+                while waiting and not is_open[-waiting[0]]:
+                    heapq.heappop(waiting)
+                if not waiting:
+                    continue
+                call = -waiting[0]
+            else:
+                call = int(target)
+            fills.append((run, call, seq, content))
+            was_open, is_open[call] = is_open.get(call, False), content is None
+            if content is None and not was_open:
+                heapq.heappush(waiting, -call)
+        if fills:
+            yield pd.DataFrame(fills, columns=["run_id", "call_seq", "return_seq", "content"])
 
 
 def pair_tool_calls(parts: DataFrame) -> DataFrame:
-    """One row per tool call with its result (NULL when no return matched).
+    """One row per tool call with its result (NULL when no return reached it).
 
     ``parts``: (run_id, seq, part_kind 'tool-call'|'tool-return', tool_name,
     tool_call_id, args, content).
-
-    A return whose id names an earlier call of its run is matched by an
-    equi-join on (run, call id) -- the latest earlier call with that id; when
-    several returns reach one call the last one wins.  Runs in which every
-    return is matched that way are paired by joins alone.  Runs with a return
-    that has no id, or an unknown one, need the "latest open call of the same
-    tool" rule, whose outcome depends on order: those runs are hash-partitioned
-    by run, sorted by (run, seq) and paired in one Python pass per partition.
     """
     cols = parts.select("run_id", "seq", "part_kind", "tool_name", "tool_call_id", "args", "content")
-    calls = cols.filter(F.col("part_kind") == "tool-call")
-    rets = cols.filter(F.col("part_kind") == "tool-return")
-    keyed_calls = calls.filter(F.col("tool_call_id").isNotNull() & (F.col("tool_call_id") != "")).select(
-        "run_id", F.col("seq").alias("call_seq"), "tool_call_id"
-    )
-    keyed_rets = rets.filter(F.col("tool_call_id").isNotNull() & (F.col("tool_call_id") != "")).select(
-        "run_id", F.col("seq").alias("return_seq"), "tool_call_id", "content"
-    )
-    by_id = (
-        keyed_rets.join(keyed_calls, ["run_id", "tool_call_id"])
-        .filter(F.col("call_seq") < F.col("return_seq"))
-        .groupBy("run_id", "return_seq")
-        .agg(F.max("call_seq").alias("call_seq"), F.first("content").alias("content"))
+    calls = cols.where("part_kind = 'tool-call'")
+    rets = cols.where("part_kind = 'tool-return'").select("run_id", "seq", "tool_name", "tool_call_id", "content")
+    names = calls.where("tool_call_id <> ''").select(
+        "run_id", "tool_call_id", F.col("seq").alias("call_seq"), F.col("tool_name").alias("call_tool")
     )
-    unmatched = rets.select("run_id", F.col("seq").alias("return_seq")).join(
-        by_id.select("run_id", "return_seq"), ["run_id", "return_seq"], "left_anti"
+    aimed = rets.where("tool_call_id <> ''").join(names, ["run_id", "tool_call_id"]).where("call_seq < seq")
+    named = aimed.groupBy("run_id", "seq").agg(
+        F.max(F.struct("call_seq", "call_tool")).alias("to"), F.first("content").alias("content")
+    ).select("run_id", "seq", F.col("to.call_seq").alias("target"), F.col("to.call_tool").alias("tool_name"), "content")
+    loose = rets.join(named.select("run_id", "seq"), ["run_id", "seq"], "left_anti")
+
+    # Which rules a run uses on a tool decides how its loose returns are matched.
+    loose_tools = loose.select("run_id", "tool_name").distinct()
+    mixed = loose_tools.join(named.select("run_id", "tool_name"), ["run_id", "tool_name"], "left_semi")
+    events = calls.select("run_id", "tool_name", "seq", F.lit(True).alias("opens"), F.lit(None).cast("long").alias("target"),
+                          F.lit(None).cast("string").alias("content"))
+    events = events.unionByName(loose.select("run_id", "tool_name", "seq", F.lit(False).alias("opens"),
+                                             F.lit(None).cast("long").alias("target"), "content"))
+    plain = events.join(loose_tools, ["run_id", "tool_name"], "left_semi").join(mixed, ["run_id", "tool_name"], "left_anti")
+    woven = events.unionByName(named.select("run_id", "tool_name", "seq", F.lit(False).alias("opens"), "target", "content"))
+    woven = woven.join(mixed, ["run_id", "tool_name"], "left_semi")
+    walked = woven.repartition("run_id", "tool_name").sortWithinPartitions("run_id", "tool_name", "seq").mapInPandas(_walk, FILL_SCHEMA)
+    direct = named.join(mixed, ["run_id", "tool_name"], "left_anti").select(
+        "run_id", F.col("target").alias("call_seq"), F.col("seq").alias("return_seq"), "content"
     )
-    sequential_runs = unmatched.select("run_id").distinct()
-
-    # runs paired by joins: per call, the last return that named it
-    last = by_id.groupBy("run_id", "call_seq").agg(F.max(F.struct("return_seq", "content")).alias("r"))
-    native = (
-        calls.join(sequential_runs, "run_id", "left_anti")
-        .withColumnRenamed("seq", "call_seq")
-        .join(last, ["run_id", "call_seq"], "left")
-        .withColumn("a", _args_columns(F.col("args")))
-        .select(
-            "run_id", "call_seq", "tool_name", "tool_call_id", F.col("a.args_json").alias("args_json"),
-            F.col("a.args_kind").alias("args_kind"), F.col("r.content").alias("result"),
-            F.col("r.return_seq").alias("return_seq"),
-        )
+    fills = direct.unionByName(_bracket_fills(plain)).unionByName(walked)
+    last = fills.groupBy("run_id", "call_seq").agg(F.max(F.struct("return_seq", "content")).alias("r"))
+    args_json, args_kind = args_columns(F.col("args"))
+    return calls.withColumnRenamed("seq", "call_seq").join(last, ["run_id", "call_seq"], "left").select(
+        "run_id", "call_seq", "tool_name", "tool_call_id", args_json.alias("args_json"), args_kind.alias("args_kind"),
+        F.col("r.content").alias("result"), F.col("r.return_seq").alias("return_seq"),
     )
-    ordered = cols.join(sequential_runs, "run_id", "left_semi").repartition("run_id").sortWithinPartitions("run_id", "seq")
-    sequential = ordered.mapInPandas(_pair_stream, PAIR_SCHEMA)
-    return native.unionByName(sequential)
 
 
 def retrieved_context(pairs: DataFrame, tool: str = "retrieve_contracts") -> DataFrame:

@@ -185,9 +185,9 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     tool = F.when(F.length("text") % 3 == 0, F.lit(TOOLS[1])).otherwise(F.lit(TOOLS[0]))
-    words = F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", "")
+    words = F.regexp_replace("text", "[^A-Za-z ]", "")
     args = F.when(
-        F.col("conv_id") % 3 == 0, F.substring("text", 1, 30)
+        F.col("conv_id") % 3 == 0, F.col("text")
     ).otherwise(F.concat(F.lit('{"search_query": "'), words, F.lit('"}')))
     base = conv.select(
         "conv_id", "turn", "role", "text",
@@ -223,8 +223,8 @@ SELECT conv_id AS run_id, turn AS seq,
        CASE WHEN conv_id % 2 = 0 AND (role = 'user' OR prev_role = 'user')
             THEN concat('call_', conv_id, '_', CASE WHEN role = 'user' THEN turn ELSE prev_turn END) END AS tool_call_id,
        CASE WHEN role = 'user' THEN
-            CASE WHEN conv_id % 3 = 0 THEN substring(text, 1, 30)
-                 ELSE concat('{"search_query": "', regexp_replace(substring(text, 1, 30), '[^A-Za-z ]', '', 'g'), '"}') END
+            CASE WHEN conv_id % 3 = 0 THEN text
+                 ELSE concat('{"search_query": "', regexp_replace(text, '[^A-Za-z ]', '', 'g'), '"}') END
        END AS args,
        CASE WHEN role = 'assistant' THEN text END AS content
 FROM (SELECT *, lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text, lag(turn) OVER w AS prev_turn

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkwise.functions.chunking import chunk_geometry, chunk_spans, estimate_page
 from chunkwise.operators.chunk import chunk_documents
-from spec_models import chunk_model
+from spec_models import chunk_spans_by_rule
 
 
 def _texts():
@@ -52,7 +52,7 @@ def test_chunks_match_model(spark, size, overlap):
     for r in chunk_documents(df, size, overlap).collect():
         got.setdefault(r.document_name, []).append((r.chunk_id, r.text, r.chunk_start, r.chunk_end, r.page))
     for name, text in cases.items():
-        exp = [(i, t, s, e, s // 3000 + 1) for i, (t, s, e) in enumerate(chunk_model(text, size, overlap))]
+        exp = [(i, t, s, e, s // 3000 + 1) for i, (t, s, e) in enumerate(chunk_spans_by_rule(text, size, overlap))]
         assert sorted(got.get(name, [])) == exp, name
 
 
@@ -89,5 +89,5 @@ def test_many_chunks_one_document(spark):
     text = "".join(rnd.choice(["word ", "mot. ", "x\n\n", "ü "]) for _ in range(60000))
     df = spark.createDataFrame([("big", text)], "document_name string, text string")
     got = sorted((r.chunk_id, r.text, r.chunk_start, r.chunk_end) for r in chunk_documents(df, 50, 10).collect())
-    exp = [(i, t, s, e) for i, (t, s, e) in enumerate(chunk_model(text, 50, 10))]
+    exp = [(i, t, s, e) for i, (t, s, e) in enumerate(chunk_spans_by_rule(text, 50, 10))]
     assert len(exp) > 64 * 10 and got == exp

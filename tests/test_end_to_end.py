@@ -8,7 +8,7 @@ import pandas as pd
 
 from chunkwise.plans.answer_eval import answer_evaluation
 from chunkwise.plans.ingest import ingest_contracts, ingest_products
-from spec_models import categories_model, chunk_model
+from spec_models import categories_model, chunk_spans_by_rule
 
 
 def test_ingest_products_and_contracts(spark):
@@ -35,7 +35,7 @@ def test_ingest_products_and_contracts(spark):
                    "zzz.txt": [{"category": "Gone", "start_char": 0, "end_char": 5}]}, fh)
     store_c = os.path.join(base, "store_contracts")
     s = ingest_contracts(spark, corpus, ann_path, store_c).first()
-    n_exp = sum(len(chunk_model(t)) for t in texts.values())
+    n_exp = sum(len(chunk_spans_by_rule(t)) for t in texts.values())
     assert (s.files, s.annotated_files, s.chunks, s.chunks_added) == (3, 1, n_exp, n_exp)
     assert ingest_contracts(spark, corpus, ann_path, store_c).first().chunks_added == 0
     rows = spark.read.parquet(store_c).filter("document_name = 'a.txt'").collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkwise.operators.resolve import resolve_categories
 from chunkwise.operators.search import knn_join, search
-from spec_models import resolve_model
+from spec_models import best_category
 
 SCHEMA = "document_name string, chunk_id int, embedding array<float>, category array<string>"
 
@@ -71,7 +71,7 @@ def test_resolve_categories(spark):
     rdf = spark.createDataFrame([(r,) for r in requests], "requested string")
     got = {r.requested: (r.resolved, r.was_corrected) for r in resolve_categories(rdf, vdf).collect()}
     for r in requests:
-        assert got[r] == resolve_model(r, sorted(vocab)), r
+        assert got[r] == best_category(r, sorted(vocab)), r
 
 
 def test_resolve_empty_vocabulary(spark):
@@ -118,4 +118,4 @@ def test_resolve_cutoff_edges_and_ties(spark):
     rdf = spark.createDataFrame([(r,) for r in requests], "requested string")
     got = {r.requested: (r.resolved, r.was_corrected) for r in resolve_categories(rdf, vdf).collect()}
     for r in requests:
-        assert got[r] == resolve_model(r, sorted(vocab)), r
+        assert got[r] == best_category(r, sorted(vocab)), r

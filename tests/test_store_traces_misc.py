@@ -12,7 +12,7 @@ from chunkwise.operators.annotate import answers_to_spans
 from chunkwise.operators.store import append_if_absent, migrate_down, migrate_up, new_rows
 from chunkwise.operators.titles import match_titles
 from chunkwise.operators.tokens import contract_estimates, first_files_with_tail
-from chunkwise.operators.traces import pair_tool_calls, parse_args
+from chunkwise.operators.traces import args_columns, pair_tool_calls
 from chunkwise.sources import files
 
 PARTS = "run_id long, seq long, part_kind string, tool_name string, tool_call_id string, args string, content string"
@@ -66,10 +66,13 @@ def test_trace_pairing_rules(spark):
     }
 
 
-def test_parse_args():
-    assert json.loads(parse_args('{"a": 1}')[0]) == {"a": 1}
-    assert json.loads(parse_args("oops")[0]) == {"raw": "oops"}
-    assert parse_args({"b": 2})[1] == "json"
+def test_args_columns(spark):
+    from pyspark.sql import functions as F2
+
+    df = spark.createDataFrame([('{"b": 1, "a": [true, null]}',), ("oops",), (None,), ('say "x"\n',)], "args string")
+    got = [(r.j, r.k) for r in df.select(*[c.alias(n) for c, n in zip(args_columns(F2.col("args")), "jk")]).collect()]
+    assert [k for _, k in got] == ["json", "raw", "empty", "raw"]
+    assert [json.loads(j) for j, _ in got] == [{"a": [True, None], "b": 1}, {"raw": "oops"}, {}, {"raw": 'say "x"\n'}]
 
 
 def test_token_estimates(spark):
@@ -211,31 +214,24 @@ def test_passages_with_empty_partitions(spark):
     assert locate_passages(docs, bench).filter("item_id = 3").count() == 40  # empty passage: every document at 0
 
 
-def test_join_pairing_equals_sequential_rule(spark):
+def test_pairing_equals_definition(spark):
     import random
 
-    from chunkwise.operators.traces import _pair_parts
+    from spec_models import fills_by_rule
 
     rnd = random.Random(5)
     parts = []
-    for run in range(60):
-        ids = [f"i{j}" for j in range(4)]
-        for seq in range(rnd.randint(1, 12)):
+    for run in range(90):
+        ids = {0: ["a", "b", None, "", "zz"], 1: ["a", "b", "c"], 2: [None]}[run % 3]  # mixed, named only, brackets only
+        for seq in range(rnd.randint(1, 14)):
             tool = rnd.choice(["retrieve_contracts", "retrieve_products"])
             if rnd.random() < 0.5:
-                cid = rnd.choice(ids + [None, ""]) if run % 3 == 0 else rnd.choice(ids)
-                parts.append((run, seq, "tool-call", tool, cid, '{"q": %d}' % seq, None))
+                parts.append((run, seq, "tool-call", tool, rnd.choice(ids[:4]), '{"q": %d}' % seq, None))
             else:
-                cid = rnd.choice(ids + [None, "zz"]) if run % 3 == 0 else rnd.choice(ids)
-                parts.append((run, seq, "tool-return", tool, cid, None, f"r{run}-{seq}"))
+                parts.append((run, seq, "tool-return", tool, rnd.choice(ids), None, rnd.choice([None, f"r{run}-{seq}", f"s{seq}"])))
     df = spark.createDataFrame(parts, PARTS)
-    got = {(r.run_id, r.call_seq): (r.result, r.return_seq, r.args_kind) for r in pair_tool_calls(df).collect()}
-    exp = {}
-    for run in range(60):
-        rows = sorted(p for p in parts if p[0] == run)
-        for c in _pair_parts(rows):
-            exp[(run, c["call_seq"])] = (c["result"], c["return_seq"], c["args_kind"])
-    assert got == exp
+    got = {(r.run_id, r.call_seq): (r.result, r.return_seq) for r in pair_tool_calls(df).collect()}
+    assert got == fills_by_rule(parts)
 
 
 def test_pluggable_token_counter(spark):
