@@ -9,6 +9,8 @@ faithfulness report.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,22 +77,38 @@ JUDGE_USER_TEMPLATE = (
 VERDICT_SCHEMA = "correctness boolean, correctness_reason string, faithfulness boolean, faithfulness_reason string"
 
 
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """The template cut at its slots: (literal text, name of the slot behind it or '')."""
+    cut = re.split(r"\{(\w+)\}", template) + [""]
+    return list(zip(cut[::2], cut[1::2]))
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(QUESTION_TEMPLATES.items()), "category string, template string")
+    rows = [(category, template_parts(text)) for category, text in sorted(QUESTION_TEMPLATES.items())]
+    return spark.createDataFrame(rows, "category string, parts array<struct<literal:string,slot:string>>")
+
+
+def _parts_column(template: str) -> Column:
+    return F.array(*[F.struct(F.lit(x).alias("literal"), F.lit(s).alias("slot")) for x, s in template_parts(template)])
+
+
+def _fill(parts: Column, slots: dict[str, Column]) -> Column:
+    """Every slot filled once; slot names inside the filled-in values stay as they are."""
 
+    def piece(p: Column) -> Column:
+        value = F.lit("")
+        for name, filled in slots.items():
+            value = F.when(p["slot"] == name, F.coalesce(filled, F.lit(""))).otherwise(value)
+        return F.concat(p["literal"], value)
 
-def _fill(template: Column, slots: dict[str, Column]) -> Column:
-    out = template
-    for name, value in slots.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    return out
+    return F.array_join(F.transform(parts, piece), "")
 
 
 def answer_cases(sample: DataFrame) -> DataFrame:
     """(ann_id, case_name, question, document_name, category, gold_text) from sampled spans."""
     tpl = F.broadcast(templates(sample.sparkSession))  # 41 fixed rows
     joined = sample.join(tpl, "category", "left")
-    template = F.coalesce(F.col("template"), F.lit(DEFAULT_TEMPLATE))
+    template = F.coalesce(F.col("parts"), _parts_column(DEFAULT_TEMPLATE))
     question = _fill(template, {"doc_short": doc_short("document_name"), "category": F.col("category")})
     return joined.select(
         "ann_id",
@@ -111,7 +129,7 @@ def judge_prompts(cases: DataFrame, outputs: DataFrame, key: str = "ann_id") ->
         F.col("retrieved_context")
     )
     prompt = _fill(
-        F.lit(JUDGE_USER_TEMPLATE),
+        _parts_column(JUDGE_USER_TEMPLATE),
         {"question": F.col("question"), "expected_answer": F.col("gold_text"),
          "system_answer": F.col("answer_text"), "retrieved_context": ctx},
     )

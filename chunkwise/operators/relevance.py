@@ -22,14 +22,14 @@ Candidate pairs come from
   chunk containing it -- the longest such token probes the index; spans with
   only edge tokens probe a character-gram index of the document vocabulary
   with their first token;
-* signal 2, chunk inside span: chunks no longer than the longest span.
-
+* signal 2, chunk inside span: the same probes from the chunk's side against the
+  tokens of the document's spans;
 * signal 2, spans without any word character (punctuation only): such a span
   lies inside a non-word run of the chunk, so its first character probes an
   index of each chunk's distinct non-word characters.
 
-Every candidate is then verified exactly; the ratio is computed per candidate
-pair from the two token arrays.
+Every candidate is then verified exactly; its ratio comes from a join of token
+counts.
 """
 
 from __future__ import annotations
@@ -46,15 +46,50 @@ CONF_OFFSET = 1.0
 CONF_CONTAINS = 0.95
 
 
-def multiset_overlap(a_toks: Column, c_toks: Column) -> Column:
-    """sum over distinct tokens t of span of min(count of t in span, count of t in chunk)."""
-    return F.aggregate(
-        F.array_distinct(a_toks),
-        F.lit(0).cast("long"),
-        lambda acc, t: acc + F.least(
-            F.size(F.filter(a_toks, lambda x: x == t)), F.size(F.filter(c_toks, lambda x: x == t))
-        ).cast("long"),
-    )
+def token_overlap(pairs: DataFrame, spans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(ann_id, document_name, chunk_id, shared): sum over tokens of min(count in span, count in chunk); pairs without are absent."""
+    count = F.count("*")
+    in_span = spans.select("ann_id", F.explode("atoks").alias("tok")).groupBy("ann_id", "tok").agg(count.alias("a"))
+    in_chunk = chunks.select("document_name", "chunk_id", F.explode("ctoks").alias("tok")).groupBy(
+        "document_name", "chunk_id", "tok"
+    ).agg(count.alias("c"))
+    both = pairs.join(in_span, "ann_id").join(in_chunk, ["document_name", "chunk_id", "tok"])
+    return both.groupBy("ann_id", "document_name", "chunk_id").agg(F.sum(F.least("a", "c")).alias("shared"))
+
+
+def _shape(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, an, toks, sw, n_inner): normalised text, its tokens, and how many of them stand between non-word characters."""
+    norm = rows.select(*ids, normalize_ws("text").alias("an"))
+    toks = F.regexp_extract_all(F.col("an"), F.lit(WORD_PATTERN), 0)
+    sw = F.col("an").rlike("^" + WORD_PATTERN).cast("int")
+    ew = F.col("an").rlike(WORD_PATTERN + "$").cast("int")
+    return norm.select(*ids, "an", toks.alias("toks"), sw.alias("sw"), (F.size(toks) - sw - ew).alias("n_inner"))
+
+
+def _longest_inner(shaped: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, tok): the longest interior token (the least of equally long ones); it is a whole token of any text around."""
+    inner = F.slice("toks", F.col("sw") + F.lit(1), F.col("n_inner"))
+    longest = F.array_min(F.transform(inner, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return shaped.filter(F.col("n_inner") > 0).select(*ids, longest["t"].alias("tok"))
+
+
+def _edge_token(shaped: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, t1, g): first token of texts without interior tokens, and its first characters."""
+    edge = shaped.filter((F.col("n_inner") <= 0) & (F.size("toks") > 0)).select(*ids, F.col("toks")[0].alias("t1"))
+    return edge.withColumn("g", F.substring("t1", 1, F.least(F.length("t1"), F.lit(3))))
+
+
+def _grams(vocab: DataFrame) -> DataFrame:
+    """(document_name, tok, g): the substrings of one to three characters of every token."""
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda g: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("tok") - g + F.lit(1), F.lit(1))), lambda p: F.substring(F.col("tok"), p, g))))
+    return vocab.select("document_name", "tok", F.explode(pieces).alias("g")).distinct()
+
+
+def _symbols(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, ch): the distinct characters of a text that are neither word characters nor white space."""
+    bare = F.regexp_replace(F.lower("text"), "[\\p{L}\\p{N}_]|" + WS_CLASS, "")
+    return rows.select(*ids, F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit("(?s)."), 0))).alias("ch"))
 
 
 def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offsets: bool) -> DataFrame:
@@ -80,80 +115,44 @@ def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offse
     probes3 = ranked.filter(F.col("before") < F.col("total") - tau + F.lit(1)).select("ann_id", "document_name", "tok")
 
     # signal 2 (span inside chunk): the longest interior token of the normalised span
-    norm = spans.select("ann_id", "document_name", normalize_ws("text").alias("an"))
-    toks = F.regexp_extract_all(F.col("an"), F.lit(WORD_PATTERN), 0)
-    sw = F.col("an").rlike("^" + WORD_PATTERN).cast("int")
-    ew = F.col("an").rlike(WORD_PATTERN + "$").cast("int")
-    shaped = norm.select(
-        "ann_id", "document_name", "an", toks.alias("toks"), sw.alias("sw"), ew.alias("ew"),
-    ).withColumn("n_inner", F.size("toks") - F.col("sw") - F.col("ew"))
-    inner = shaped.filter(F.col("n_inner") > 0).select(
-        "ann_id", "document_name",
-        F.aggregate(
-            F.slice("toks", F.col("sw") + F.lit(1), F.col("n_inner")), F.lit(""),
-            lambda best, t: F.when(
-                (F.length(t) > F.length(best)) | ((F.length(t) == F.length(best)) & (t < best)), t
-            ).otherwise(best),
-        ).alias("tok"),
-    )
-
-    # signal 2, edge-only spans: first token inside some vocabulary token of the document
-    edge = shaped.filter((F.col("n_inner") <= 0) & (F.size("toks") > 0)).select(
-        "ann_id", "document_name", F.col("toks")[0].alias("t1")
-    )
-    edge = edge.withColumn("g", F.substring("t1", 1, F.least(F.length("t1"), F.lit(3))))
-    # the span table is small and checkpointed: one aggregate decides which branches have spans
-    facts = shaped.join(spans.select("ann_id", F.length("text").alias("tl")), "ann_id").agg(
-        F.max("tl").alias("max_len"),
-        F.count_if((F.col("n_inner") <= 0) & (F.size("toks") > 0)).alias("n_edge"),
-        F.count_if((F.size("toks") == 0) & (F.col("an") != "")).alias("n_bare"),
-    ).first()
-    has_edge = (facts["n_edge"] or 0) > 0
+    shaped = _shape(spans, ["ann_id", "document_name"])
+    inner = _longest_inner(shaped, ["ann_id", "document_name"])
+    # edge-only spans: first token inside some vocabulary token of the document
+    edge = _edge_token(shaped, ["ann_id", "document_name"])
     vocab = index.select("document_name", "tok").join(
         edge.select("document_name").distinct(), "document_name", "left_semi"
     ).distinct()
-    grams = vocab.select(
-        "document_name", "tok",
-        F.explode(
-            F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda g: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("tok") - g + F.lit(1), F.lit(1))),
-                lambda p: F.substring(F.col("tok"), p, g))))
-        ).alias("g"),
-    ).distinct()
-    hit_toks = edge.join(grams, ["document_name", "g"]).filter(F.instr(F.col("tok"), F.col("t1")) > 0)
+    hit_toks = edge.join(_grams(vocab), ["document_name", "g"]).filter(F.instr(F.col("tok"), F.col("t1")) > 0)
 
     probes = probes3.unionByName(inner)
-    if has_edge:
-        probes = probes.unionByName(hit_toks.select("ann_id", "document_name", "tok"))
-    probes = probes.distinct()
+    probes = probes.unionByName(hit_toks.select("ann_id", "document_name", "tok")).distinct()
     # one probe of the (document, token) -> chunk index for signals 2 and 3
     parts.append(probes.join(index, ["document_name", "tok"]).select(*key))
 
-    # signal 2, chunk inside span: only chunks no longer than the longest span can qualify
-    max_len = facts["max_len"] or 0
-    short = chunks.select("document_name", "chunk_id", F.length(normalize_ws("text")).alias("cl")).filter(
-        F.col("cl") <= F.lit(int(max_len))
-    )
-    parts.append(
-        short.join(norm.filter(F.col("an") != ""), "document_name")
-        .filter(F.col("cl") <= F.length("an"))
-        .select(*key)
-    )
+    # signal 2, chunk inside span: the mirror image -- the chunk's longest interior token is a token of the
+    # span; a chunk with edge tokens only probes the span vocabulary with its first token, one without
+    # any word character the span's symbols
+    shaped_c = _shape(chunks, ["document_name", "chunk_id"])
+    empty_c = shaped_c.where("an = ''").select("document_name", "chunk_id")  # an empty chunk lies inside every span
+    parts.append(empty_c.join(shaped.where("an <> ''").select("ann_id", "document_name"), "document_name").select(*key))
+    shaped_c = shaped_c.where("an <> ''")
+    span_index = spans.select("ann_id", "document_name", F.explode(F.array_distinct("atoks")).alias("tok"))
+    spans_of = lambda probes: probes.join(span_index, ["document_name", "tok"]).select(*key)
+    parts.append(spans_of(_longest_inner(shaped_c, ["document_name", "chunk_id"])))
+    edge_c = _edge_token(shaped_c, ["document_name", "chunk_id"])
+    grams_c = _grams(span_index.select("document_name", "tok").join(edge_c.select("document_name").distinct(), "document_name", "left_semi").distinct())
+    hit_c = edge_c.join(grams_c, ["document_name", "g"]).where(F.instr(F.col("tok"), F.col("t1")) > 0)
+    parts.append(spans_of(hit_c.select("document_name", "chunk_id", "tok").distinct()))
+    bare_c = shaped_c.where(F.size("toks") == 0).select("document_name", "chunk_id", F.substring("an", 1, 1).alias("ch"))
+    parts.append(bare_c.join(_symbols(spans, ["ann_id", "document_name"]), ["document_name", "ch"]).select(*key))
 
     # spans without any word character lie inside a non-word run of the chunk:
     # probe an index of each chunk's distinct non-word characters with their first character
     bare = shaped.filter((F.size("toks") == 0) & (F.col("an") != "")).select(
         "ann_id", "document_name", F.substring("an", 1, 1).alias("ch")
     )
-    has_bare = (facts["n_bare"] or 0) > 0
-    symbols = chunks.join(bare.select("document_name").distinct(), "document_name", "left_semi").select(
-        "document_name", "chunk_id",
-        F.explode(F.array_distinct(F.regexp_extract_all(
-            F.regexp_replace(F.lower("text"), "[\\p{L}\\p{N}_]|" + WS_CLASS, ""), F.lit("(?s)."), 0
-        ))).alias("ch"),
-    )
-    if has_bare:
-        parts.append(bare.join(symbols, ["document_name", "ch"]).select(*key))
+    near = chunks.join(bare.select("document_name").distinct(), "document_name", "left_semi")
+    parts.append(bare.join(_symbols(near, ["document_name", "chunk_id"]), ["document_name", "ch"]).select(*key))
 
     if use_offsets:
         parts.append(
@@ -193,13 +192,14 @@ def label_relevance(
                                   word_tokens("text").alias("atoks")))
     ch = cut_lineage(ch.withColumn("ctoks", word_tokens("text")))
     pairs = _candidates(sp, ch, threshold, use_offsets)
+    pairs = cut_lineage(pairs)
+    overlap = token_overlap(pairs, sp, ch)
     full = (
-        pairs.join(sp.select("ann_id", "start_char", "end_char", "atoks", normalize_ws("text").alias("an")), "ann_id")
-        .join(ch.select("document_name", "chunk_id", "chunk_start", "chunk_end", "ctoks",
+        pairs.join(overlap, ["ann_id", "document_name", "chunk_id"], "left").join(sp.select("ann_id", "start_char", "end_char", F.size("atoks").alias("total"), normalize_ws("text").alias("an")), "ann_id")
+        .join(ch.select("document_name", "chunk_id", "chunk_start", "chunk_end",
                         normalize_ws("text").alias("cn")), ["document_name", "chunk_id"])
     )
-    total = F.size("atoks")
-    ratio = F.when(total > 0, multiset_overlap(F.col("atoks"), F.col("ctoks")) / total).otherwise(F.lit(0.0))
+    ratio = F.when(F.col("total") > 0, F.coalesce(F.col("shared"), F.lit(0)) / F.col("total")).otherwise(F.lit(0.0))
     s1 = (
         F.lit(use_offsets) & F.col("chunk_start").isNotNull() & F.col("chunk_end").isNotNull()
         & (F.col("start_char") < F.col("chunk_end")) & (F.col("end_char") > F.col("chunk_start"))

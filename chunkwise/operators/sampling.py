@@ -62,16 +62,20 @@ def stratified_sample(
         spans = spans.withColumn("category_pos", F.lit(None).cast("int"))
     w = Window.partitionBy("category").orderBy(sample_key(seed), F.col("document_name"), F.col("start_char"))
     ranked = spans.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= limit_per_category)
-    return ranked.withColumn("ann_id", annotation_id())
+    # equal spans may be sampled more than once: each is a case of its own
+    same = Window.partitionBy("document_name", "category", "start_char", "end_char", "text").orderBy("slot")
+    nth = F.row_number().over(same)
+    return ranked.withColumn("ann_id", F.when(nth == 1, annotation_id()).otherwise(F.concat(annotation_id(), F.lit("#"), nth.cast("string"))))
 
 
 def sql_stratified_sample(ann_cte: str, limit: int = DEFAULT_LIMIT, seed: int = DEFAULT_SEED) -> str:
     return f"""
-    SELECT *, {sql_annotation_id()} AS ann_id FROM (
+    SELECT * EXCLUDE (nth), {sql_annotation_id()} || CASE WHEN nth = 1 THEN '' ELSE '#' || nth END AS ann_id FROM (
+     SELECT *, row_number() OVER (PARTITION BY document_name, category, start_char, end_char, text ORDER BY slot) AS nth FROM (
       SELECT *, CAST(NULL AS INTEGER) AS category_pos,
              row_number() OVER (PARTITION BY category ORDER BY
                 md5(concat_ws('|', '{seed}', document_name, category, CAST(start_char AS VARCHAR),
                                    CAST(end_char AS VARCHAR), text)), document_name, start_char) AS slot
       FROM {ann_cte} WHERE text IS NOT NULL AND {sql_strip('text')} <> '')
-    WHERE slot <= {limit}
+    WHERE slot <= {limit})
     """

@@ -4,13 +4,12 @@
   Plan: filter -> distance -> ``orderBy().limit(k)`` which Spark runs as a
   per-partition top-k followed by a k-row merge (``TakeOrderedAndProject``).
 * ``knn_join``: a table of queries against a table of vectors -> k nearest per
-  query.  The corpus is streamed once through ``mapInPandas``; each task scores
-  its batches against the (size-bounded, broadcast) query block with one matrix
-  product, keeps a running top-k per query across its batches and emits k rows
-  per query per partition; a final ``row_number() <= k`` (partial top-k before
-  the shuffle) merges them.  Query blocks larger than
-  the broadcast bound are split and processed as several passes, so the
-  result stays exact for any number of queries.
+  query.  Both tables are dealt by a hash into parts and blocks of bounded
+  size; every (part, block) tile is scored by one matrix product in one task
+  and emits keys and distances of its top-k only; ``row_number() <= k`` merges
+  the tiles and the payload is joined to the survivors.  Neither table goes
+  through the driver and nothing is broadcast, so the result is exact for any
+  number of queries.
 
 Ties are broken by the corpus key columns; NULL vectors never match.
 """
@@ -24,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwise.functions.vectors import l2_distance, vector_literal
+from chunkwise.session import cut_lineage
 
 DEFAULT_K = 8
 # Distances are ranked after rounding to this many places, so float noise in the
 # last bits (which differs between engines and summation orders) never decides
 # an order; remaining ties are broken by the key columns.
 RANK_DECIMALS = 9
-QUERY_BLOCK_BYTES = 32 * 1024 * 1024
+PART_ROWS, BLOCK_ROWS = 4096, 1024  # a tile's vectors and queries, whatever the sizes of the tables
 
 
 def category_filter(category: str | None, col: str = "category") -> Column | None:
@@ -78,84 +78,47 @@ def search(
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def _bounded_blocks(df: DataFrame, bytes_expr: Column, limit: int, key: str) -> list[DataFrame]:
-    """Split ``df`` into hash blocks whose estimated size stays below ``limit``."""
-    total = df.agg(F.sum(bytes_expr).alias("b")).first()["b"] or 0
-    n = max(1, -(-int(total) // limit))
-    if n == 1:
-        return [df]
-    return [df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(n)) == i) for i in range(n)]
-
-
-def _knn_scan(bvar, key_cols, vec_col, cat_col, payload, k, with_category):
-    """Per partition: running top-k per query over all Arrow batches, emitted once at the end."""
-
-    def scan(batches):
-        qids, qmat, qcats = bvar.value
-        if len(qids) == 0:
-            return
-        qmat = np.asarray(qmat, dtype=np.float64)
-        qnorm = (qmat * qmat).sum(axis=1)
-        dim = qmat.shape[1]
-        cat_groups: dict = {}
+def _tile_scorer(key_cols: list[str], k: int, with_category: bool):
+    """Top-k per query of one tile: at most about PART_ROWS vectors against BLOCK_ROWS queries."""
+
+    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = ["qid", *key_cols, "distance"]
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({c: [] for c in out})
+        sizes = {len(v) for v in asked["qvec"]}
+        if len(sizes) > 1:
+            raise ValueError(f"query vectors have mixed dimensions {sorted(sizes)}")
+        rows = rows[[len(v) in sizes for v in rows["vec"]]].reset_index(drop=True)
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in out})
+        x, q = np.stack(rows["vec"]).astype(np.float64), np.stack(asked["qvec"]).astype(np.float64)
+        square = (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :]
+        near = square - 2.0 * (x @ q.T)
+        tol = 1e-6 * (square.max() + 1.0)
         if with_category:
-            for j, c in enumerate(qcats):
-                cat_groups.setdefault(c if c else None, []).append(j)
-        # per query: list of (rounded distance, key tuple, exact distance, payload row)
-        best: list[list] = [[] for _ in qids]
-        cols = list(key_cols) + list(payload)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            vecs = pdf[vec_col].tolist()
-            ok = np.array([v is not None and len(v) == dim for v in vecs], dtype=bool)
-            if not ok.any():
-                continue
-            idx = np.nonzero(ok)[0]
-            x = np.stack([np.asarray(vecs[i], dtype=np.float64) for i in idx])
-            sub = pdf.iloc[idx].reset_index(drop=True)
-            xnorm = (x * x).sum(axis=1)
-            d2 = xnorm[:, None] + qnorm[None, :] - 2.0 * (x @ qmat.T)  # rows x queries
-            if with_category:
-                # one pass over the rows' category lists: category -> rows holding it
-                rows_of = {c: [] for c in cat_groups if c is not None}
-                for i, cs in enumerate(sub[cat_col].tolist()):
-                    if cs is None:
-                        continue
-                    for c in set(cs):
-                        hit = rows_of.get(c)
-                        if hit is not None:
-                            hit.append(i)
-                for c, qcols in cat_groups.items():
-                    if c is None:
-                        continue
-                    mask = np.zeros(len(sub), dtype=bool)
-                    mask[rows_of[c]] = True
-                    d2[np.ix_(~mask, qcols)] = np.inf
-            values = list(zip(*[sub[c].tolist() for c in cols])) if cols else [()] * len(sub)
-            nk = len(key_cols)
-            tol = 1e-6 * (xnorm.max() + qnorm.max() + 1.0)
-            for j in range(len(qids)):
-                col = d2[:, j]
-                finite = np.isfinite(col)
-                m = int(finite.sum())
-                if m == 0:
-                    continue
-                kk = min(k, m)
-                kth = np.partition(col[finite], kk - 1)[kk - 1]
-                cand = np.nonzero(finite & (col <= kth + tol))[0]
-                diff = x[cand] - qmat[j][None, :]
-                exact = np.sqrt((diff * diff).sum(axis=1))
-                merged = best[j] + [
-                    (round(float(e), RANK_DECIMALS), values[i][:nk], float(e), values[i]) for e, i in zip(exact, cand)
-                ]
-                merged.sort(key=lambda t: (t[0], t[1]))
-                best[j] = merged[:k]
-        rows = [(qids[j],) + item[3] + (item[2],) for j in range(len(qids)) for item in best[j]]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query_id"] + cols + ["distance"])
-
-    return scan
+            holders: dict[str, list[int]] = {}
+            for i, names in enumerate(rows["cat"]):
+                for name in set(names) if names is not None else ():
+                    holders.setdefault(name, []).append(i)
+            for name, block in asked.groupby("qcat").groups.items():  # a null category groups nowhere: no filter
+                if name:
+                    hidden = np.ones(len(rows), bool)
+                    hidden[holders.get(name, [])] = False
+                    near[np.ix_(hidden, list(block))] = np.inf
+        keys = list(zip(*[rows[c] for c in key_cols]))
+        best = []
+        for j, qid in enumerate(asked["qid"]):
+            column = near[:, j]
+            seen = np.flatnonzero(np.isfinite(column))
+            if len(seen) > k:
+                bound = np.partition(column[seen], k - 1)[k - 1]
+                seen = seen[column[seen] <= bound + tol]
+            exact = np.sqrt(((x[seen] - q[j]) ** 2).sum(axis=1))
+            ranked = sorted((round(float(d), RANK_DECIMALS), keys[i], float(d)) for i, d in zip(seen, exact))
+            best += [(qid, *key, d) for _, key, d in ranked[:k]]
+        return pd.DataFrame(best, columns=out)
+
+    return score
 
 
 def knn_join(
@@ -169,44 +132,36 @@ def knn_join(
     category_col: str = "category",
     keys: tuple[str, ...] = ("document_name", "chunk_id"),
     payload: tuple[str, ...] = (),
-    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, keys..., payload..., distance, rank) for the k nearest corpus rows per query.
 
     With ``query_category`` set, a query only sees rows whose category array
-    contains its category (a NULL/empty query category means no filter).
+    contains its category (a NULL/empty query category means no filter).  Rows
+    that share a query id are one query (the least vector).  ``keys`` identify
+    the corpus rows; the corpus should be a stored table.
     """
-    spark = queries.sparkSession
-    q = queries.select(
-        F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"),
-        (F.col(query_category) if query_category else F.lit(None).cast("string")).alias("qcat"),
-    ).filter(F.col("qvec").isNotNull())
-    per_row = F.size("qvec") * F.lit(8) + F.coalesce(F.length("qcat"), F.lit(0)) + F.lit(32)
-    qid_type = queries.schema[query_id].dataType
-    cols = list(dict.fromkeys(list(keys) + list(payload) + [vec_col] + ([category_col] if query_category else [])))
-    src = corpus.select(*cols)
-    out_fields = [T.StructField("query_id", qid_type)]
-    for c in list(keys) + list(payload):
-        out_fields.append(T.StructField(c, corpus.schema[c].dataType))
-    out_fields.append(T.StructField("distance", T.DoubleType()))
-    schema = T.StructType(out_fields)
-    parts = []
-    for block in _bounded_blocks(q, per_row, block_bytes, "qid"):
-        rows = block.collect()  # bounded by block_bytes
-        qids = [r["qid"] for r in rows]
-        mat = [list(r["qvec"]) for r in rows]
-        dims = {len(m) for m in mat}
-        if len(dims) > 1:
-            raise ValueError(f"query vectors have mixed dimensions {sorted(dims)}")
-        bvar = spark.sparkContext.broadcast((qids, mat, [r["qcat"] for r in rows]))
-        fn = _knn_scan(bvar, keys, vec_col, category_col, payload, k, query_category is not None)
-        parts.append(src.mapInPandas(fn, schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", RANK_DECIMALS).asc(), *[F.col(c).asc() for c in keys])
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.withColumnRenamed("query_id", query_id)
+    category = F.col(query_category) if query_category else F.lit(None).cast("string")
+    asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"), category.alias("qcat")).where("qvec IS NOT NULL")
+    one = F.min(F.struct("qvec", "qcat")).alias("q")
+    # stored before anything else reads it: a paid embedder runs once per query
+    asked = cut_lineage(asked.groupBy("qid").agg(one).select("qid", "q.qvec", "q.qcat"))
+    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    parts = max(1, -(-corpus.select(*keys).count() // PART_ROWS))
+    cat = F.col(category_col) if query_category else F.lit(None).cast("array<string>")
+    rows = corpus.where(F.col(vec_col).isNotNull()).select(*keys, F.col(vec_col).alias("vec"), cat.alias("cat"))
+    side = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts))).withColumn("block", side(blocks))
+    tiles = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("part", side(parts))
+    fields = [asked.schema["qid"], *[corpus.schema[c] for c in keys], T.StructField("distance", T.DoubleType())]
+    scored = rows.groupBy("part", "block").cogroup(tiles.groupBy("part", "block")).applyInPandas(
+        _tile_scorer(list(keys), k, query_category is not None), T.StructType(fields)
+    )
+    w = Window.partitionBy("qid").orderBy(F.round("distance", RANK_DECIMALS).asc(), *[F.col(c).asc() for c in keys])
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rest = [c for c in payload if c not in keys]
+    if rest:  # only the survivors meet their payload
+        ranked = corpus.select(*keys, *rest).join(ranked, list(keys))
+    return ranked.select(F.col("qid").alias(query_id), *keys, *rest, "distance", "rank")
 
 
 def knn_lsh(

@@ -36,8 +36,6 @@ def scratch(spark: SparkSession, sf_dir: str, what: str) -> str:
     """A folder under the shared checkpoint directory, stable per data folder."""
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
     base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
     return f"{base.rstrip('/')}/chunkwise-scratch/{tag}/{what}"
 
 
@@ -45,28 +43,22 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table built once per session and data folder, cut from its lineage.
+    """A derived table built once per session and data folder, stored as Parquet.
 
     Stands for a stored table (the chunk store, the annotation file): later
-    queries read it instead of recomputing it.  ``checkpoint`` writes it to the
-    shared checkpoint folder, so executor loss does not lose it.
+    queries read it, pruned to their columns, instead of recomputing it.  It
+    lies below the shared checkpoint folder, so executor loss does not lose it.
     """
     key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), name)
     df = _SHARED.get(key)
     if df is None:
-        checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
-        _SHARED[key] = df
+        path = f"{scratch(spark, sf_dir, 'shared')}-{spark.sparkContext.applicationId}-{name}"
+        built = build()
+        built.write.mode("overwrite").parquet(path)
+        df = _SHARED[key] = spark.read.schema(built.schema).parquet(path)
     return df
 
 
 def load_all() -> None:
     """Import every query module (they register themselves)."""
-    import importlib
-
-    for mod in ("q_ingest", "q_search", "q_eval", "q_answers", "q_misc"):
-        try:
-            importlib.import_module(f"chunkwise.plans.{mod}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"chunkwise.plans.{mod}":
-                raise
+    from chunkwise.plans import q_answers, q_eval, q_ingest, q_misc, q_search  # noqa: F401

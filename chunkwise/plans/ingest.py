@@ -51,6 +51,7 @@ def ingest_contracts(
     docs = files.read_text_corpus(spark, corpus_dir)
     ann = files.read_annotations(spark, annotations_path, on_missing="empty") if annotations_path else None
     chunks = cut_lineage(chunk_store(chunk_documents(docs, size, overlap), ann))
-    added = append_if_absent(chunks, store_path, CHUNK_KEY, embed_fn=lambda df: embed(df, "text", embedder=embedder))
+    # one file a document, so no key repeats; the order only settles a store that was filled otherwise
+    added = append_if_absent(chunks, store_path, CHUNK_KEY, order=[F.col("text")], embed_fn=lambda df: embed(df, "text", embedder=embedder))
     summary = ingest_summary(docs, chunks, ann)
     return summary.withColumn("chunks_added", F.lit(added).cast("long"))

@@ -24,17 +24,26 @@ from chunkwise.operators.traces import pair_tool_calls, retrieved_context, usage
 from chunkwise.plans.catalog import register, shared
 from chunkwise.plans.q_ingest import all_annotations, sql_categorized_chunks
 from chunkwise.plans.q_search import embedded_chunks, sql_contract_row
+from chunkwise.session import cut_lineage
 from chunkwise.sources.tables import SQL_TRACES, sql_with, table, traces
 
 ANSWER_LIMIT = 10
 K = 8
-ANSWER_CHARS = 200
 
 
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _sql_fill(template: str, slots: dict[str, str]) -> str:
+    """One-pass fill: slots become control characters first, so that slot names inside values are no slots."""
+    for i, name in enumerate(slots):
+        template = f"replace({template}, '{{{name}}}', chr({i + 1}))"
+    for i, value in enumerate(slots.values()):
+        template = f"replace({template}, chr({i + 1}), {value})"
+    return template
+
+
 def _sql_question_ctes() -> dict[str, str]:
     values = ", ".join(f"({_sql_str(c)}, {_sql_str(t)})" for c, t in sorted(QUESTION_TEMPLATES.items()))
     stem = "replace(replace(replace(replace(document_name, '.txt', ''), '.pdf', ''), '-', ' '), '_', ' ')"
@@ -48,8 +57,7 @@ def _sql_question_ctes() -> dict[str, str]:
         "acases": f"""SELECT s.ann_id,
                         concat(replace(substring(s.document_name, 1, 25), ' ', '_'), '__', replace(s.category, ' ', '_'),
                                '__', s.start_char) AS case_name,
-                        replace(replace(coalesce(t.template, {_sql_str(DEFAULT_TEMPLATE)}), '{{doc_short}}', {short}),
-                                '{{category}}', s.category) AS question,
+                        {_sql_fill(f"coalesce(t.template, {_sql_str(DEFAULT_TEMPLATE)})", {"doc_short": short, "category": "s.category"})} AS question,
                         s.document_name, s.category, s.text AS gold_text
                  FROM sample s LEFT JOIN tpl t ON t.category = s.category""",
     }
@@ -69,22 +77,21 @@ def q_answer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answer_outputs(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
-    """Stand-in extractive answerer: retrieve 8 chunks per question; answer = start of the best chunk."""
+    """Stand-in extractive answerer: retrieve 8 chunks per question; answer = the best chunk."""
     q = embed(cases.select("ann_id", "question"), "question", "query_vec")
-    hits = knn_join(q, embedded_chunks(spark, sf_dir), K, query_id="ann_id", payload=("page", "category", "text"))
+    hits = cut_lineage(knn_join(q, embedded_chunks(spark, sf_dir), K, query_id="ann_id", payload=("page", "category", "text")))
     ctx = render_context(hits, "contracts", ("ann_id",))
-    best = hits.filter(F.col("rank") == 1).select("ann_id", F.substring("text", 1, ANSWER_CHARS).alias("answer_text"))
+    best = hits.filter(F.col("rank") == 1).select("ann_id", F.col("text").alias("answer_text"))
     return ctx.join(best, "ann_id").select("ann_id", "answer_text", F.col("context").alias("retrieved_context"))
 
 
 def _fill_sql() -> str:
     t = _sql_str(JUDGE_USER_TEMPLATE).replace("\n", "' || chr(10) || '")
     ctx = f"CASE WHEN coalesce(o.retrieved_context, '') = '' THEN {_sql_str(NONE_RETRIEVED)} ELSE o.retrieved_context END"
-    out = f"({t})"
-    for name, val in (("question", "c.question"), ("expected_answer", "c.gold_text"),
-                      ("system_answer", "coalesce(o.answer_text, '')"), ("retrieved_context", ctx)):
-        out = f"replace({out}, '{{{name}}}', {val})"
-    return out
+    return _sql_fill(f"({t})", {
+        "question": "c.question", "expected_answer": "c.gold_text", "system_answer": "coalesce(o.answer_text, '')",
+        "retrieved_context": ctx,
+    })
 
 
 @register(
@@ -99,7 +106,7 @@ def _fill_sql() -> str:
                           FROM qv, cchunks2 c JOIN cvec cv ON cv.document_name = c.document_name AND cv.chunk_id = c.chunk_id
                           QUALIFY rank <= {K}""",
             "outs": f"""SELECT ann_id,
-                          max(CASE WHEN rank = 1 THEN substring(text, 1, {ANSWER_CHARS}) END) AS answer_text,
+                          max(CASE WHEN rank = 1 THEN text END) AS answer_text,
                           string_agg({sql_contract_row()}, chr(10) || chr(10) ORDER BY rank) AS retrieved_context
                         FROM ranked GROUP BY ann_id""",
         },

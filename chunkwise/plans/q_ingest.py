@@ -98,7 +98,7 @@ def q_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 + S2: documents materialised as ``.txt`` files, scanned back as a text corpus."""
     path = scratch(spark, sf_dir, "corpus_txt")
     files.materialize_corpus(
-        corpus(spark, sf_dir).withColumnRenamed("document_name", "file_name"), path, skip_if_at_least=None
+        corpus(spark, sf_dir).withColumnRenamed("document_name", "file_name"), path, replace=True
     )
     docs = files.read_text_corpus(spark, path)
     return docs.select("document_name", F.length("text").cast("long").alias("n_chars"), "text")

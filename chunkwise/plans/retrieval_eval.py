@@ -1,11 +1,12 @@
-"""Retrieval evaluation as one lazy plan.
+"""Retrieval evaluation.
 
 sample spans (stratified) -> label relevant chunks (multi-signal) -> keep cases
 with a document and a match -> embed the span text as the query -> k nearest
 chunks within the span's category -> hits -> per-case metrics -> report.
 
-Nothing is collected: the chunk table never goes to the driver and every case
-is scored in the same distributed plan.
+The sample, the labels, the cases and the retrieved rows are stored in the
+checkpoint folder where they are used more than once; neither chunks nor cases
+go to the driver.
 """
 
 from __future__ import annotations
@@ -90,13 +91,13 @@ def retrieval_eval(
     embedded_chunks: DataFrame | None = None,
     embedder=None,
 ) -> RetrievalEval:
-    """Lazy retrieval evaluation over ``spans`` (annotations) and ``chunks`` (with ``category``)."""
+    """Retrieval evaluation over ``spans`` (annotations) and ``chunks`` (with ``category``)."""
     sample = cut_lineage(stratified_sample(spans, limit_per_category, seed, categories))
     labels = cut_lineage(label_relevance(sample, chunks, threshold, use_offsets))
-    cases = build_cases(sample, chunks, labels, k)
+    cases = cut_lineage(build_cases(sample, chunks, labels, k))
     ok = cases.filter(F.col("status") == "ok")
     queries = embed(ok.select("ann_id", "query", "category"), "query", "query_vec", embedder=embedder)
-    corpus = embedded_chunks if embedded_chunks is not None else embed(chunks, "text", embedder=embedder)
+    corpus = embedded_chunks if embedded_chunks is not None else cut_lineage(embed(chunks, "text", embedder=embedder))
     retrieved = knn_join(queries, corpus, k, query_id="ann_id", query_category="category")
     return RetrievalEval(sample, labels, cases, retrieved, k)  # retrieval runs on first use
 

@@ -26,7 +26,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CHUNKWISE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("CHUNKWISE_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="chunkwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -60,28 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Inputs up to this size may be re-spread over all cores with one (cheap) shuffle.
-SMALL_INPUT_BYTES = 1 << 30
+# Explicit number of partitions for CPU-heavy per-row work on the input texts; unset: the scan's own.
+INPUT_PARTITIONS = "chunkwise.input.partitions"
 
 
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a plan (file sizes for scans), or None."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - JVM internals not reachable
-        return None
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to the number of partitions that the session asks for, or as the scan split it.
 
-
-def spread_small_input(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Round-robin a small input over all task slots before CPU-heavy per-row work.
-
-    A small table stored as one row group is read by one task, leaving the
-    rest of the cluster idle for chunking, scanning or embedding.  Only inputs
-    whose estimated size is at most ``max_bytes`` are re-spread (the shuffle is
-    then cheap); large inputs keep their scan partitioning -- no extra shuffle.
+    Large inputs are split by ``spark.sql.files.maxPartitionBytes``; a caller
+    whose files have one row group each may ask for more partitions here.
     """
-    size = plan_size_bytes(df)
-    if size is None or size > max_bytes:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(2 * slots, 1))
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

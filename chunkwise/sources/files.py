@@ -6,15 +6,12 @@ import logging
 import os
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The catalogue CSV header of the reference.
-PRODUCT_CSV_COLUMNS = (
-    "ProductID", "ProductName", "ProductBrand", "Gender", "Price (INR)", "NumImages", "Description", "PrimaryColor",
-)
-
+# The catalogue CSV header.
 PRODUCT_CSV_SCHEMA = T.StructType([
     T.StructField("ProductID", T.IntegerType()),
     T.StructField("ProductName", T.StringType()),
@@ -116,7 +113,7 @@ def _write_files_fn(directory: str):
             sizes = []
             for name, text in zip(pdf["file_name"].tolist(), pdf["text"].tolist()):
                 target = f"{root}/{name}"
-                tmp = target + ".part"
+                tmp = f"{target}.{TaskContext.get().taskAttemptId()}.part"
                 with fs.open_output_stream(tmp) as out:
                     out.write((text or "").encode("utf-8"))
                 fs.move(tmp, target)  # a retried task rewrites the same file
@@ -127,26 +124,21 @@ def _write_files_fn(directory: str):
     return write
 
 
-def materialize_corpus(
-    docs: DataFrame, directory: str, name_col: str = "file_name", skip_if_at_least: int | None = 500
-) -> int:
+def materialize_corpus(docs: DataFrame, directory: str, name_col: str = "file_name", replace: bool = False) -> int:
     """Write each row's ``text`` to ``directory/<name with .pdf -> .txt>``; returns files written.
 
-    Skipped when the directory already holds ``skip_if_at_least`` ``.txt``
-    files.  Tasks write straight into the shared folder through pyarrow's
-    filesystems (local, HDFS, object stores); a retried task rewrites its files,
-    so executor loss is harmless.
+    Names that the folder already holds are left out (an anti-join with its
+    listing), so a half-finished run is completed; ``replace`` writes them anew.
+    Tasks write straight into the shared folder through pyarrow's filesystems
+    (local, HDFS, object stores) under a temporary name that is then moved.
     """
-    if skip_if_at_least is not None:
-        from pyarrow import fs as pafs
+    from pyarrow import fs as pafs
 
-        fs, root = _fs_and_root(directory)
-        info = fs.get_file_info(root)
-        if info.type == pafs.FileType.Directory:
-            listing = fs.get_file_info(pafs.FileSelector(root, recursive=False))
-            if sum(1 for f in listing if f.path.endswith(".txt")) >= skip_if_at_least:
-                return 0
     rows = docs.select(F.replace(F.col(name_col), F.lit(".pdf"), F.lit(".txt")).alias("file_name"), "text")
+    fs, root = _fs_and_root(directory)
+    if not replace and fs.get_file_info(root).type == pafs.FileType.Directory:
+        listing = docs.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(directory)
+        rows = rows.join(listing.select(F.col("_metadata.file_name").alias("file_name")), "file_name", "left_anti")
     out = rows.mapInPandas(_write_files_fn(directory), "file_name string, n_chars long")
     return int(out.agg(F.count("*")).first()[0])
 

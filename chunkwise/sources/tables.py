@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from chunkwise.functions.text import sql_strip
-from chunkwise.session import spread_small_input
+from chunkwise.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, paragraphs: bool = False) -> DataFrame:
     """(document_name, text): one row per document, name ``doc_<id>.txt``."""
-    docs = spread_small_input(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.col("text")
     if paragraphs:  # the raw data has no blank line; doubling newlines exercises that branch
         text = F.replace(text, F.lit("\n"), F.lit("\n\n"))
@@ -60,7 +60,7 @@ def gold_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from chunkwise.operators.passages import locate_passages
 
-    docs = spread_small_input(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
     found = locate_passages(docs, bench, doc_key="doc_id", passage_key="item_id")
     return found.select(

@@ -19,12 +19,17 @@ from chunkwise.operators.embed import embed
 from chunkwise.operators.store import CHUNK_KEY, append_if_absent
 
 
+def one_version(docs: DataFrame) -> DataFrame:
+    """One text per document name, the least: a document sent twice never ends as a mix of versions."""
+    return docs.groupBy("document_name").agg(F.min("text").alias("text"))
+
+
 def ingest_batch(docs: DataFrame, annotations: DataFrame | None, store_path: str, embedder=None,
                  size: int = 1000, overlap: int = 200) -> int:
     """Batch form: chunk -> categorize -> (anti-join) -> embed -> append.  Returns rows appended."""
-    chunks = chunk_store(chunk_documents(docs, size, overlap), annotations)
+    chunks = chunk_store(chunk_documents(one_version(docs), size, overlap), annotations)
     return append_if_absent(
-        chunks, store_path, CHUNK_KEY, order=None,
+        chunks, store_path, CHUNK_KEY, order=[F.col("text")],
         embed_fn=lambda df: embed(df, "text", embedder=embedder),
     )
 
@@ -38,7 +43,7 @@ def start_ingest_stream(
     annotations: DataFrame | None,
     name_col: str = "document_name",
     text_col: str = "text",
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = None,
     embedder=None,
     available_now: bool = True,
 ):
@@ -47,10 +52,11 @@ def start_ingest_stream(
     Batches run one at a time (``foreachBatch``), which the insert-if-absent
     append relies on.
     """
+    reader = spark.readStream.schema(source_schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     stream = (
-        spark.readStream.schema(source_schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(source_dir)
+        reader.parquet(source_dir)
         .select(F.col(name_col).alias("document_name"), F.col(text_col).alias("text"))
     )
 

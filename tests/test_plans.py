@@ -22,7 +22,7 @@ def test_no_cross_products(spark, name):
     ("stratified_sample", "WindowGroupLimit"),
     ("knn_filtered", "TakeOrderedAndProject"),
     ("category_top10", "TakeOrderedAndProject"),
-    ("knn_batch", "MapInPandas"),
+    ("knn_batch", "FlatMapCoGroupsInPandas"),
 ])
 def test_intended_operators(spark, name, operator):
     assert operator in _plan(entry.queries()[name](spark, SF))

@@ -52,12 +52,16 @@ def test_knn_join_matches_brute_force(spark):
         assert [(d, c) for _, d, c in sorted(got.get(qid, []))] == exp, qid
 
 
-def test_knn_join_small_blocks_exact(spark):
+def test_knn_join_small_tiles_exact(spark, monkeypatch):
+    from chunkwise.operators import search as module
+
+    monkeypatch.setattr(module, "PART_ROWS", 17)
+    monkeypatch.setattr(module, "BLOCK_ROWS", 5)
     rows, df = _corpus(spark, n=80, seed=2)
     queries = [(i, [float(i % 3) / 2] * 8) for i in range(12)]
     qdf = spark.createDataFrame(queries, "query_id int, query_vec array<float>")
     got = {}
-    for r in knn_join(qdf, df, 4, block_bytes=200).collect():  # forces several query blocks
+    for r in knn_join(qdf.union(qdf), df, 4).collect():  # several parts and blocks; repeated queries count once
         got.setdefault(r.query_id, []).append((r.rank, r.document_name, r.chunk_id))
     for qid, vec in queries:
         assert [(d, c) for _, d, c in sorted(got[qid])] == _brute(rows, vec, 4)
@@ -119,3 +123,21 @@ def test_resolve_cutoff_edges_and_ties(spark):
     got = {r.requested: (r.resolved, r.was_corrected) for r in resolve_categories(rdf, vdf).collect()}
     for r in requests:
         assert got[r] == best_category(r, sorted(vocab)), r
+
+
+def test_embedder_runs_once_per_query(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from chunkwise.operators.embed import embed
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def client(texts: pd.Series) -> pd.Series:
+        calls.add(len(texts))
+        return pd.Series([[float(len(t)), 1.0] for t in texts])
+
+    _, df = _corpus(spark, n=40, seed=3)
+    df = df.withColumn("embedding", F.slice("embedding", 1, 2))
+    asked = embed(spark.createDataFrame([(i, "x" * i) for i in range(20)], "query_id int, query string"), "query", "query_vec", embedder=client)
+    assert knn_join(asked, df, 3).count() == 60 and calls.value == 20

@@ -246,8 +246,10 @@ def test_pluggable_token_counter(spark):
 def test_materialize_corpus_and_skip(spark):
     base = tempfile.mkdtemp(prefix="mat-")
     docs = spark.createDataFrame([("a.pdf", "alpha\n"), ("b.txt", "beta")], "file_name string, text string")
-    assert files.materialize_corpus(docs, base + "/c", skip_if_at_least=None) == 2
+    assert files.materialize_corpus(docs.limit(1), base + "/c") == 1
+    assert files.materialize_corpus(docs, base + "/c") == 1  # the half-finished folder is completed
     assert sorted(os.listdir(base + "/c")) == ["a.txt", "b.txt"]
-    assert files.materialize_corpus(docs, base + "/c", skip_if_at_least=2) == 0  # enough files: skipped
+    assert files.materialize_corpus(docs, base + "/c") == 0
+    assert files.materialize_corpus(docs, base + "/c", replace=True) == 2
     back = {r.document_name: r.text for r in files.read_text_corpus(spark, "file://" + base + "/c").collect()}
     assert back == {"a.txt": "alpha\n", "b.txt": "beta"}
