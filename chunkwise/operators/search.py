@@ -40,6 +40,17 @@ def category_filter(category: str | None, col: str = "category") -> Column | Non
     return F.array_contains(F.col(col), F.lit(category))
 
 
+def match_flag(category: str | None, col: str = "category") -> Column:
+    """Whether a row passes the filter that was asked for; always true without one."""
+    wanted = category_filter(category, col)
+    return F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+
+
+def verification(top: DataFrame, category: str | None, col: str = "category") -> DataFrame:
+    """(verified, returned): how many of the returned rows pass the filter."""
+    return top.agg(F.count_if(match_flag(category, col)).alias("verified"), F.count("*").alias("returned"))
+
+
 def search(
     corpus: DataFrame,
     query_vec,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chunkwise.functions.text import sql_normalize_ws, sql_word_tokens
 from chunkwise.operators.embed import sql_dense
 from chunkwise.operators.metrics import KEY_COMPAT, KEY_QUALIFIED, sql_case_metrics
+from chunkwise.operators.relevance import label_relevance
 from chunkwise.operators.sampling import sql_stratified_sample, stratified_sample
 from chunkwise.plans.catalog import register
 from chunkwise.plans.q_ingest import all_annotations, categorized_chunks, sql_categorized_chunks
@@ -145,6 +146,23 @@ def q_relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.labels.select("ann_id", "document_name", "chunk_id", "confidence", "signal")
 
 
+@register(
+    "relevance_labels_no_offsets",
+    sql_with(
+        sql_eval_ctes(),
+        """SELECT ann_id, document_name, chunk_id, CASE WHEN s2 THEN 0.95 ELSE round(ratio, 4) END AS confidence,
+                  CASE WHEN s2 THEN 'contains' ELSE 'tokens' END AS signal
+           FROM lab0 WHERE s2 OR ratio >= 0.5""",
+    ),
+)
+def q_relevance_labels_no_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + J5: the same labels from a chunk store without offsets; containment and token overlap decide."""
+    ev = evaluation(spark, sf_dir)
+    chunks = categorized_chunks(spark, sf_dir).drop("chunk_start", "chunk_end")
+    labels = label_relevance(ev.sample, chunks, use_offsets=False)
+    return labels.select("ann_id", "document_name", "chunk_id", "confidence", "signal")
+
+
 @register(
     "retrieval_cases",
     sql_with(

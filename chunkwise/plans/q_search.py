@@ -15,7 +15,7 @@ from chunkwise.operators.embed import (
 )
 from chunkwise.operators.render import render_context
 from chunkwise.operators.resolve import resolve_categories, vocabulary
-from chunkwise.operators.search import contract_results, knn_join, knn_lsh, product_results, search
+from chunkwise.operators.search import contract_results, knn_join, knn_lsh, product_results, search, verification
 from chunkwise.operators.store import sql_contract_key
 from chunkwise.plans.catalog import register, shared
 from chunkwise.plans.q_ingest import categorized_chunks, sql_categorized_chunks
@@ -146,6 +146,49 @@ def q_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_near_first(where: str) -> str:
+    return f"""(SELECT *, row_number() OVER (ORDER BY round(d, 9), vec_id) AS rank
+                FROM (SELECT v.*, list_distance(CAST(v.embedding AS DOUBLE[]),
+                             CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) AS d
+                      FROM v WHERE {where} AND embedding IS NOT NULL) QUALIFY rank <= {K})"""
+
+
+@register(
+    "search_verified",
+    sql_with(
+        {"v": SQL_VECTORS},
+        f"""SELECT 'filter' AS search, count(*) FILTER (WHERE list_contains(category, '{FILTER_CATEGORY}')) AS verified,
+                   count(*) AS returned FROM {_sql_near_first(f"list_contains(category, '{FILTER_CATEGORY}')")}
+            UNION ALL SELECT 'none', count(*), count(*) FROM {_sql_near_first("true")}""",
+    ),
+)
+def q_search_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: rows that pass the filter / rows returned, with a filter and without one (then all pass)."""
+    v = vectors(spark, sf_dir)
+    qv = list(v.filter(F.col("vec_id") == 0).select("embedding").first()["embedding"])
+    counts = [
+        verification(search(v, qv, K, category=c, keys=("vec_id",)), c).select(F.lit(name).alias("search"), "verified", "returned")
+        for name, c in (("filter", FILTER_CATEGORY), ("none", None))
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+@register(
+    "search_resolved",
+    sql_with(
+        {"v": SQL_VECTORS},
+        f"""SELECT CAST(rank AS INTEGER) AS rank, vec_id, round(d, 6) AS distance
+            FROM {_sql_near_first(f"list_contains(category, '{FILTER_CATEGORY}')")}""",
+    ),
+)
+def q_search_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12 + SC7 + L2: a misspelt category is corrected against the stored vocabulary, then filters the search."""
+    v = vectors(spark, sf_dir)
+    qv = list(v.filter(F.col("vec_id") == 0).select("embedding").first()["embedding"])
+    top = search(v, qv, K, category=FILTER_CATEGORY.lower(), keys=("vec_id",), resolve=True)
+    return top.select("rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 # ------------------------------------------------------------- batch query --
 
 
