@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chunkwise.llm import decontaminate, html_text, langid, licenses, line_dedup, minhash_dedup, packing, quality, secrets, token_files
 from chunkwise.llm.storage import new_folder
@@ -73,7 +74,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = langid.training_rows(docs)
     models = langid.fit_languages(docs.where(train))
     out = langid.predict_languages(docs, models)
-    return out.select("doc_id", (~langid.training_rows(out)).alias("held_out"), "lang_pred", "score", "accepted")
+    return out.select("doc_id", F.coalesce(~langid.training_rows(out), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 @_query
