@@ -9,15 +9,15 @@ all texts; a text throws the darts of its units up to a rank at which all
 coordinate with the probability of their weighted Jaccard similarity.
 
 ``BANDS`` bands of ``ROWS`` coordinates give buckets.  In rounds, every bucket
-whose members are not yet in one class names a pivot, and its members of other
-classes are compared with the pivot: linear in the bucket, never all pairs.
+whose members are not yet in one class names pivots, and its members of other
+classes are compared with these: linear in the bucket, never all pairs.
 Signatures first rule out pairs that are far off, exact weighted Jaccard over
 all shingles decides (``THRESHOLD`` or more), and links become classes by star
 contraction.  The first pivot is the bucket's least id, the next ``DRAWS`` come
 from its largest class; from then on the texts that the last round linked are
 drawn as pivots in their buckets, until a round finds no link.  A text thus meets
-up to five pivots or more in each of its buckets (a pair at 0.8 shares about eight of the
-25); a link between two texts of which neither is ever a pivot of a shared
+five pivots or more in each bucket of that many members (a pair at 0.8 shares
+about eight of the 25); a link between two texts of which neither is ever a pivot of a shared
 bucket and neither is linked to one is the one kind that can be missed
 (README: measured against brute force).
 
@@ -272,15 +272,12 @@ def near_duplicates(
             small.withColumnsRenamed({"rep": "b", "small": "b_small"}), "b"
         )
         found = stored(_verified(_not_far_apart(sized), units), "found")
-        if found.isEmpty():
+        if turn and found.isEmpty():  # the first pivots alone do not settle a bucket
             break
         labels, turn = _merge(labels, found), turn + 1
         joined = found.select(F.col("b").alias("rep")).distinct()
 
-    if labels is not None:
-        reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    else:
-        reps = reps.withColumn("label", F.col("rep"))
+    reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     out = signed.select("id", "copy").join(reps.select("copy", "rep", "label"), "copy", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"), F.coalesce("rep", "id").alias("copy_of"))
 
