@@ -51,7 +51,7 @@ COORDINATES = BANDS * ROWS
 DRAWS = 4  # pivots of a bucket per round after the first
 SLACK = 0.16  # a signature this far below the threshold (4.5 standard deviations) rules a pair out
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
-SLICE = 2000  # units of weight times darts are worked on in slices of this many texts
+SLICE = 500  # texts whose darts are worked on at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -17,7 +17,7 @@ import re
 from array import array
 from functools import lru_cache
 
-CACHE_PIECES = 700_000  # per generation and Python worker; two generations are kept
+CACHE_PIECES = 400_000  # per generation and Python worker; two generations are kept
 # Latin letters that are their own normal form and lower-case to one letter; a full stop or comma may follow.
 _WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
 _OTHER_SPACE = [
