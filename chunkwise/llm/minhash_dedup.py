@@ -8,18 +8,18 @@ all texts; a text throws the darts of its units up to a rank at which all
 ``COORDINATES`` are hit and keeps the earliest of each.  Two texts agree in a
 coordinate with the probability of their weighted Jaccard similarity.
 
-``BANDS`` bands of ``ROWS`` coordinates give buckets.  In rounds, every bucket
+``BANDS`` bands of ``ROWS`` coordinates give buckets.  In two rounds, every bucket
 whose members are not yet in one class names pivots, and its members of other
 classes are compared with these: linear in the bucket, never all pairs.
 Signatures first rule out pairs that are far off, exact weighted Jaccard over
 all shingles decides (``THRESHOLD`` or more), and links become classes by star
 contraction.  The first pivot is the bucket's least id, the next ``DRAWS`` come
-from its largest class; from then on the texts that the last round linked are
-drawn as pivots in their buckets, until a round finds no link.  A text thus meets
-five pivots or more in each bucket of that many members (a pair at 0.8 shares
-about eight of the 25); a link between two texts of which neither is ever a pivot of a shared
-bucket and neither is linked to one is the one kind that can be missed
-(README: measured against brute force).
+from its largest class.  Pivots only settle most buckets cheaply: the texts of every bucket of three or more that
+still holds several classes then meet in an exact join on their rarest units.  Of
+two texts at the threshold each has a shared unit among its rarest
+``1 - THRESHOLD`` of all, in any order of units that is the same for all texts, so
+no pair of such a bucket is left out, whoever was a pivot.  The order is by counts folded
+into ``RARITY_SLOTS`` slots (it changes cost, never results).
 
 A pair of similarity 0.8 shares a bucket with probability 0.99995, one of 0.9
 practically always.  Nothing is capped; hot buckets only meet in aggregates and
@@ -48,7 +48,8 @@ from chunkwise.llm.text_hash import fold_shingles, mix, shingle_hashes, word_has
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-DRAWS = 4  # pivots of a bucket per round after the first
+DRAWS = 4  # pivots of a bucket in the second round
+RARITY_SLOTS = 1 << 18  # counts by which units are ordered: 2 MB whatever the data
 SLACK = 0.16  # a signature this far below the threshold (4.5 standard deviations) rules a pair out
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 SLICE = 500  # texts whose darts are worked on at a time
@@ -211,30 +212,102 @@ def contract(links: DataFrame) -> DataFrame:
     return stored(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
 
 
-def _pivots(members: DataFrame, labels: DataFrame | None, joined: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+def _pivots(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """((bucket, a, a_label) of the buckets that still hold several classes, members with their labels).
 
     The first pivot of a bucket is its least id, the next DRAWS are members of
-    its largest class; from then on only buckets with a member that the last
-    round linked (``joined``) have some, drawn among these.
+    its largest class.
     """
     if labels is None:
         low = members.groupBy("bucket").agg(F.min("rep").alias("a")).withColumn("a_label", F.col("a"))
         return low, members.withColumn("label", F.col("rep"))
     now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     drawn = lambda: F.array_distinct(F.array(*[
-        F.min_by(F.struct(F.col("rep").alias("a"), F.col("label").alias("a_label")), F.xxhash64("rep", "bucket", F.lit(turn * DRAWS + i)))
+        F.min_by(F.struct(F.col("rep").alias("a"), F.col("label").alias("a_label")), F.xxhash64("rep", "bucket", F.lit(DRAWS + i)))
         for i in range(DRAWS)
     ]))
-    if turn > 1:
-        fresh = now.join(joined, "rep", "left_semi").groupBy("bucket").agg(drawn().alias("p"))
-    else:
-        classes = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), drawn().alias("p"))
-        largest = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label", "p")).alias("m"))
-        fresh = largest.where("classes > 1").select("bucket", "m.p")
+    classes = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), drawn().alias("p"))
+    largest = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label", "p")).alias("m"))
+    fresh = largest.where("classes > 1").select("bucket", "m.p")
     return fresh.select("bucket", F.inline("p")), now
 
 
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) of the texts in buckets that still hold several classes; the pivots have tried all pairs of a bucket of two."""
+    now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    several = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    several = several.where("n > 2 AND low != high").select("bucket")
+    return now.join(several, "bucket", "left_semi").select(F.col("rep").alias("id"), "label").distinct()
+
+
+def _rarity(texts: DataFrame) -> bytes:
+    """Occurrences of the units by folded hash, as RARITY_SLOTS 64-bit numbers."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(RARITY_SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch["units"]:
+                np.add.at(n, _rarity_slot(np.frombuffer(raw, np.uint64)), 1)
+        slots = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": slots, "n": n[slots]})
+
+    table = texts.select("units").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(RARITY_SLOTS, np.int64)
+    out[table["slot"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    return out.tobytes()
+
+
+def _rarity_slot(units: np.ndarray) -> np.ndarray:
+    return (units & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)
+
+
+def rare_units(units: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, their places in the common order) of which a text at THRESHOLD shares one; those that no other text has are left out."""
+    seen = rarity[_rarity_slot(units)]
+    order = np.lexsort((units, seen))[: len(units) - int(np.ceil(THRESHOLD * len(units) - 1e-6)) + 1]
+    place = np.flatnonzero(seen[order] > 1)
+    return units[order[place]], place
+
+
+def _remaining_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes among ``texts`` (id, label, units), each pair at THRESHOLD among them.
+
+    They share a rare unit.  Where several classes meet in a unit, the texts
+    outside its largest class are joined with all of its texts; a pair stays if
+    what follows the shared unit in both could still make up the threshold,
+    which holds at the first unit that a true pair shares.
+    """
+    kind, raw = dict(texts.dtypes)["id"], _rarity(texts)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rarity = np.frombuffer(raw, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                units = [np.frombuffer(u, np.uint64) for u in part["units"]]
+                found = [rare_units(u, rarity) for u in units]
+                times = [len(f[0]) for f in found]
+                if sum(times):
+                    yield pd.DataFrame({
+                        "unit": np.concatenate([f[0] for f in found]).view(np.int64), "id": np.repeat(part["id"].to_numpy(), times),
+                        "label": np.repeat(part["label"].to_numpy(), times), "size": np.repeat([len(u) for u in units], times),
+                        "left": np.repeat([len(u) for u in units], times) - np.concatenate([f[1] for f in found]),
+                    })
+
+    rare = stored(texts.mapInPandas(split, f"unit long, id {kind}, label {kind}, size long, left long"), "rare-units")
+    classes = rare.groupBy("unit", "label").agg(F.count("*").alias("n"))
+    top = classes.groupBy("unit").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("m"))
+    rare = rare.join(top.where("classes > 1").select("unit", F.col("m.label").alias("top")), "unit")
+    names = lambda c: {n: f"{c}_{n}" for n in ("id", "label", "size", "left")}
+    one = rare.where("label != top").withColumnsRenamed(names("a"))
+    other = rare.withColumnsRenamed(names("b")).withColumnRenamed("top", "b_top")
+    least, most = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    enough = F.least("a_left", "b_left") >= F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("a_size") + F.col("b_size")) - 1e-6
+    once = F.expr("b_label = b_top OR a_id < b_id")
+    pairs = one.join(other, "unit").where("a_label != b_label").where(once & enough & (least >= THRESHOLD * most - 1e-6))
+    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
 def _merge(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     """The labels with the classes that ``found`` links made one."""
     if labels is None:
@@ -264,18 +337,20 @@ def near_duplicates(
     small = reps.select("rep", "small").join(busy, "rep", "left_semi")
     units = stored(_units(docs, busy.withColumnRenamed("rep", "id"), id_col, text_col).groupBy("id").agg(F.min("units").alias("units")), "units")
 
-    labels, joined, turn = None, None, 0
-    while True:
-        pivots, now = _pivots(members, labels, joined, turn)
-        open_pairs = now.join(pivots, "bucket").where("label != a_label").select("a", F.col("rep").alias("b")).distinct()
-        sized = open_pairs.join(small.withColumnsRenamed({"rep": "a", "small": "a_small"}), "a").join(
+    def linked(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(small.withColumnsRenamed({"rep": "a", "small": "a_small"}), "a").join(
             small.withColumnsRenamed({"rep": "b", "small": "b_small"}), "b"
         )
-        found = stored(_verified(_not_far_apart(sized), units), "found")
-        if turn and found.isEmpty():  # the first pivots alone do not settle a bucket
-            break
-        labels, turn = _merge(labels, found), turn + 1
-        joined = found.select(F.col("b").alias("rep")).distinct()
+        return stored(_verified(_not_far_apart(sized), units), "found")
+
+    labels = None
+    for _ in range(2):  # the first pivots, then those of the largest classes
+        pivots, now = _pivots(members, labels)
+        labels = _merge(labels, linked(now.join(pivots, "bucket").where("label != a_label").select("a", F.col("rep").alias("b")).distinct()))
+    rest = stored(units.join(_unsettled(members, labels), "id"), "unsettled")
+    found = linked(_remaining_pairs(rest))
+    if not found.isEmpty():
+        labels = _merge(labels, found)
 
     reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     out = signed.select("id", "copy").join(reps.select("copy", "rep", "label"), "copy", "left")

@@ -58,6 +58,20 @@ def test_chain_of_links_and_copies(spark):
     assert kept == sorted(set(got.values()))
 
 
+def test_pairs_on_a_template_are_all_found(spark):
+    """Pages that agree at 0.75 fill the buckets; the pairs among them are near copies at 0.81."""
+    frame, texts = prose(200, 184), {}
+    for i in range(250):
+        own = prose(3000 + i, 30).split()
+        texts[2 * i], texts[2 * i + 1] = f"{frame} {' '.join(own)}", f"{frame} {' '.join(own[:-22])} {prose(7000 + i, 22)}"
+    own = {i: shingles(t) for i, t in texts.items()}
+    assert all(jaccard(own[2 * i], own[2 * i + 1]) >= 0.805 for i in range(250))
+    assert max(jaccard(own[i], own[j]) for i in range(0, 500, 10) for j in range(0, i, 10)) < 0.78
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_near_duplicate_edges(spark, edge_docs, no_docs):
     got = minhash_dedup.near_duplicates(edge_docs)
     assert got.count() == edge_docs.count()
