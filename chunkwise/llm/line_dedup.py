@@ -1,12 +1,11 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by chunks of lines.
 
-A rolling hash over the hashes of two consecutive lines marks boundaries: a
-chunk may end after a line whose rolling hash is 0 modulo ``MODULUS``.  From
-every line a chunk runs forwards to the first boundary, and backwards to the
-first one before it, over ``MIN_LINES`` to ``MAX_LINES`` lines.  Where a chunk
-lies thus depends on its own lines only, so a passage gets the same chunks
-whatever surrounds it, and one of ``MAX_LINES`` lines or more is covered.
-Chunks of fewer than ``MIN_WORDS`` words are left alone.
+From every line a chunk runs forwards, and to every line one runs backwards, over
+as many lines as it takes to reach ``MIN_LINES`` lines and ``MIN_WORDS`` words;
+blank lines start no chunk forwards and end none backwards.  Where a chunk lies
+thus depends on its own lines only, so a passage gets the same chunks whatever
+surrounds it, and every line with words of a passage of that many lines and words
+is covered by a chunk inside it.
 
 A chunk that occurs more than once among all documents stays where it comes
 first (by document id, then text hash, then line) and its lines go everywhere
@@ -39,44 +38,29 @@ from pyspark.sql.types import LongType, StructField, StructType
 from chunkwise.llm.storage import key_filter, load_filter, passes, stored
 from chunkwise.llm.text_hash import mix
 
-MIN_LINES, MAX_LINES = 2, 3
-MODULUS = 2
+MIN_LINES = 2
 MIN_WORDS = 10
 ROWS_OUT = 2000
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_ROLL), -1, 1 << 64))
 
 
 def line_chunks(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first line, number of lines) of a text's chunks, each place once."""
     n = len(lines)
-    none = np.zeros(0, np.int64)
-    if n < MIN_LINES:
-        return none.view(np.uint64), none, none
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, n)
-    words = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
-    joint = mix(hashes[:-1] * _ROLL + hashes[1:]) % np.uint64(MODULUS) == 0  # of lines i and i + 1
-    places = set()
-    for i in range(n - MIN_LINES + 1):
-        for size in range(MIN_LINES, MAX_LINES + 1):
-            if i + size > n:
-                break
-            if size == MAX_LINES or joint[i + size - 2]:
-                places.add((i, size))
-                break
-    for end in range(MIN_LINES, n + 1):
-        for size in range(MIN_LINES, MAX_LINES + 1):
-            if size > end:
-                break
-            if size == MAX_LINES or joint[end - size]:
-                places.add((end - size, size))
-                break
-    at = np.array(sorted(places), np.int64).reshape(-1, 2)
-    at = at[words[at[:, 0] + at[:, 1]] - words[at[:, 0]] >= MIN_WORDS]
-    out = np.zeros(len(at), np.uint64)
-    for k in range(MAX_LINES):
-        inside = at[:, 1] > k
-        out[inside] = mix(out[inside] * _ROLL + hashes[at[inside, 0] + k] + np.uint64(1))
-    return out, at[:, 0], at[:, 1]
+    count = np.fromiter((len(x.split()) for x in lines), np.int64, n)
+    words, line = np.concatenate([[0], np.cumsum(count)]), np.arange(n)
+    end = np.maximum(np.searchsorted(words, words[:-1] + MIN_WORDS), line + MIN_LINES)  # forwards from each line
+    start = np.minimum(np.searchsorted(words, words[1:] - MIN_WORDS, "right"), line + 2 - MIN_LINES) - 1  # backwards to each
+    ahead, behind = (count > 0) & (end <= n), (count > 0) & (start >= 0)
+    first, last = np.concatenate([line[ahead], start[behind]]), np.concatenate([end[ahead], line[behind] + 1])
+    places = np.unique(first * (n + 1) + last)
+    first, last = places // (n + 1), places % (n + 1)
+    power, back = np.cumprod(np.full(n, _ROLL, np.uint64)), np.cumprod(np.full(n, _BACK, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power, dtype=np.uint64)])
+    out = mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+    return out, first, last - first
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -165,6 +165,15 @@ def test_passages_found_wherever_they_stand(spark):
         assert out[i] == docs[i][1].replace(passage + "\n", "")
 
 
+def test_two_line_passages_and_short_edges(spark):
+    bodies = [prose(400 + i, 40, 2) for i in range(16)] + [f"a b\n{prose(450, 9)}\nc\nd e", f"f\n\ng h\n{prose(451, 30, 2)}\ni"]
+    docs = [(100 * k + i, f"{prose(500 + 100 * k + i, 20)}\n{b}\n{prose(5000 + 100 * k + i, 20)}") for k in range(2) for i, b in enumerate(bodies)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, b in enumerate(bodies):
+        assert out[i] == docs[i][1]
+        assert out[100 + i].split() == docs[len(bodies) + i][1].replace(b, "").split()
+
+
 def test_line_dedup_edges(spark, edge_docs, no_docs):
     out = line_dedup.dedup_lines(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
