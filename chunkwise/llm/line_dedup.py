@@ -5,7 +5,8 @@ as many lines as it takes to reach ``MIN_LINES`` lines and ``MIN_WORDS`` words;
 blank lines start no chunk forwards and end none backwards.  Where a chunk lies
 thus depends on its own lines only, so a passage gets the same chunks whatever
 surrounds it, and every line with words of a passage of that many lines and words
-is covered by a chunk inside it.
+is covered by a chunk inside it.  A line of ``LONG_LINE`` words or more is also a
+chunk of its own, so a passage on a single line is found, in texts of one line as well.
 
 A chunk that occurs more than once among all documents stays where it comes
 first (by document id, then text hash, then line) and its lines go everywhere
@@ -40,6 +41,7 @@ from chunkwise.llm.text_hash import mix
 
 MIN_LINES = 2
 MIN_WORDS = 10
+LONG_LINE = 50  # words from which a line is a chunk of its own
 ROWS_OUT = 2000
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ROLL), -1, 1 << 64))
@@ -54,7 +56,8 @@ def line_chunks(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end = np.maximum(np.searchsorted(words, words[:-1] + MIN_WORDS), line + MIN_LINES)  # forwards from each line
     start = np.minimum(np.searchsorted(words, words[1:] - MIN_WORDS, "right"), line + 2 - MIN_LINES) - 1  # backwards to each
     ahead, behind = (count > 0) & (end <= n), (count > 0) & (start >= 0)
-    first, last = np.concatenate([line[ahead], start[behind]]), np.concatenate([end[ahead], line[behind] + 1])
+    alone = line[count >= LONG_LINE]
+    first, last = np.concatenate([line[ahead], start[behind], alone]), np.concatenate([end[ahead], line[behind] + 1, alone + 1])
     places = np.unique(first * (n + 1) + last)
     first, last = places // (n + 1), places % (n + 1)
     power, back = np.cumprod(np.full(n, _ROLL, np.uint64)), np.cumprod(np.full(n, _BACK, np.uint64))
@@ -73,7 +76,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, first, size) of every chunk that has to go; ``key`` is the text's hash."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    rows = rows.where(F.contains("text", F.lit("\n")))
+    rows = rows.where(F.col("text").isNotNull())
 
     def hashes_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _parts(batches):

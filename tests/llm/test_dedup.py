@@ -174,6 +174,15 @@ def test_two_line_passages_and_short_edges(spark):
         assert out[100 + i].split() == docs[len(bodies) + i][1].replace(b, "").split()
 
 
+def test_one_line_passages(spark):
+    passage, page = prose(460, 60), prose(461, 52)
+    docs = [(i, f"{prose(600 + i, 20)}\n{passage}\n{prose(700 + i, 20)}") for i in range(4)] + [(10, page), (11, page), (12, passage)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == docs[0][1] and out[10] == page and out[11] == out[12] == ""
+    for i in range(1, 4):
+        assert out[i] == docs[i][1].replace(passage + "\n", "")
+
+
 def test_line_dedup_edges(spark, edge_docs, no_docs):
     out = line_dedup.dedup_lines(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
