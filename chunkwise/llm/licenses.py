@@ -2,8 +2,9 @@
 
 Base signatures are phrases of words (``BASE_PHRASES``).  The method's own
 signatures are regexes over the lower-cased text, generated from the license
-table below and each gated by a keyword: a regex runs only on texts that hold
-its keyword, and only texts that hold one of ``GATE`` are searched at all.
+table below and each gated by keywords: a regex runs only on texts that hold
+one of its keywords, which every match holds, and only texts that hold one of
+``gate_literals`` (made from the rules) are searched at all.
 Overlapping detections are resolved by priority and containment: a detection
 inside another of higher priority, or inside a longer or earlier-listed one of
 the same priority, is suppressed.
@@ -15,6 +16,7 @@ read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +31,9 @@ BASE_PHRASES = (
 )
 ANCHOR = "license"  # the word that every base phrase holds
 
-# Only texts with one of these are searched by regexes; each rule's text implies one of them.
-GATE = ("licen", "copyright", "spdx", "rights reserved", "public domain", "copyleft", "warranty", "creativecommons", "opensource")
-
-# Labels of families: (label, keyword, name, SPDX identifier); names and identifiers are regexes.
+# Labels of families: (label, keywords with | between, name, SPDX identifier); names and identifiers are regexes.
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat)", r"mit(?:-0)?"),
+    ("mit", "mit|expat", r"(?:mit|expat)", r"mit(?:-0)?"),
     ("x11", "x11", r"x11", r"x11"),
     ("apache", "apache", r"apache(?: software)?", r"apache-[12]\.[01]"),
     ("gpl", "general public", r"(?:gnu )?general public", r"gpl-[123](?:\.0)?(?:-only|-or-later|\+)?"),
@@ -52,7 +51,7 @@ FAMILIES = (
     ("cddl", "development and distribution", r"common development and distribution", r"cddl-1\.[01]"),
     ("cddl", "cddl", r"cddl", r"cddl"),
     ("cpl", "common public", r"common public", r"cpl-1\.0"),
-    ("isc", "isc", r"(?:isc|internet systems consortium)", r"isc"),
+    ("isc", "isc|internet systems consortium", r"(?:isc|internet systems consortium)", r"isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)?", r"zlib(?:-acknowledgement)?"),
     ("libpng", "libpng", r"libpng", r"libpng(?:-2\.0)?"),
     ("boost", "boost", r"boost(?: software)?", r"bsl-1\.0"),
@@ -107,7 +106,7 @@ COMMONS = (
     ("cc-by", r"by", r"attribution"),
 )
 
-# Signatures with a wording of their own: (label, keyword, regex, priority).
+# Signatures with a wording of their own: (label, keywords, regex, priority).
 NOTICES = (
     ("mit", "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy", 3),
     ("isc", "with or without fee", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee", 3),
@@ -122,13 +121,13 @@ NOTICES = (
     ("gpl", "free software foundation", r"it under the terms of the gnu general public license as published by the free software foundation", 3),
     ("zlib", "altered source", r"altered source versions must be plainly marked as such", 3),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 3),
-    ("cc0", "cc0", r"\bcc[ -]?0(?:[ -]1\.0)?(?: universal)?\b", 3),
+    ("cc0", "cc0|cc 0|cc-0", r"\bcc[ -]?0(?:[ -]1\.0)?(?: universal)?\b", 3),
     ("cc0", "publicdomain", r"creativecommons\.org/publicdomain/zero/[0-9.]+", 3),
     ("public-domain", "public domain", r"\b(?:released|placed|dedicated|donated) (?:in)?to the public domain\b", 2),
     ("public-domain", "public domain", r"\bpublic domain\b", 1),
     ("proprietary", "rights reserved", r"\ball rights reserved\b", 1),
     ("proprietary", "proprietary", r"\bproprietary (?:and confidential|licen[cs]e)\b", 2),
-    ("proprietary", "confidential", r"\bunauthori[sz]ed copying of this file\b", 2),
+    ("proprietary", "copying of this file", r"\bunauthori[sz]ed copying of this file\b", 2),
     ("copyleft", "copyleft", r"\bcopyleft\b", 1),
     ("copyright", "copyright", r"\bcopyright (?:\(c\) |© )?(?:19|20)[0-9]{2}\b", 1),
     ("no-warranty", "warrant", r"\bwithout warranty of any kind\b", 1),
@@ -136,7 +135,7 @@ NOTICES = (
 
 
 def signature_rules() -> list[tuple[int, int, str, str, str]]:
-    """(rule number, priority, label, keyword, regex), in order; a few hundred.
+    """(rule number, priority, label, keywords with | between, regex), in order; a few hundred.
 
     Priority 3: identifiers, addresses and full wordings; 2: named references; 1: hints.
     """
@@ -154,13 +153,24 @@ def signature_rules() -> list[tuple[int, int, str, str, str]]:
         rules += [
             (3, label, "spdx", rf"spdx-license-identifier: ?\(?cc-{letters.replace('[ -]', '-')}-[1234]\.0\b"),
             (3, label, "creativecommons", rf"creativecommons\.org/licenses/{letters.replace('[ -]', '-')}/[0-9.]+"),
-            (2, label, "cc", rf"\bcc[ -]{letters}\b(?:[ -][1234]\.[05])?"),
+            (2, label, "cc by|cc-by", rf"\bcc[ -]{letters}\b(?:[ -][1234]\.[05])?"),
             (2, label, "creative commons", rf"\bcreative commons {wording}(?: [1234]\.[05])?(?: international| unported| generic)?"),
         ]
     rules += [(priority, label, keyword, regex) for label, keyword, regex, priority in NOTICES]
     return [(i, p, label, keyword, regex) for i, (p, label, keyword, regex) in enumerate(rules)]
 
 
+def gate_literals() -> tuple[str, ...]:
+    """Literals of which every match of any rule holds one: ``licen`` where a regex needs it outside of groups, else its keywords."""
+    out: dict[str, None] = {}
+    for *_, keywords, regex in signature_rules():
+        plain, before = regex.replace(r"\(", "").replace(r"\)", ""), None
+        while plain != before:
+            plain, before = re.sub(r"\([^()]*\)", "|", plain), plain
+        out.update(dict.fromkeys(["licen"] if "licen" in plain else keywords.split("|")))
+    return tuple(out)
+
+
 def _once(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed a single time however often ``use`` mentions it."""
     return F.transform(F.array(value), use)[0]
@@ -172,7 +182,7 @@ def _holds_any(text: Column, keywords: tuple[str, ...]) -> Column:
 
 def _rule_table(spark: SparkSession) -> DataFrame:
     """The signatures as a table of a few hundred rows, whatever the documents; meant for a broadcast."""
-    rows = [(i, p, label, k, f"(?i){regex}") for i, p, label, k, regex in signature_rules()]
+    rows = [(i, p, label, k, f"(?i){regex}") for i, p, label, ks, regex in signature_rules() for k in ks.split("|")]
     return spark.createDataFrame(rows, "rule int, priority int, label string, keyword string, regex string")
 
 
@@ -194,8 +204,8 @@ def detections(docs: DataFrame, text_col: str = "text", keys: list[str] | None =
     """
     keys = keys or ["doc_id"]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gated = docs.select(*keys, text.alias("__text")).where(_holds_any(F.col("__text"), GATE))
-    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(r[3] for r in signature_rules())])
+    gated = docs.select(*keys, text.alias("__text")).where(_holds_any(F.col("__text"), gate_literals()))
+    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(k for r in signature_rules() for k in r[3].split("|"))])
     present = _once(F.lower("__text"), lambda low: F.filter(keywords, lambda k: F.contains(low, k)))
     active = gated.select(*keys, "__text", F.explode(present).alias("keyword")).join(F.broadcast(_rule_table(docs.sparkSession)), "keyword")
     hits = active.where(F.regexp_like("__text", F.col("regex"))).select(

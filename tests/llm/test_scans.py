@@ -88,6 +88,27 @@ def test_license_overlaps(spark):
     assert len(licenses.signature_rules()) >= 200
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.sampled_from(licenses.signature_rules()).flatmap(lambda r: st.tuples(st.just(r), st.from_regex(re.compile(r[4], re.I | re.A), fullmatch=True))))
+def test_license_matches_hold_their_keywords(found):
+    (*_, keywords, _), text = found
+    assert any(k in text.lower() for k in keywords.split("|")) and any(k in text.lower() for k in licenses.gate_literals())
+
+
+def test_license_notices_alone(spark):
+    expected = {
+        "CC BY-SA 4.0": "cc-by-sa", "cc0 1.0 universal": "cc0", "CC 0": "cc0", "Creative Commons Attribution 4.0": "cc-by", "Expat License": "mit",
+        "Internet Systems Consortium License": "isc", "Proprietary and confidential": "proprietary", "Unauthorised copying of this file": "proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "https://www.mozilla.org/MPL/2.0/": "mpl",
+        "Redistribution and use in source and binary forms, with or without modification": "bsd",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee": "isc",
+        "Altered source versions must be plainly marked as such": "zlib",
+    }
+    docs = spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert got == dict(enumerate(expected.values()))
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan_licenses(queries.table(spark, SF_SMALL, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
