@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwise.llm import decontaminate, html_text, langid, licenses, line_dedup, minhash_dedup, packing, quality, secrets, token_files
+from chunkwise.llm import decontaminate, fingerprints, html_text, langid, licenses, line_dedup, minhash_dedup, packing, quality, secrets, token_files
 from chunkwise.llm.storage import new_folder
 from chunkwise.llm.tokens import default_path
 
@@ -95,3 +95,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents with the base digest."""
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of all documents and of their edited texts."""
+    rows = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    first = lambda col, n: F.substring(col, F.lit(1), n)
+    edited = F.concat(first(F.col("text"), F.col("head")), first(F.col("next_text"), F.col("tail")))
+    rows = rows.select(
+        "*", *[fingerprints.key_hashes(F.col(c)).alias(f"{c}_set") for c in ("keys", "next_keys", "edited_keys")]
+    )
+    return rows.select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"),
+        fingerprints.key_text(F.col("keys")).alias("fingerprint"), fingerprints.key_text(F.col("edited_keys")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("keys_set"), F.col("edited_keys_set")).alias("near_edited"),
+        fingerprints.likeness(F.col("keys_set"), F.col("next_keys_set")).alias("near_next"),
+    )
