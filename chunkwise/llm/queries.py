@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwise.llm import decontaminate, fingerprints, html_text, langid, licenses, line_dedup, minhash_dedup, packing, quality, secrets, token_files
+from chunkwise.llm import decontaminate, fingerprints, html_text, langid, licenses, line_dedup, minhash_dedup, packing, periodic_runs, quality, secrets, token_files
 from chunkwise.llm.storage import new_folder
 from chunkwise.llm.tokens import default_path
 
@@ -112,3 +112,12 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("keys_set"), F.col("edited_keys_set")).alias("near_edited"),
         fingerprints.likeness(F.col("keys_set"), F.col("next_keys_set")).alias("near_next"),
     )
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which get repeats first."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs.find_runs(docs.select("doc_id", periodic_runs.with_repeats(F.col("text"), number).alias("text")))
+    return periodic_runs.run_digest(found)
