@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwise.llm import decontaminate, fingerprints, html_text, langid, licenses, line_dedup, minhash_dedup, packing, periodic_runs, quality, secrets, token_files
+from chunkwise.llm import centroids, decontaminate, fingerprints, html_text, langid, licenses, line_dedup, minhash_dedup, packing, periodic_runs, quality, secrets, token_files
 from chunkwise.llm.storage import new_folder
 from chunkwise.llm.tokens import default_path
 
@@ -114,6 +114,49 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIMS, CLUSTER_SEED = 40, 5, 64, "2"
+
+
+@_query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    assigned, final = centroids.cluster_vectors(vectors, dims=CLUSTER_DIMS, k=CLUSTERS, rounds=CLUSTER_ROUNDS, seed=CLUSTER_SEED)
+    return centroids.with_inertia(assigned, final).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _sql_clusters() -> str:
+    """The clustering over all pairs, a chain of tables per round."""
+    square = "CAST(list_dot_product({0}, {0}) AS BIGINT)"
+    near = (
+        "SELECT k.rid, k.vec_id, k.v, arg_min(c.c, {{'d': {d}, 'c': c.c}}) AS c, min({d}) AS d FROM kept k, {means} c GROUP BY ALL"
+    )
+    d = f"({square.format('k.v')} + {square.format('c.v')} - 2 * CAST(list_dot_product(k.v, c.v) AS BIGINT))"
+    tables = {
+        "kept": f"""SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE len(embedding) = {CLUSTER_DIMS} AND list_aggregate(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), 'bool_and')""",
+        "m0": f"""SELECT row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {CLUSTERS}""",
+    }
+    for i in range(CLUSTER_ROUNDS + 1):
+        tables[f"a{i}"] = near.format(d=d, means=f"m{i}")
+        if i < CLUSTER_ROUNDS:
+            tables[f"s{i}"] = f"""SELECT c, j, CAST(floor((s - (((s % n) + n) % n)) // n) AS DOUBLE) AS x FROM (
+                SELECT c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, {CLUSTER_DIMS + 1}) t(j) GROUP BY c, j)"""
+            tables[f"m{i + 1}"] = f"""SELECT m.c, coalesce(t.v, m.v) AS v FROM m{i} m
+                LEFT JOIN (SELECT c, list(x ORDER BY j) AS v FROM s{i} GROUP BY c) t USING (c)"""
+    last = CLUSTER_ROUNDS
+    ctes = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in tables.items())
+    return f"""WITH {ctes} SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance,
+        CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+        sha256(list_aggregate(list_transform(m.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS centroid_sha256
+        FROM a{last} a JOIN m{last} m USING (c)"""
+
+
+ORACLES["op12_centroid_clusters"] = _sql_clusters()
+
+
 @_query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents, a tenth of which get repeats first."""
