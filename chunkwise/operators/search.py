@@ -4,12 +4,11 @@
   Plan: filter -> distance -> ``orderBy().limit(k)`` which Spark runs as a
   per-partition top-k followed by a k-row merge (``TakeOrderedAndProject``).
 * ``knn_join``: a table of queries against a table of vectors -> k nearest per
-  query.  Both tables are dealt by a hash into parts and blocks of bounded
-  size; every (part, block) tile is scored by one matrix product in one task
-  and emits keys and distances of its top-k only; ``row_number() <= k`` merges
-  the tiles and the payload is joined to the survivors.  Neither table goes
-  through the driver and nothing is broadcast, so the result is exact for any
-  number of queries.
+  query, exact, over Voronoi cells (``cells``): the vectors are shuffled once,
+  queries visit only the cells that can still hold a neighbour, and the payload
+  is joined to the survivors.
+
+Approximate search is in ``ivf``.
 
 Ties are broken by the corpus key columns; NULL vectors never match.
 """
@@ -17,12 +16,13 @@ Ties are broken by the corpus key columns; NULL vectors never match.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwise.functions.vectors import l2_distance, vector_literal
+from chunkwise.operators import cells as cells_module
+from chunkwise.operators.cells import Cells, Scorer, cell_facts, distances, matrix, pivot_rows, placed, visit
 from chunkwise.session import cut_lineage
 
 DEFAULT_K = 8
@@ -30,7 +30,6 @@ DEFAULT_K = 8
 # last bits (which differs between engines and summation orders) never decides
 # an order; remaining ties are broken by the key columns.
 RANK_DECIMALS = 9
-PART_ROWS, BLOCK_ROWS = 4096, 1024  # a tile's vectors and queries, whatever the sizes of the tables
 
 
 def category_filter(category: str | None, col: str = "category") -> Column | None:
@@ -89,49 +88,71 @@ def search(
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def _tile_scorer(key_cols: list[str], k: int, with_category: bool):
-    """Top-k per query of one tile: at most about PART_ROWS vectors against BLOCK_ROWS queries."""
-
-    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = ["qid", *key_cols, "distance"]
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({c: [] for c in out})
-        sizes = {len(v) for v in asked["qvec"]}
-        if len(sizes) > 1:
-            raise ValueError(f"query vectors have mixed dimensions {sorted(sizes)}")
-        rows = rows[[len(v) in sizes for v in rows["vec"]]].reset_index(drop=True)
-        if not len(rows):
-            return pd.DataFrame({c: [] for c in out})
-        x, q = np.stack(rows["vec"]).astype(np.float64), np.stack(asked["qvec"]).astype(np.float64)
-        square = (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :]
-        near = square - 2.0 * (x @ q.T)
-        tol = 1e-6 * (square.max() + 1.0)
-        if with_category:
-            holders: dict[str, list[int]] = {}
-            for i, names in enumerate(rows["cat"]):
-                for name in set(names) if names is not None else ():
+def _exact_scorer(k: int, key_cols: list[str], dims: int, category: bool) -> Scorer:
+    """Top-k rows per query among the rows of the cells that it reaches."""
+
+    def score(rows, row_cells, asked, q, seen):
+        x = matrix(rows.column("vec"), dims)
+        square = (x * x).sum(axis=1)
+        keys = list(zip(*[rows.column(c).to_pylist() for c in key_cols]))
+        holders: dict[str, list[int]] = {}
+        if category:
+            for i, names in enumerate(rows.column("cat").to_pylist()):
+                for name in set(names or ()):
                     holders.setdefault(name, []).append(i)
-            for name, block in asked.groupby("qcat").groups.items():  # a null category groups nowhere: no filter
-                if name:
-                    hidden = np.ones(len(rows), bool)
-                    hidden[holders.get(name, [])] = False
-                    near[np.ix_(hidden, list(block))] = np.inf
-        keys = list(zip(*[rows[c] for c in key_cols]))
-        best = []
-        for j, qid in enumerate(asked["qid"]):
-            column = near[:, j]
-            seen = np.flatnonzero(np.isfinite(column))
-            if len(seen) > k:
-                bound = np.partition(column[seen], k - 1)[k - 1]
-                seen = seen[column[seen] <= bound + tol]
-            exact = np.sqrt(((x[seen] - q[j]) ** 2).sum(axis=1))
-            ranked = sorted((round(float(d), RANK_DECIMALS), keys[i], float(d)) for i, d in zip(seen, exact))
-            best += [(qid, *key, d) for _, key, d in ranked[:k]]
-        return pd.DataFrame(best, columns=out)
+        near = square + (q * q).sum(axis=1)[:, None] - 2.0 * (q @ x.T)
+        tol = 1e-6 * (square.max() + (q * q).sum(axis=1).max() + 1.0)
+        wanted = asked.column("qcat").to_pylist() if category else [None] * len(q)
+        for j, name in enumerate(wanted):
+            rows_seen = np.flatnonzero(seen[j][row_cells])
+            if name:
+                rows_seen = np.intersect1d(rows_seen, holders.get(name, []))
+            if not len(rows_seen):
+                continue
+            column = near[j, rows_seen]
+            if len(rows_seen) > k:
+                rows_seen = rows_seen[column <= np.partition(column, k - 1)[k - 1] + tol]
+            exact = np.sqrt(((x[rows_seen] - q[j]) ** 2).sum(axis=1))
+            ranked = sorted((round(float(d), RANK_DECIMALS), keys[i], i, d) for i, d in zip(rows_seen, exact))[:k]
+            yield j, np.array([r[2] for r in ranked]), np.array([r[3] for r in ranked])
 
     return score
 
 
+def _nearest_only(pivots: np.ndarray):
+    def reach(q, theta):
+        out = np.zeros((len(q), len(pivots)), bool)
+        out[np.arange(len(q)), distances(q, pivots).argmin(axis=1)] = True
+        return out
+
+    return reach
+
+
+def _within_limit(cells: Cells):
+    """Cells other than the nearest one that can hold a row within each query's limit."""
+
+    def reach(q, theta):
+        d = distances(q, cells.pivots)
+        out = cells.floors(d) <= theta[:, None] * (1 + 1e-9) + 1e-6
+        out[np.arange(len(q)), d.argmin(axis=1)] = False
+        return out
+
+    return reach
+
+
+def asked_queries(queries: DataFrame, query_id: str, query_vec: str, query_category: str | None) -> tuple[DataFrame, int]:
+    """(qid, qvec, qcat, one row per id, stored) and the number of their components."""
+    category = F.col(query_category) if query_category else F.lit(None).cast("string")
+    asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"), category.alias("qcat")).where("qvec IS NOT NULL")
+    one = F.min(F.struct("qvec", "qcat")).alias("q")
+    # stored before anything else reads it: a paid embedder runs once per query
+    asked = cut_lineage(asked.groupBy("qid").agg(one).select("qid", "q.qvec", "q.qcat"))
+    sizes = asked.agg(F.min(F.size("qvec")).alias("a"), F.max(F.size("qvec")).alias("b")).first()
+    if sizes.a != sizes.b:
+        raise ValueError(f"query vectors have mixed dimensions {sizes.a} to {sizes.b}")
+    return asked, sizes.a or 0
+
+
 def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
@@ -143,71 +164,52 @@ def knn_join(
     category_col: str = "category",
     keys: tuple[str, ...] = ("document_name", "chunk_id"),
     payload: tuple[str, ...] = (),
+    report: dict | None = None,
 ) -> DataFrame:
-    """(query_id, keys..., payload..., distance, rank) for the k nearest corpus rows per query.
+    """(query_id, keys..., payload..., distance, rank) for the k nearest corpus rows per query; exact.
+
+    The corpus is dealt to Voronoi cells.  A query first visits its own cell;
+    the distance of its k-th row there is its limit, and triangle and
+    half-space bounds tell which other cells can hold a nearer one.  Those are
+    visited next (all of them, where the own cell has fewer than k rows for it).
 
     With ``query_category`` set, a query only sees rows whose category array
     contains its category (a NULL/empty query category means no filter).  Rows
     that share a query id are one query (the least vector).  ``keys`` identify
-    the corpus rows; the corpus should be a stored table.
+    the corpus rows; the corpus should be a stored table.  ``report`` gets the
+    numbers of cells and of parts visited.
     """
-    category = F.col(query_category) if query_category else F.lit(None).cast("string")
-    asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"), category.alias("qcat")).where("qvec IS NOT NULL")
-    one = F.min(F.struct("qvec", "qcat")).alias("q")
-    # stored before anything else reads it: a paid embedder runs once per query
-    asked = cut_lineage(asked.groupBy("qid").agg(one).select("qid", "q.qvec", "q.qcat"))
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    parts = max(1, -(-corpus.select(*keys).count() // PART_ROWS))
+    asked, dims = asked_queries(queries, query_id, query_vec, query_category)
     cat = F.col(category_col) if query_category else F.lit(None).cast("array<string>")
-    rows = corpus.where(F.col(vec_col).isNotNull()).select(*keys, F.col(vec_col).alias("vec"), cat.alias("cat"))
-    side = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts))).withColumn("block", side(blocks))
-    tiles = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("part", side(parts))
-    fields = [asked.schema["qid"], *[corpus.schema[c] for c in keys], T.StructField("distance", T.DoubleType())]
-    scored = rows.groupBy("part", "block").cogroup(tiles.groupBy("part", "block")).applyInPandas(
-        _tile_scorer(list(keys), k, query_category is not None), T.StructType(fields)
-    )
-    w = Window.partitionBy("qid").orderBy(F.round("distance", RANK_DECIMALS).asc(), *[F.col(c).asc() for c in keys])
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rows = corpus.where(F.size(vec_col) == dims).select(*keys, F.col(vec_col).alias("vec"), cat.alias("cat"))
+    wanted = min(cells_module.MAX_CELLS, -(-corpus.select(*keys).count() // cells_module.CELL_ROWS))
+    pivots = pivot_rows(rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))), keys, wanted) if dims else np.zeros((0, 0))
     rest = [c for c in payload if c not in keys]
+    kinds = {c: corpus.schema[c].dataType for c in (*keys, *rest)}
+    fields = [T.StructField(query_id, asked.schema["qid"].dataType), *[T.StructField(c, kinds[c]) for c in (*keys, *rest)]]
+    if not len(pivots):
+        return corpus.sparkSession.createDataFrame([], T.StructType([*fields, T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
+    dealt = placed(rows, pivots)
+    if len(pivots) > 1:
+        dealt = cut_lineage(dealt)
+    found = cell_facts(dealt, pivots)
+    if report is not None:
+        report["cells"] = len(pivots)
+    w = Window.partitionBy("qid").orderBy(F.round("distance", RANK_DECIMALS).asc(), *[F.col(c).asc() for c in keys])
+    score = _exact_scorer(k, list(keys), dims, query_category is not None)
+    free = asked.withColumn("theta", F.lit(float("inf")))
+    ranked = visit(free, dealt, found, _nearest_only(pivots), score, keys, report=report).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if len(pivots) > 1:  # there are other cells
+        ranked = cut_lineage(ranked)
+        limit = ranked.where(F.col("rank") == k).select("qid", F.col("distance").alias("theta"))
+        bound = asked.join(limit, "qid", "left").withColumn("theta", F.coalesce("theta", F.lit(float("inf"))))
+        more = visit(bound, dealt, found, _within_limit(found), score, keys, report=report)
+        ranked = ranked.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if rest:  # only the survivors meet their payload
         ranked = corpus.select(*keys, *rest).join(ranked, list(keys))
     return ranked.select(F.col("qid").alias(query_id), *keys, *rest, "distance", "rank")
 
 
-def knn_lsh(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = DEFAULT_K,
-    query_id: str = "query_id",
-    query_vec: str = "query_vec",
-    vec_col: str = "embedding",
-    key: str = "vec_id",
-    bucket_length: float = 1.0,
-    num_tables: int = 4,
-    threshold: float = 2.0,
-    seed: int = 42,
-) -> DataFrame:
-    """Approximate k nearest rows per query with random-projection LSH (Spark ML).
-
-    Candidate pairs come from ``approxSimilarityJoin`` (hash-bucket equi-joins,
-    no all-pairs product), then a per-query top-k.  Recall against
-    ``knn_join`` is the quality measure.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    a = corpus.filter(F.col(vec_col).isNotNull()).select(F.col(key).alias("cid"), array_to_vector(vec_col).alias("v"))
-    b = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("qid"), array_to_vector(query_vec).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=num_tables, seed=seed)
-    model = lsh.fit(a)
-    pairs = model.approxSimilarityJoin(b, a, threshold, distCol="distance").select(
-        F.col("datasetA.qid").alias(query_id), F.col("datasetB.cid").alias(key), "distance"
-    )
-    w = Window.partitionBy(query_id).orderBy(F.round("distance", RANK_DECIMALS).asc(), F.col(key).asc())
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def write_category_bridge(chunks: DataFrame, path: str, keys: tuple[str, ...] = ("document_name", "chunk_id"),
                           category_col: str = "category") -> None:
     """Materialise ``(category, keys...)`` partitioned by category: the filtered-search index.

@@ -1,9 +1,9 @@
-"""Invariants on the real small data folder: LSH recall floor, metric ranges, Recall@K monotone in K."""
+"""Invariants on the real small data folder: index recall, metric ranges, Recall@K monotone in K."""
 
 from pyspark.sql import functions as F
 
 from chunkwise.operators.metrics import KEY_QUALIFIED, case_metrics
-from chunkwise.operators.search import knn_join, knn_lsh
+from chunkwise.operators.search import knn_join
 from chunkwise.sources.tables import vector_queries, vectors
 
 SF = "/root/testdata/sf0.001"
@@ -16,11 +16,19 @@ def _vector_relevance(spark):
     return q, rel.select("case_id", F.lit("v").alias("document_name"), F.col("vec_id").cast("int").alias("chunk_id"))
 
 
-def test_lsh_recall_floor(spark):
-    exact = knn_join(vector_queries(spark, SF), vectors(spark, SF), 8, keys=("vec_id",)).select("query_id", "vec_id")
-    approx = knn_lsh(vector_queries(spark, SF), vectors(spark, SF), 8, bucket_length=2.0, num_tables=8).select("query_id", "vec_id")
-    hit = exact.join(approx, ["query_id", "vec_id"]).count()
-    assert hit / exact.count() >= 0.5
+def test_index_recall_as_registered(spark):
+    """The registered parameters: k rows per query, recall over 0.9, few exact distances."""
+    from chunkwise.operators import ivf
+    from chunkwise.plans.q_search import K, approximate_neighbours, vector_index
+
+    for sf in (SF, "/root/testdata/sf0.1"):
+        n = vectors(spark, sf).count()
+        exact = knn_join(vector_queries(spark, sf), vectors(spark, sf), K, keys=("vec_id",))
+        found = ivf.recall(exact, approximate_neighbours(spark, sf), "query_id", ("vec_id",)).first()
+        assert (found.queries, found.rows) == (n, K * n)
+        assert found.recall >= 0.9
+        assert ivf.RERANK * K < 0.1 * n  # rows per query whose exact distance is taken
+        assert len(vector_index(spark, sf).cells.n) > 10
 
 
 def test_metrics_in_range_and_recall_monotone(spark):

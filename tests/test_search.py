@@ -2,6 +2,7 @@
 
 import math
 import random
+import struct
 
 from pyspark.sql import functions as F
 
@@ -52,19 +53,65 @@ def test_knn_join_matches_brute_force(spark):
         assert [(d, c) for _, d, c in sorted(got.get(qid, []))] == exp, qid
 
 
-def test_knn_join_small_tiles_exact(spark, monkeypatch):
-    from chunkwise.operators import search as module
+def _small_cells(monkeypatch, part=17, cell=9, queries=5):
+    from chunkwise.operators import cells
 
-    monkeypatch.setattr(module, "PART_ROWS", 17)
-    monkeypatch.setattr(module, "BLOCK_ROWS", 5)
-    rows, df = _corpus(spark, n=80, seed=2)
-    queries = [(i, [float(i % 3) / 2] * 8) for i in range(12)]
-    qdf = spark.createDataFrame(queries, "query_id int, query_vec array<float>")
+    monkeypatch.setattr(cells, "PART_ROWS", part)
+    monkeypatch.setattr(cells, "CELL_ROWS", cell)
+    monkeypatch.setattr(cells, "QUERIES_A_TASK", queries)
+
+
+def test_knn_join_many_cells_exact(spark, monkeypatch):
+    _small_cells(monkeypatch)
+    rows, df = _corpus(spark, n=180, seed=2)
+    rnd = random.Random(4)
+    queries = [(i, [float(i % 3) / 2] * 8 if i < 12 else [rnd.random() for _ in range(8)], rnd.choice(["C0", "C1", None, "none"])) for i in range(40)]
+    qdf = spark.createDataFrame(queries, "query_id int, query_vec array<float>, qcat string")
+    for cat in (None, "qcat"):
+        got, report = {}, {}
+        for r in knn_join(qdf.union(qdf), df, 4, query_category=cat, report=report).collect():  # repeated queries count once
+            got.setdefault(r.query_id, []).append((r.rank, r.document_name, r.chunk_id))
+        assert report["cells"] > 10
+        for qid, vec, name in queries:
+            exact = _brute(rows, [struct.unpack("f", struct.pack("f", x))[0] for x in vec], 4, name if cat else None)
+            assert [(d, c) for _, d, c in sorted(got.get(qid, []))] == exact, (qid, cat)
+
+
+def test_knn_join_hot_cell_and_copies(spark, monkeypatch):
+    """A third of the rows and of the queries are one vector: slices of the cell, copies of its parts."""
+    _small_cells(monkeypatch, part=20, cell=20, queries=8)
+    rnd = random.Random(11)
+    rows = [("d", i, [1.0, 2.0] if i % 3 == 0 else [rnd.random() * 9, rnd.random() * 9], ["a"]) for i in range(240)]
+    rows += [("odd", 1, [1.0], ["a"]), ("odd", 2, [float("nan"), 1.0], ["a"])]
+    queries = [(i, [1.0, 2.0] if i % 3 == 0 else [rnd.random() * 9, rnd.random() * 9]) for i in range(60)]
     got = {}
-    for r in knn_join(qdf.union(qdf), df, 4).collect():  # several parts and blocks; repeated queries count once
+    qdf = spark.createDataFrame(queries, "query_id int, query_vec array<double>")
+    for r in knn_join(qdf, spark.createDataFrame(rows, SCHEMA.replace("float", "double")), 5).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.document_name, r.chunk_id))
     for qid, vec in queries:
-        assert [(d, c) for _, d, c in sorted(got[qid])] == _brute(rows, vec, 4)
+        assert [(d, c) for _, d, c in sorted(got[qid])] == _brute(rows[:240], vec, 5), qid
+
+
+def test_knn_join_visits_few_cells_of_clustered_vectors(spark, monkeypatch):
+    _small_cells(monkeypatch, part=50, cell=25, queries=1000)
+    rnd = random.Random(3)
+    middle = [[rnd.gauss(0, 20) for _ in range(6)] for _ in range(30)]
+    rows = [("d", i, [m + rnd.gauss(0, 0.3) for m in middle[i % 30]], ["a"]) for i in range(1500)]
+    qdf = spark.createDataFrame([(i, rows[i][2]) for i in range(0, 1500, 5)], "query_id int, query_vec array<double>")
+    report = {}
+    out = knn_join(qdf, spark.createDataFrame(rows, SCHEMA.replace("float", "double")), 4, report=report)
+    assert out.count() == 1200
+    parts = 30  # 1500 rows in parts of 50, at least
+    assert report["visits"] < 300 * parts / 4
+
+
+def test_knn_join_empty_sides(spark):
+    _, df = _corpus(spark, n=5)
+    none = spark.createDataFrame([], "query_id int, query_vec array<float>")
+    one = spark.createDataFrame([(1, [0.5] * 8), (2, None)], "query_id int, query_vec array<float>")
+    assert knn_join(none, df, 3).count() == 0
+    assert knn_join(one, df.limit(0), 3).count() == 0
+    assert knn_join(one, df.where("embedding IS NULL"), 3, payload=("category",)).columns[-3:] == ["category", "distance", "rank"]
 
 
 def test_resolve_categories(spark):
