@@ -24,13 +24,14 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 from math import exp, log1p
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkwise.llm.worker_cache import per_worker
+
 _MARKUP = re.compile(
     r"""<!--(?:(?!-->).)*+(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S
 )
@@ -57,6 +58,7 @@ BOILER_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article articlebody body content entry main post story text".split())
 NOT_NAMES = frozenset("has no not with without".split())
 
+ATTRIBUTES_KEPT = 4096  # per worker
 NEIGHBOUR, SIBLING = 0.6, 0.5  # capacities of the smoothness edges
 
 
@@ -66,11 +68,16 @@ def _kind(tag: str, attributes: str) -> int:
         return -1
     kind = 1 if tag in CONTENT_TAGS else 0
     if attributes.strip():
-        kind = _attribute_kind(tag, attributes, kind)
+        known = per_worker("attributes", dict)
+        key = (tag, attributes, kind)
+        if key not in known:
+            if len(known) >= ATTRIBUTES_KEPT:
+                known.clear()
+            known[key] = _attribute_kind(tag, attributes, kind)
+        kind = known[key]
     return kind
 
 
-@lru_cache(maxsize=4096)
 def _attribute_kind(tag: str, attributes: str, kind: int) -> int:
     found = {}
     for name, value in _ATTRIBUTE.findall(attributes):

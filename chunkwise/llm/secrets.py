@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkwise.llm.worker_cache import per_worker
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -292,9 +294,12 @@ def compile_automaton(nodes: list, unanchored: bool) -> Automaton:
     return Automaton(classes, k, step, out_masks, first_match * k, rank[new[1]] * k)
 
 
-@functools.lru_cache(maxsize=4)
 def compile_rules(rules: tuple[Rule, ...]):
-    """(combined automaton, reversed automaton per rule, anchored automaton per rule)."""
+    """(combined automaton, reversed automaton per rule, anchored automaton per rule); once per worker."""
+    return per_worker(("rules", *map(repr, rules)), lambda: _compile_rules(rules))
+
+
+def _compile_rules(rules: tuple[Rule, ...]):
     trees = [_Pattern(r.pattern).parse() for r in rules]
     whole = compile_automaton([_shortest(t) for t in trees], unanchored=True)
     back = [compile_automaton([_reverse(t)], unanchored=False) for t in trees]

@@ -4,7 +4,8 @@
 whole text.  A text whose only white space is single blanks and newlines is cut
 before every blank and around every newline, where the tokenizer's own
 pre-tokenisation always cuts; each distinct piece is encoded by the library
-once per worker.  Any other text is encoded in one go.  Plain Latin words need
+once per worker.  Any other text is encoded in one go, and so is one that spells
+an added token of the vocabulary, which then is that token, as in the library.  Plain Latin words need
 no normaliser or pre-tokeniser beyond lower case and the byte alphabet, so
 they go straight to the library's model.
 """
@@ -15,7 +16,8 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
+
+from chunkwise.llm.worker_cache import per_worker
 
 CACHE_PIECES = 400_000  # per generation and Python worker; two generations are kept
 # Latin letters that are their own normal form and lower-case to one letter; a full stop or comma may follow.
@@ -53,7 +55,9 @@ class TextEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]  # a text that spells one goes through the library whole
+        self.added_any_case = any(t.normalized for t in added)
         self.model = self.tokenizer.model
         shape = json.loads(self.tokenizer.to_str())
         self.lower = "Lowercase" in json.dumps(shape["normalizer"])
@@ -79,7 +83,9 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in _OTHER_SPACE):
+        if any(s in text for s in _OTHER_SPACE) or any(t in text for t in self.added):
+            return self._library(text)
+        if self.added_any_case and any(t.lower() in text.lower() for t in self.added):
             return self._library(text)
         lines = text.split("\n")
         if not self.blank:
@@ -91,10 +97,9 @@ class TextEncoder:
         return self.newline.join(out)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One encoder per worker and file."""
-    return TextEncoder(path)
+    return per_worker(("encoder", path), lambda: TextEncoder(path), large=True)
 
 
 def vocabulary_size(path: str) -> int:

@@ -1,3 +1,4 @@
+import collections
 import html
 import itertools
 import re
@@ -34,15 +35,93 @@ def test_language_edges(spark, edge_docs, no_docs):
     assert models.predict(["漢字漢字漢字漢字漢字漢字"])["accepted"].tolist() == [False]
 
 
-def test_kneser_ney_sums_to_one(spark):
-    """Probabilities of all letters after a seen context, with what the floor gives, make about one."""
-    docs = spark.createDataFrame([("x", "abra cadabra abracadabra barbara"), ("y", "lorem ipsum dolor sit amet")], "lang string, text string")
+def plain_kneser_ney(texts):
+    """Counts, continuations and interpolation written out; returns P(last letter | the others) of a 4-gram."""
+    def letters(text):
+        out = [" "]
+        for c in text:
+            c = c.lower() if c.isalpha() else " "
+            if not (c == " " and out[-1] == " "):
+                out.append(c)
+        return "".join(out if out[-1] == " " else [*out, " "])
+
+    levels = {4: collections.Counter(g for t in map(letters, texts) for g in (t[i : i + 4] for i in range(len(t) - 3)))}
+    for depth in (3, 2, 1):
+        levels[depth] = collections.Counter(g[1:] for g in levels[depth + 1])
+
+    def p(gram):
+        value = langid.FLOOR
+        for depth in (1, 2, 3, 4):
+            level, part = levels[depth], gram[4 - depth :]
+            once, twice = (sum(n == k for n in level.values()) for k in (1, 2))
+            discount = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
+            after = [n for g, n in level.items() if g[:-1] == part[:-1]]
+            if after:
+                value = max(level[part] - discount, 0) / sum(after) + discount * len(after) / sum(after) * value
+        return value
+
+    return p
+
+
+def packed(gram):
+    return sum((langid.BLANK if c == " " else ord(c)) << (16 * (3 - i)) for i, c in enumerate(gram))
+
+
+MODEL_TEXTS = {"x": ["abra cadabra", "Abracadabra! barbara, a bar", "écran é"], "y": ["lorem ipsum dolor sit amet", "漢字 lorem"]}
+
+
+def model_docs(spark, parts):
+    rows = [(lang, t) for lang, texts in MODEL_TEXTS.items() for t in texts for _ in range(3)]
+    return spark.createDataFrame(rows, "lang string, text string").repartition(parts)
+
+
+def test_kneser_ney_equals_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SHARD_KEYS", 7)  # many files a table
+    models = langid.fit_languages(model_docs(spark, 3))
+    plain = [plain_kneser_ney([t for t in MODEL_TEXTS[lang] for _ in range(3)]) for lang in models.langs]
+    grams = ["abra", "bra ", " abr", "zzzz", "abrz", "xbra", "lore", "orem", " é c", "écra", "字 lo", "a la"]
+    got = np.exp2(models.log_probabilities(np.array([packed(g) for g in grams], np.uint64)))
+    for g, row in zip(grams, got):
+        assert np.allclose(row, [p(g) for p in plain], rtol=1e-4), g
+    total = sum(plain[0]("abr" + c) for c in "abcdr éinwy")
+    assert 0.9 < total < 1.02
+
+
+def test_model_does_not_depend_on_partitions(spark, monkeypatch):
+    grams = np.array([packed("".join(g)) for g in itertools.product("abr le", repeat=4)], np.uint64)
+    one = langid.fit_languages(model_docs(spark, 1)).log_probabilities(grams)
+    monkeypatch.setattr(langid, "HELD_GRAMS", 10)  # counts leave a task in many pieces
+    many = langid.fit_languages(model_docs(spark, 50)).log_probabilities(grams)
+    assert np.array_equal(one, many)
+
+
+def test_cached_answers_equal_direct_ones(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CACHE_BYTES", 1)  # 1,024 slots for all n-grams of these texts
+    models = langid.fit_languages(model_docs(spark, 2))
+    texts = ["".join(g) for g in itertools.product("abrclo ", repeat=5)]
+    for part in (texts, texts[::-1]):
+        bits, n = models.cross_entropy(part)
+        for t, b, k in list(zip(part, bits, n))[::997]:
+            codes = langid.letter_codes(t)
+            if len(codes):
+                whole = langid._pack(np.concatenate([[langid.BLANK] * 3, codes]).astype(np.uint32), 4)[1:]
+                assert np.allclose(b, -models.log_probabilities(whole).sum(axis=0) / k, rtol=1e-4)
+
+
+def test_many_languages_and_letters_of_other_planes(spark):
+    rows = [(f"l{i:03}", f"word{chr(0x20000 + i)} {chr(97 + i % 26) * 5} text") for i in range(40)] + [("null", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
     models = langid.fit_languages(docs)
-    letters = [ord(c) for c in "abcdr"] + [langid.BLANK]
-    for context in ("abr", "cad", "bra"):
-        head = sum(ord(c) << (16 * (3 - k)) for k, c in enumerate(context))
-        p = np.exp2(models.log_probabilities(np.array([head | c for c in letters], np.uint64)))[:, models.langs.index("x")]
-        assert 0.9 < p.sum() < 1.02
+    assert models.langs == [f"l{i:03}" for i in range(40)]
+    out = langid.predict_languages(docs.withColumnRenamed("lang", "doc_id"), models).collect()
+    assert sum(r.doc_id == r.lang_pred for r in out) == 40
+    assert langid.letter_codes("\U00020001")[1] >= langid.SPARE
+
+
+def test_a_row_without_id_is_not_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "some text", "en"), (1, "more text", "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.held_out for r in queries.op7_language_id(spark, str(tmp_path)).collect()}[None] is False
 
 
 def brute_article(page):

@@ -15,7 +15,6 @@ from chunkwise.llm.tokens import TextEncoder, default_path
 
 def library_ids(name, text, end):
     tok = Tokenizer.from_file(default_path(name))
-    tok.encode_special_tokens = True
     return np.array(tok.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -25,7 +24,6 @@ def test_encoder_equals_library(name):
     parts = ["a", "don't", " ", "  ", "\n", "\n\n", "É", "é", "́", "ß", "漢字", "😀", "1", "23", ".", ",", "'s", "...", "<|endoftext|>",
              "\t", "\r\n", "\xa0", "​", "　", "Σ", "İ", "\x1c", "\x85", "word", "Word,"]
     tok = Tokenizer.from_file(default_path(name))
-    tok.encode_special_tokens = True
     enc = TextEncoder(default_path(name))
     for _ in range(1500):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 15)))
