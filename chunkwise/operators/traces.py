@@ -5,11 +5,14 @@ call of its run fills that call (the latest one with that id); any other return
 fills the most recent call of its tool that has no result at that moment; the
 last return that reaches a call gives its result.
 
-Named returns are an equi-join.  The other rule is bracket matching: inside a
-run and tool, calls open, returns close, and a return belongs to the last call
-at its own depth -- window functions over (run, tool) and (run, tool, depth).
-Only where a run uses both rules on one tool does the order of all its parts
-matter; those (run, tool) groups are walked in order by one streaming pass.
+Named returns are an equi-join.  The other rule depends on the order of all
+events of a run and tool: calls open, returns close the latest open call, named
+returns close (or, without a result, open again) a call of their own.  The
+events are walked in stretches of ``STRETCH`` places, many of one run in
+parallel: inside a stretch its own open calls are the latest ones whatever came
+before, so only returns that find none of them open, and named returns to earlier
+calls, are left over, together with the calls still open at its end.  What is left
+over is walked again in ``FAN`` times longer stretches, until one covers a run.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwise.operators.render import CALL_SEPARATOR
+from chunkwise.session import cut_lineage
 
-FILL_SCHEMA = "run_id long, call_seq long, return_seq long, content string"
+STRETCH, FAN = 1 << 16, 16
+OPEN, LOOSE, NAMED, FILL = range(4)
+EVENT_SCHEMA = "run_id long, tool_name string, time long, what int, call long, empty boolean, content string"
 
 
 def args_columns(args: Column) -> tuple[Column, Column]:
@@ -35,57 +41,75 @@ def args_columns(args: Column) -> tuple[Column, Column]:
     return as_json, kind
 
 
-def _bracket_fills(events: DataFrame) -> DataFrame:
-    """Fills by depth for (run, tool) groups without named returns: (run_id, call_seq, return_seq, content)."""
-    by_tool = Window.partitionBy("run_id", "tool_name").orderBy("seq")
-    upto = by_tool.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.when(F.col("opens"), 1).when(F.col("content").isNotNull(), -1).otherwise(0)  # a null result leaves its call open
-    walked = events.withColumn("height", F.sum(step).over(upto))
-    walked = walked.withColumn("floor", F.least(F.lit(0), F.min("height").over(upto)))  # returns that found nothing open
-    depth = F.col("height") - F.col("floor")
-    closed = (~F.col("opens")) & F.col("content").isNotNull()
-    nothing_open = closed & (F.col("height") == F.col("floor")) & (
-        F.coalesce(F.lag("floor").over(by_tool), F.lit(0)) > F.col("floor")
-    )
-    walked = walked.withColumn("depth", F.when(closed, depth + 1).otherwise(depth)).withColumn("stray", nothing_open).where("NOT stray")
-    level = Window.partitionBy("run_id", "tool_name", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    matched = walked.withColumn("call_seq", F.last(F.when(F.col("opens"), F.col("seq")), ignorenulls=True).over(level))
-    return matched.where(~F.col("opens") & F.col("call_seq").isNotNull() & (F.col("depth") > 0)).select(
-        "run_id", "call_seq", F.col("seq").alias("return_seq"), "content"
-    )
-
-
-def _walk(batches):
-    """Fills of (run, tool) groups that mix both rules; rows come grouped and in order.
+def _walker(size: int, last: bool):
+    """Walks events that come grouped by (run, tool, stretch) and in order of time.
 
-    Holds the open calls of one group (a heap, latest first) and nothing else.
+    Returns FILL events (a return at ``time`` that reaches ``call``) and, unless
+    ``last``, what is left over.  Holds the calls of one stretch.
     """
-    group, waiting, is_open = None, [], {}
-    for pdf in batches:
-        fills = []
-        for run, tool, seq, opens, target, content in zip(
-            pdf["run_id"], pdf["tool_name"], pdf["seq"], pdf["opens"], pdf["target"], pdf["content"]
-        ):
-            if (run, tool) != group:
-                group, waiting, is_open = (run, tool), [], {}
-            if opens:
-                is_open[seq] = True
-                heapq.heappush(waiting, -seq)
-                continue
-            if pd.isna(target):
-                while waiting and not is_open[-waiting[0]]:
-                    heapq.heappop(waiting)
-                if not waiting:
+
+    def walk(batches):
+        group, waiting, opened = None, [], {}  # opened: call -> when it was opened last; None once closed
+
+        def left_over(of) -> list[tuple]:
+            return [] if last or of is None else [(of[0], of[1], at, OPEN, call, False, None) for call, at in opened.items() if at is not None]
+
+        for pdf in batches:
+            out = []
+            for run, tool, stretch, time, what, call, empty, content in zip(*(pdf[c] for c in ("run_id", "tool_name", "stretch", "time", "what", "call", "empty", "content"))):
+                if (run, tool, stretch) != group:
+                    out += left_over(group)
+                    group, waiting, opened = (run, tool, stretch), [], {}
+                if what == LOOSE:
+                    while waiting and opened[-waiting[0]] is None:
+                        heapq.heappop(waiting)
+                    if waiting:
+                        out.append((run, tool, time, FILL, -waiting[0], empty, content))
+                        if not empty:
+                            opened[-waiting[0]] = None
+                    elif not last:
+                        out.append((run, tool, time, LOOSE, None, empty, content))
                     continue
-                call = -waiting[0]
-            else:
-                call = int(target)
-            fills.append((run, call, seq, content))
-            was_open, is_open[call] = is_open.get(call, False), content is None
-            if content is None and not was_open:
-                heapq.heappush(waiting, -call)
-        if fills:
-            yield pd.DataFrame(fills, columns=["run_id", "call_seq", "return_seq", "content"])
+                call = int(call)
+                if what == NAMED and not last and call < stretch * size:  # of a call before this stretch
+                    out.append((run, tool, time, NAMED, call, empty, None))
+                elif what == OPEN or empty:
+                    if opened.get(call) is None:
+                        opened[call] = time
+                        heapq.heappush(waiting, -call)
+                else:
+                    opened[call] = None
+            if out:  # an empty frame has untyped columns
+                yield pd.DataFrame(out, columns=["run_id", "tool_name", "time", "what", "call", "empty", "content"]).astype({"call": "Int64"})
+        rest = left_over(group)
+        if rest:
+            yield pd.DataFrame(rest, columns=["run_id", "tool_name", "time", "what", "call", "empty", "content"])
+
+    return walk
+
+
+def _walked(events: DataFrame, stretch: int, last: bool) -> DataFrame:
+    dealt = events.withColumn("stretch", F.lit(0).cast("long") if last else F.floor(F.col("time") / stretch).cast("long"))
+    # at one time, an event that was left over keeps its place: there is one event a place
+    ordered = dealt.repartition("run_id", "tool_name", "stretch").sortWithinPartitions("run_id", "tool_name", "stretch", "time")
+    return ordered.mapInPandas(_walker(stretch, last), EVENT_SCHEMA)
+
+
+def loose_fills(events: DataFrame) -> DataFrame:
+    """(run_id, call_seq, return_seq, content) of all loose returns; ``events`` as in EVENT_SCHEMA, one per run and time."""
+    span = events.agg(F.max("time").alias("high"), F.min("time").alias("low")).first()
+    size, fills = STRETCH, []
+    whole = span.high is None or (span.low >= 0 and span.high < size)
+    while not whole:
+        events = cut_lineage(_walked(events, size, False))
+        fills.append(events.where(F.col("what") == FILL))
+        events = events.where(F.col("what") != FILL)
+        whole, size = span.high - span.low < size, size * FAN
+    fills.append(_walked(events, size, True))
+    every = fills[0]
+    for f in fills[1:]:
+        every = every.unionByName(f)
+    return every.select("run_id", F.col("call").alias("call_seq"), F.col("time").alias("return_seq"), "content")
 
 
 def pair_tool_calls(parts: DataFrame) -> DataFrame:
@@ -104,23 +128,18 @@ def pair_tool_calls(parts: DataFrame) -> DataFrame:
     named = aimed.groupBy("run_id", "seq").agg(
         F.max(F.struct("call_seq", "call_tool")).alias("to"), F.first("content").alias("content")
     ).select("run_id", "seq", F.col("to.call_seq").alias("target"), F.col("to.call_tool").alias("tool_name"), "content")
+    named = cut_lineage(named)
     loose = rets.join(named.select("run_id", "seq"), ["run_id", "seq"], "left_anti")
 
-    # Which rules a run uses on a tool decides how its loose returns are matched.
-    loose_tools = loose.select("run_id", "tool_name").distinct()
-    mixed = loose_tools.join(named.select("run_id", "tool_name"), ["run_id", "tool_name"], "left_semi")
-    events = calls.select("run_id", "tool_name", "seq", F.lit(True).alias("opens"), F.lit(None).cast("long").alias("target"),
-                          F.lit(None).cast("string").alias("content"))
-    events = events.unionByName(loose.select("run_id", "tool_name", "seq", F.lit(False).alias("opens"),
-                                             F.lit(None).cast("long").alias("target"), "content"))
-    plain = events.join(loose_tools, ["run_id", "tool_name"], "left_semi").join(mixed, ["run_id", "tool_name"], "left_anti")
-    woven = events.unionByName(named.select("run_id", "tool_name", "seq", F.lit(False).alias("opens"), "target", "content"))
-    woven = woven.join(mixed, ["run_id", "tool_name"], "left_semi")
-    walked = woven.repartition("run_id", "tool_name").sortWithinPartitions("run_id", "tool_name", "seq").mapInPandas(_walk, FILL_SCHEMA)
-    direct = named.join(mixed, ["run_id", "tool_name"], "left_anti").select(
-        "run_id", F.col("target").alias("call_seq"), F.col("seq").alias("return_seq"), "content"
-    )
-    fills = direct.unionByName(_bracket_fills(plain)).unionByName(walked)
+    def events(rows: DataFrame, what: int, call: str, content: str) -> DataFrame:
+        return rows.select(
+            "run_id", "tool_name", F.col("seq").cast("long").alias("time"), F.lit(what).alias("what"), F.expr(call).cast("long").alias("call"),
+            F.col("content").isNull().alias("empty"), F.expr(content).cast("string").alias("content"),
+        )
+
+    stream = events(calls, OPEN, "seq", "NULL").unionByName(events(loose, LOOSE, "NULL", "content")).unionByName(events(named, NAMED, "target", "NULL"))
+    direct = named.select("run_id", F.col("target").alias("call_seq"), F.col("seq").alias("return_seq"), "content")
+    fills = direct.unionByName(loose_fills(stream))
     last = fills.groupBy("run_id", "call_seq").agg(F.max(F.struct("return_seq", "content")).alias("r"))
     args_json, args_kind = args_columns(F.col("args"))
     return calls.withColumnRenamed("seq", "call_seq").join(last, ["run_id", "call_seq"], "left").select(

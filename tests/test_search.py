@@ -172,6 +172,49 @@ def test_resolve_cutoff_edges_and_ties(spark):
         assert got[r] == best_category(r, sorted(vocab)), r
 
 
+def _misspelt(rnd, word):
+    out = list(word)
+    for _ in range(rnd.randint(0, 6)):
+        at = rnd.randint(0, len(out))
+        out[at : at + rnd.randint(0, 2)] = rnd.choice(["", "a", "e", "xy", " ", "é"])
+    return "".join(out)
+
+
+def test_ratio_equals_difflib():
+    import difflib
+
+    from chunkwise.operators.resolve import ratio
+
+    rnd = random.Random(8)
+    words = ["Governing Law", "Audit Rights", "Cap On Liability", "abcabcabc", "aaaa", "", "Non-Compete", "xyzzy"]
+    for _ in range(10_000):
+        a = rnd.choice(words)
+        b = _misspelt(rnd, rnd.choice([a, rnd.choice(words)]))
+        assert ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+    for _ in range(40):  # long ones, where common characters are set aside
+        a = "".join(rnd.choice("abcdefgh 0123456789") for _ in range(rnd.randint(150, 400)))
+        b = _misspelt(rnd, a[: rnd.randint(100, 400)] + "".join(rnd.choice("aé") for _ in range(rnd.randint(0, 200))))
+        assert ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_close_pairs_lose_no_match(spark):
+    import difflib
+
+    from chunkwise.operators.resolve import close_pairs, fuzzy_matches
+
+    rnd = random.Random(2)
+    vocab = sorted({"".join(rnd.choice("abcde fghé") for _ in range(rnd.randint(1, 14))) for _ in range(150)} | {"a", "ab", "zzz"})
+    asked = sorted({_misspelt(rnd, rnd.choice(vocab)) for _ in range(120)} | {"", "zz", "q"})
+    vdf, rdf = spark.createDataFrame([(v,) for v in vocab], "category string"), spark.createDataFrame([(r,) for r in asked], "requested string")
+    for cutoff in (0.6, 0.8):
+        pairs = {(r.requested, r.category) for r in close_pairs(rdf, vdf, cutoff).collect()}
+        want = {(r, v) for r in asked for v in vocab if difflib.SequenceMatcher(None, v, r).ratio() >= cutoff}
+        assert want <= pairs and len(pairs) < len(asked) * len(vocab) / 2
+        got = {r.requested: r.fuzzy for r in fuzzy_matches(rdf, vdf, cutoff).collect()}
+        close = {r: difflib.get_close_matches(r, vocab, n=1, cutoff=cutoff) for r in asked}
+        assert got == {r: hits[0] for r, hits in close.items() if hits}
+
+
 def test_embedder_runs_once_per_query(spark):
     import pandas as pd
     from pyspark.sql import functions as F

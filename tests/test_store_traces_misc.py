@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import tempfile
 import unicodedata
 
@@ -253,3 +254,54 @@ def test_materialize_corpus_and_skip(spark):
     assert files.materialize_corpus(docs, base + "/c", replace=True) == 2
     back = {r.document_name: r.text for r in files.read_text_corpus(spark, "file://" + base + "/c").collect()}
     assert back == {"a.txt": "alpha\n", "b.txt": "beta"}
+
+
+def _random_trace(rnd, run, size):
+    """Parts of one run: calls of two tools, named, loose and empty returns."""
+    ids, parts = [], []
+    for seq in range(size):
+        tool = rnd.choice(["t", "t", "u"])
+        if rnd.random() < 0.5:
+            call_id = f"c{seq}" if rnd.random() < 0.5 else ""
+            ids += [(call_id, tool)] if call_id else []
+            parts.append((run, seq, "tool-call", tool, call_id, "{}", None))
+        else:
+            call_id, of = rnd.choice(ids) if ids and rnd.random() < 0.4 else ("", tool)
+            parts.append((run, seq, "tool-return", of, call_id, None, None if rnd.random() < 0.3 else f"r{seq}"))
+    return parts
+
+
+PART_SCHEMA = "run_id long, seq long, part_kind string, tool_name string, tool_call_id string, args string, content string"
+
+
+def test_pairing_in_short_stretches_equals_definition(spark, monkeypatch):
+    from chunkwise.operators import traces
+    from spec_models import fills_by_rule
+
+    rnd = random.Random(21)
+    parts = [p for run in range(60) for p in _random_trace(rnd, run, rnd.choice([5, 20, 60]))]
+    want = fills_by_rule(parts)
+    df = spark.createDataFrame(parts, PART_SCHEMA)
+    for stretch, fan in ((3, 2), (7, 3), (1 << 16, 16)):
+        monkeypatch.setattr(traces, "STRETCH", stretch)
+        monkeypatch.setattr(traces, "FAN", fan)
+        got = {(r.run_id, r.call_seq): (r.result, r.return_seq) for r in pair_tool_calls(df).collect()}
+        assert got == want, (stretch, fan)
+
+
+def test_one_run_of_a_million_events_is_walked_in_parallel(spark):
+    """Every event of one run and tool: the walk is dealt over stretches and equals one walk over all."""
+    from chunkwise.operators import traces
+
+    n = 1_000_000
+    h = "pmod(xxhash64(id), 100)"
+    events = spark.range(n).selectExpr(
+        "1L AS run_id", "'t' AS tool_name", "id AS time", f"IF({h} < 51, 0, IF({h} < 95, 1, 2)) AS what",
+        f"IF({h} < 51, id, IF({h} < 95, NULL, pmod(xxhash64(id, 7), id + 1))) AS call", f"{h} % 10 = 3 AS empty", "cast(id AS string) AS content",
+    ).where("what <> 2 OR pmod(xxhash64(call), 100) < 51")  # named returns name calls
+    fills = traces.loose_fills(events)
+    frame = events.withColumn("stretch", traces.F.lit(0)).toPandas().sort_values("time")
+    plain = [f for f in traces._walker(1, True)(iter([frame]))][0]
+    got = fills.toPandas().sort_values("return_seq")
+    assert got["call_seq"].tolist() == plain["call"].tolist() and got["return_seq"].tolist() == plain["time"].tolist()
+    assert n // traces.STRETCH > 10  # stretches that were walked beside each other
