@@ -83,3 +83,38 @@ def corpus_status(products: DataFrame | None, chunks: DataFrame | None, top: int
         (F.col("category_count") if has_category else F.lit(0).cast("long")).alias("category_count"),
         (F.col("top_categories") if has_category else F.lit(None).cast(top_type)).alias("top_categories"),
     )
+
+
+SKETCH_BITS = 14  # registers of a sketch: 2^14, a standard error of 0.8 %
+
+
+def distinct_sketches(rows: DataFrame, **columns) -> DataFrame:
+    """One row about an append: its number of rows and a mergeable distinct-count sketch per named column.
+
+    An array column counts its elements.  Sketches have a fixed size whatever
+    the rows and are combined map-side.
+    """
+    aggregates = [F.count("*").alias("n_rows")]
+    for name, column in columns.items():
+        arrays = rows.select(column.alias("c")).schema["c"].dataType.typeName() == "array"
+        flat = rows.select(F.explode(column).alias("c")) if arrays else rows.select(column.alias("c"))
+        aggregates.append((name, flat))
+    out = rows.agg(aggregates[0])
+    for name, flat in aggregates[1:]:
+        one = flat.agg(F.hll_sketch_agg("c", SKETCH_BITS).alias(name))
+        out = out.withColumn("k", F.lit(0)).join(F.broadcast(one.withColumn("k", F.lit(0))), "k").drop("k")  # one row each
+    return out
+
+
+def append_sketches(rows: DataFrame, path: str, ingest: str, **columns) -> None:
+    """Store the sketches of one append beside the table it went to; the same ``ingest`` again replaces its row."""
+    distinct_sketches(rows, **columns).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/ingest={ingest}")
+
+
+def distinct_across_ingests(sketches: DataFrame, *names: str) -> DataFrame:
+    """One row: rows of all appends and, per sketch, the estimated number of distinct values over all of them.
+
+    Reads the sketches only, never the appended rows.
+    """
+    estimates = [F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in names]
+    return sketches.agg(F.count("*").alias("ingests"), F.sum("n_rows").alias("n_rows"), *estimates)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from chunkwise.operators.embed import sql_dense
 from chunkwise.operators.metrics import KEY_COMPAT, KEY_QUALIFIED, sql_case_metrics
 from chunkwise.operators.relevance import label_relevance
 from chunkwise.operators.sampling import sql_stratified_sample, stratified_sample
-from chunkwise.plans.catalog import register
+from chunkwise.plans.catalog import register, scratch
 from chunkwise.plans.q_ingest import all_annotations, categorized_chunks, sql_categorized_chunks
 from chunkwise.plans.retrieval_eval import retrieval_eval
+from chunkwise.sources import files
 from chunkwise.sources.tables import sql_with
 
 K = 8
@@ -226,3 +229,29 @@ register("ndcg_at_k", _metric_sql("ndcg"))(_metric_query("ndcg"))
 def q_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean Recall/Precision/MRR/nDCG@8 per category and overall."""
     return evaluation(spark, sf_dir).report(KEY_QUALIFIED)
+
+
+SNAPSHOT_STAMP = "2024-01-01_00-00"
+REPORT_SCHEMA = "category string, cases long, recall double, precision double, mrr double, ndcg double"
+
+
+@register(
+    "eval_snapshot",
+    sql_with(
+        sql_eval_ctes(),
+        f"""SELECT mode, '{SNAPSHOT_STAMP}' AS ts, coalesce(category, 'ALL') AS category, count(*) AS cases,
+                  round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg
+           FROM (SELECT 'document_chunk' AS mode, * FROM m_q UNION ALL SELECT 'chunk_id', * FROM m_c) JOIN cases_ok USING (ann_id)
+           GROUP BY GROUPING SETS ((mode, category), (mode))""",
+    ),
+)
+def q_eval_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of both key modes saved as snapshots and read back as one table."""
+    root = f"{scratch(spark, sf_dir, 'snapshots')}-{uuid.uuid4().hex}"
+    ev = evaluation(spark, sf_dir)
+    for mode, key in (("document_chunk", KEY_QUALIFIED), ("chunk_id", KEY_COMPAT)):
+        if not files.save_snapshot(ev.report(key), root, mode, SNAPSHOT_STAMP):
+            raise OSError(f"no snapshot of mode {mode}")
+    return files.read_snapshots(spark, root, REPORT_SCHEMA).select(
+        "mode", "ts", "category", "cases", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg")]
+    )

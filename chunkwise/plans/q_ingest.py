@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from chunkwise.functions.chunking import sql_chunks, sql_page
 from chunkwise.operators.categorize import chunk_store, ingest_summary
 from chunkwise.operators.chunk import chunk_documents
 from chunkwise.operators.embed import SQL_PRODUCT_TEXT, product_embedding_text
-from chunkwise.operators.stats import category_histogram, category_list, corpus_status
+from chunkwise.operators.stats import append_sketches, category_histogram, category_list, corpus_status, distinct_across_ingests
 from chunkwise.plans.catalog import register, scratch, shared
 from chunkwise.sources import files
 from chunkwise.sources.tables import (
@@ -220,6 +222,36 @@ def q_corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+INGESTS = 4
+
+
+@register(
+    "distinct_across_ingests",
+    sql_with(
+        sql_categorized_chunks(),
+        f"""SELECT CAST({INGESTS} AS BIGINT) AS ingests, count(*) AS n_rows, count(DISTINCT document_name) AS documents,
+                  (SELECT count(DISTINCT cat) FROM (SELECT unnest(category) AS cat FROM cchunks2)) AS categories,
+                  true AS documents_close, true AS categories_close FROM cchunks2""",
+    ),
+)
+def q_distinct_across_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 by sketches: documents and categories over several appends that share them, exact beside whether the estimate is within 5 %."""
+    chunks = categorized_chunks(spark, sf_dir)
+    path = f"{scratch(spark, sf_dir, 'sketches')}-{uuid.uuid4().hex}"
+    for i in range(INGESTS):  # every document's chunks are spread over the appends
+        append_sketches(chunks.where(F.col("chunk_id") % INGESTS == i), path, str(i), documents=F.col("document_name"), categories=F.col("category"))
+    told = distinct_across_ingests(spark.read.parquet(path), "documents", "categories").select(
+        "ingests", "n_rows", F.col("documents").alias("d"), F.col("categories").alias("c"), F.lit(0).alias("k")
+    )
+    exact = chunks.select("document_name", F.explode_outer("category").alias("cat")).agg(
+        F.countDistinct("document_name").alias("documents"), F.countDistinct("cat").alias("categories")
+    ).withColumn("k", F.lit(0))
+    close = lambda estimate, true: F.abs(F.col(estimate) - F.col(true)) <= F.greatest(0.05 * F.col(true), F.lit(0.5))
+    return told.join(F.broadcast(exact), "k").select(
+        "ingests", "n_rows", "documents", "categories", close("d", "documents").alias("documents_close"), close("c", "categories").alias("categories_close")
+    )
+
+
 @register("annotation_roundtrip", sql_with({"ann": SQL_ALL_ANN}, "SELECT document_name, category, start_char, end_char, text FROM ann"))
 def q_annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + S3: spans written as per-document annotation JSON and read back."""

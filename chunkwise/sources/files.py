@@ -246,3 +246,8 @@ def save_snapshot(df: DataFrame, root: str, mode_name: str, stamp: str) -> bool:
     except Exception as exc:  # the reference logs and continues
         logging.getLogger("chunkwise").warning("snapshot failed: %s", exc)
         return False
+
+
+def read_snapshots(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All saved snapshots as one table, with their ``mode`` and ``ts`` (partition columns: a filter on them prunes)."""
+    return spark.read.schema(f"{schema}, mode string, ts string").json(root.rstrip("/"))

@@ -305,3 +305,57 @@ def test_one_run_of_a_million_events_is_walked_in_parallel(spark):
     got = fills.toPandas().sort_values("return_seq")
     assert got["call_seq"].tolist() == plain["call"].tolist() and got["return_seq"].tolist() == plain["time"].tolist()
     assert n // traces.STRETCH > 10  # stretches that were walked beside each other
+
+
+def test_passages_equal_search_in_every_document(spark):
+    from chunkwise.operators.passages import locate_passages
+
+    rnd = random.Random(6)
+    letters = "abé😀 "
+    docs = [(i, "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 300)))) for i in range(80)] + [(3, "aab"), (90, None), (91, ""), (None, "ab ab")]
+    docs += [docs[5], docs[5]]
+    whole = [d[1] for d in docs if d[1]]
+    items = []
+    for i in range(120):
+        text = rnd.choice(whole)
+        at = rnd.randint(0, len(text) - 1)
+        items.append((i, text[at : at + rnd.choice([1, 2, 3, 7, 8, 9, 31, 64, 100, 300])]))
+    items += [(200, "never there"), (201, None), (7, "ab"), (None, "a"), (203, "a"), (203, "a")]
+    ddf, pdf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start_char, r.passage_len, r.passage) for r in locate_passages(ddf, pdf).collect()), key=repr)
+    want = sorted(((d, i, t.find(p), len(p), p) for d, t in docs if t is not None for i, p in items if p is not None and p in t), key=repr)
+    assert got == want
+
+
+def test_passage_keys_are_few():
+    from chunkwise.operators.passages import text_keys
+
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("abcdefghij ") for _ in range(50_000))
+    for c, keys in text_keys(text, [4, 6, 8]).items():
+        assert len(keys) < 5 * len(text) / 2**c
+
+
+def test_sketches_of_appends_merge(spark, tmp_path):
+    from chunkwise.operators.stats import append_sketches, distinct_across_ingests
+
+    path = str(tmp_path / "sketches")
+    for i in range(5):  # each append shares half of its keys with the next
+        rows = spark.range(i * 1000, i * 1000 + 2000).selectExpr("cast(id AS string) AS name", "array(concat('c', id % 40), NULL) AS cats")
+        append_sketches(rows, path, str(i), names=F.col("name"), cats=F.col("cats"))
+    append_sketches(rows, path, "4", names=F.col("name"), cats=F.col("cats"))  # a replay changes nothing
+    append_sketches(rows.limit(0), path, "5", names=F.col("name"), cats=F.col("cats"))
+    r = distinct_across_ingests(spark.read.parquet(path), "names", "cats").first()
+    assert (r.ingests, r.n_rows, r.cats) == (6, 10_000, 40) and abs(r.names - 6000) < 0.03 * 6000
+
+
+def test_snapshots_read_back_with_mode_and_stamp(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    df = spark.createDataFrame([("a", 0.5), (None, 1.0)], "category string, recall double")
+    assert files.save_snapshot(df, root, "m1", "2024-01-01_00-00") and files.save_snapshot(df.limit(1), root, "m2", "2024-01-02_10-30")
+    back = files.read_snapshots(spark, root, "category string, recall double")
+    assert sorted((r.mode, r.ts, r.recall) for r in back.collect()) == [
+        ("m1", "2024-01-01_00-00", 0.5), ("m1", "2024-01-01_00-00", 1.0), ("m2", "2024-01-02_10-30", 0.5)]
+    assert "PartitionFilters: [isnotnull(mode" in back.where("mode = 'm2'")._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "file").write_text("x")
+    assert files.save_snapshot(df, str(tmp_path / "file"), "m", "t") is False
