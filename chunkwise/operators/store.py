@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise.operators.categorize import UNCATEGORIZED
+from chunkwise.operators.key_index import KeyIndex
+from chunkwise.session import cut_lineage
 
 PRODUCT_KEY = ("product_id",)
 CHUNK_KEY = ("document_name", "chunk_id")
@@ -58,20 +60,22 @@ def append_if_absent(
 ) -> int:
     """Append the absent rows of ``batch`` to the parquet table at ``path``; returns rows appended.
 
-    ``embed_fn(df) -> df`` runs on the absent rows only.  The new rows are
-    checkpointed before the write so the anti-join is not re-evaluated against
-    the table being written.
+    ``embed_fn(df) -> df`` runs on the absent rows only.  Which keys are stored
+    is read from the buckets of the table's key index that the batch touches
+    (``key_index``), not from the table; appends run one at a time.  The new
+    rows are checkpointed before the write.
     """
     spark = batch.sparkSession
-    target = read_store(spark, path)
-    fresh = new_rows(batch, target, keys, order)
+    index = KeyIndex(spark, path, keys)
+    rows = first_per_key(batch, keys, order) if order is not None else batch.dropDuplicates(list(keys))
+    fresh = index.absent(cut_lineage(rows))
     if embed_fn is not None:
         fresh = embed_fn(fresh)
-    fresh = fresh.checkpoint(eager=True)
+    fresh = cut_lineage(fresh)
     n = fresh.count()
     if n:
-        cols = target.columns if target is not None else fresh.columns
-        fresh.select(*cols).write.mode("append").parquet(path)
+        target = read_store(spark, path)
+        index.append(fresh.select(*(target.columns if target is not None else fresh.columns)))
     return n
 
 
