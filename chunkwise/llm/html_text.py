@@ -1,17 +1,26 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is read once into blocks (runs of text between block-level tags).  A
-fixed linear classifier scores every block from its ancestors, tags, length
-and links; the costs of the two labels become the block's capacities to the
-terminals.  Smoothness edges join blocks that are neighbours in page order and
-blocks that follow each other under the same parent.  The minimum cut, found by
-maximum flow, separates content from boilerplate.
-
-Scripts, styles, forms and the like never become blocks.  Character references
+fixed linear classifier gives every block its log-odds of being content, from its
+ancestors, tags, length and links: the capacity to the source where they are
+positive, to the sink where negative.  Smoothness edges join neighbours in page
+order, the weaker the more containers lie between them, and blocks that follow
+each other under the same parent.  The minimum cut, found by maximum flow,
+separates content from boilerplate.  Blocks inside containers that the page marks
+as boilerplate get a capacity no edges outweigh; all other capacities are of the
+edges' order, so a short line among paragraphs stays and a run of bare links goes.
+
+A boilerplate container keeps all it holds, marked content too.  Only if nothing
+is left of a page that way, an ``article`` or ``main`` inside a form or a
+container with a boilerplate name counts (a form or a layout around the page).
+
+Scripts, styles, buttons and the like never become blocks.  Character references
 are decoded, white space inside a block becomes one space, blocks are joined in
 page order by one space; nothing is dropped from a content block and no length
 is capped.  Broken markup is read as far as it goes: a ``<`` that opens no tag
-is text, unclosed elements end with their parent.
+is text, a quote that never closes is part of its tag up to the next ``>``,
+unclosed elements end with their parent, hidden ones without any end tag ahead at
+the next block; only unclosed scripts, styles and other raw text reach the end.
 
 A null page counts as empty; a page without content has the text ``''`` and
 n_chars 0.  Every row is handled alone, so repeated rows give repeated results
@@ -24,7 +33,6 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
-from math import exp, log1p
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,9 +41,9 @@ from pyspark.sql import functions as F
 from chunkwise.llm.worker_cache import per_worker
 
 _MARKUP = re.compile(
-    r"""<!--(?:(?!-->).)*+(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S
+    r"""<!--(?:(?!-->).)*+(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""", re.S
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s]++))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 BLOCK_TAGS = frozenset(
@@ -43,7 +51,9 @@ BLOCK_TAGS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea noscript template iframe svg math object select button canvas audio video noframes".split())
+RAW_TAGS = frozenset("script style title textarea iframe noembed noframes".split())
+HIDDEN_TAGS = frozenset("audio button canvas noscript object select svg template video".split())
+MAY_HOLD_ARTICLES = frozenset(["noscript", "template"])  # the other hidden tags end where an article starts
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 BOILER_TAGS = frozenset("nav footer aside form head menu dialog search fieldset label".split())
@@ -59,7 +69,9 @@ CONTENT_NAMES = frozenset("article articlebody body content entry main post stor
 NOT_NAMES = frozenset("has no not with without".split())
 
 ATTRIBUTES_KEPT = 4096  # per worker
-NEIGHBOUR, SIBLING = 0.6, 0.5  # capacities of the smoothness edges
+NEIGHBOUR, SIBLING = 1.6, 0.8  # capacities of the smoothness edges; a neighbour's is divided by 1 + half the containers between
+HARD = 1000.0  # capacity of marked boilerplate, above all its edges
+HIDDEN = -2  # kind of a container whose text is not read at all
 
 
 def _kind(tag: str, attributes: str) -> int:
@@ -81,7 +93,7 @@ def _kind(tag: str, attributes: str) -> int:
 def _attribute_kind(tag: str, attributes: str, kind: int) -> int:
     found = {}
     for name, value in _ATTRIBUTE.findall(attributes):
-        found.setdefault(name.lower(), value.strip("\"'"))
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] else value)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return -1
     role = found.get("role", "").lower()
@@ -89,13 +101,15 @@ def _attribute_kind(tag: str, attributes: str, kind: int) -> int:
         return -1
     if role in ("main", "article"):
         return 1
-    if tag in ("html", "body") or kind:
+    if tag in ("html", "body"):
         return kind
     for value in (*found.get("class", "").split(), *found.get("id", "").split(), found.get("itemprop", "")):
-        names = {n.lower() for n in _NAME.findall(value)}
+        ordered = [n.lower() for n in _NAME.findall(value)]
+        names = set(ordered)
         if names & NOT_NAMES:
             continue
-        if names & BOILER_NAMES:
+        # classes of an article name its topic too, so only a leading name tells (comment, related-item)
+        if ordered[0] in BOILER_NAMES if kind and tag in CONTENT_TAGS and ordered else names & BOILER_NAMES:
             return -1
         if names & CONTENT_NAMES:
             kind = 1
@@ -103,55 +117,76 @@ def _attribute_kind(tag: str, attributes: str, kind: int) -> int:
 
 
 class _Reader:
-    """Blocks of one page: (text, parent number, container kind, tag, linked characters)."""
+    """Blocks of one page: (text, parent number, kind, kind if articles in boilerplate count, tag, linked characters, containers since the last block)."""
 
-    def __init__(self):
-        self.blocks: list[tuple[str, int, int, str, int]] = []
-        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, kind of the nearest marked container
+    def __init__(self, page: str):
+        self.page = page
+        self.blocks: list[tuple[str, int, int, int, str, int, int]] = []
+        self.stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, number, the two kinds of the nearest marked container
         self.number = 0
         self.parts: list[str] = []
         self.links = 0
         self.linked = 0
+        self.depth = self.low = 1  # of the last block; least since
+        self.last_end: dict[str, int] = {}  # where the last end tag of a hidden kind starts
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                tag, number, kind = self.stack[-1]
-                self.blocks.append((text, number, kind, tag, min(self.linked, len(text))))
+                tag, number, kind, loose = self.stack[-1]
+                apart = self.depth + len(self.stack) - 2 * self.low
+                self.blocks.append((text, number, kind, loose, tag, min(self.linked, len(text)), apart))
+                self.depth = self.low = len(self.stack)
             self.parts = []
         self.linked = 0
 
-    def open(self, tag: str, attributes: str) -> None:
+    def cut(self, i: int) -> None:
+        del self.stack[i:]
+        self.low = min(self.low, i)
+
+    def end_ahead(self, tag: str, at: int) -> bool:
+        if tag not in self.last_end:
+            self.last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", self.page, re.I)), default=-1)
+        return self.last_end[tag] >= at
+
+    def open(self, tag: str, attributes: str, at: int) -> None:
         self.flush()
+        while self.stack[-1][0] in HIDDEN_TAGS and (
+            not self.end_ahead(self.stack[-1][0], at) or (tag in CONTENT_TAGS and self.stack[-1][0] not in MAY_HOLD_ARTICLES)
+        ):
+            self.cut(len(self.stack) - 1)
         if self.stack[-1][0] in CLOSED_BY_BLOCK:
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
         for i in range(len(self.stack) - 1, 0, -1) if tag in SAME_KIND else ():
             if self.stack[i][0] in SAME_KIND[tag]:
                 break
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.cut(i)
                 break
         self.number += 1
-        inside = self.stack[-1][2]
-        kind = _kind(tag, attributes) or inside
+        _, _, inside, loose = self.stack[-1]
+        own = _kind(tag, attributes)
         if tag == "header" and inside != 1:  # a page header; the header of an article belongs to it
-            kind = -1
-        self.stack.append((tag, self.number, kind))
+            own = -1
+        again = own == 1 and tag in CONTENT_TAGS and loose != HIDDEN and all(x[0] not in ("nav", "aside", "footer") for x in self.stack[-64:])
+        self.stack.append((tag, self.number, inside if inside < 0 else own or inside, own or loose if loose >= 0 or again else loose))
 
     def close(self, tag: str) -> None:
-        self.flush()
+        if tag not in HIDDEN_TAGS:
+            self.flush()
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.cut(i)
                 break
 
-    def read(self, page: str) -> list[tuple[str, int, int, str, int]]:
+    def read(self) -> list[tuple[str, int, int, int, str, int, int]]:
+        page = self.page
         at, end = 0, len(page)
         while at < end:
             m = _MARKUP.search(page, at)
             text = page[at : m.start() if m else end]
-            if text:
+            if text and self.stack[-1][2] != HIDDEN:
                 text = html.unescape(text)
                 self.parts.append(text)
                 if self.links:
@@ -163,13 +198,19 @@ class _Reader:
                 if not m[3].endswith("/"):
                     done = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                     at = done.end() if done else end
+            elif tag in HIDDEN_TAGS:
+                if m[1]:
+                    self.close(tag)
+                elif not m[3].endswith("/"):
+                    self.number += 1
+                    self.stack.append((tag, self.number, HIDDEN, HIDDEN))
             elif tag in BLOCK_TAGS:
                 if tag in VOID_TAGS:
                     self.flush()
                 elif m[1]:
                     self.close(tag)
                 else:
-                    self.open(tag, m[3])
+                    self.open(tag, m[3], at)
             elif tag == "br":
                 self.parts.append(" ")
             elif tag == "a":
@@ -181,10 +222,10 @@ class _Reader:
 def block_score(text: str, kind: int, tag: str, linked: int, marked: bool) -> float:
     """Log-odds that a block is content; ``marked`` tells whether the page marks its content."""
     if kind < 0:
-        return -9.0
+        return -HARD
     words = text.count(" ") + 1
-    score = 3.5 if kind > 0 else -2.5 if marked else -1.2
-    score += 2.0 * min(words, 25) / 25 - 4.0 * linked / len(text)
+    score = 3.0 if kind > 0 else -2.5 if marked else -1.2
+    score += 2.0 * min(words, 25) / 25 - 3.5 * linked / len(text)
     if tag in ("p", "blockquote", "pre"):
         score += 0.8
     elif tag in ("h1", "h2", "h3"):
@@ -267,18 +308,13 @@ def _max_flow(pull: list[float], edges: list[tuple[int, int, float]]) -> list[bo
             graph[e[0]][e[2]][1] += amount
 
 
-def main_text(page: str | None) -> str:
-    blocks = _Reader().read(page) if page else []
-    if not blocks:
-        return ""
-    marked = any(kind > 0 for _, _, kind, _, _ in blocks)
+def _labelled(blocks: list[tuple], kinds: list[int]) -> str:
+    marked = any(kind > 0 for kind in kinds)
     scores, edges, last = [], [], {}
-    for i, (text, parent, kind, tag, linked) in enumerate(blocks):
-        odds = block_score(text, kind, tag, linked, marked)
-        # cost of one label minus cost of the other; both are negative log-likelihoods
-        scores.append(log1p(exp(odds)) - log1p(exp(-odds)))
+    for i, ((text, parent, _, _, tag, linked, apart), kind) in enumerate(zip(blocks, kinds)):
+        scores.append(block_score(text, kind, tag, linked, marked))
         if i:
-            edges.append((i - 1, i, NEIGHBOUR))
+            edges.append((i - 1, i, NEIGHBOUR / (1 + apart / 2)))
         if last.get(parent, i - 1) != i - 1:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
@@ -286,6 +322,14 @@ def main_text(page: str | None) -> str:
     return " ".join(b[0] for b, k in zip(blocks, keep) if k)
 
 
+def main_text(page: str | None) -> str:
+    blocks = _Reader(page).read() if page else []
+    text = _labelled(blocks, [b[2] for b in blocks])
+    if not text and any(b[3] > 0 for b in blocks):
+        text = _labelled(blocks, [b[3] for b in blocks])
+    return text
+
+
 def extract_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """(keys, text, n_chars) of every page, in the scan."""
     rows = pages.select(*keys, F.col(html_col).alias("__html"))
