@@ -259,3 +259,10 @@ def q_annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_annotations(all_annotations(spark, sf_dir), path)
     back = files.read_annotation_lines(spark, path)
     return back.select("document_name", "category", "start_char", "end_char", "text")
+
+
+@register("annotation_map_file", sql_with({"ann": SQL_ALL_ANN}, "SELECT document_name, category, start_char, end_char, text FROM ann"))
+def q_annotation_map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: spans written as ``{file: [spans]}`` documents and read back in byte ranges."""
+    folder = files.write_annotation_map(all_annotations(spark, sf_dir), scratch(spark, sf_dir, "annotation_map"))
+    return files.read_annotations(spark, folder).drop("ann_pos")

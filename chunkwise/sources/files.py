@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
+import uuid
 
 import pandas as pd
 from pyspark import TaskContext
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkwise.sources.json_elements import RANGE_BYTES, json_elements
+
 # The catalogue CSV header.
 PRODUCT_CSV_SCHEMA = T.StructType([
     T.StructField("ProductID", T.IntegerType()),
@@ -146,9 +150,10 @@ def materialize_corpus(docs: DataFrame, directory: str, name_col: str = "file_na
 # ------------------------------------------------------------------ S3 -----
 
 
-def read_annotations(spark: SparkSession, path: str, on_missing: str = "empty") -> DataFrame | None:
+def read_annotations(spark: SparkSession, path: str, on_missing: str = "empty", range_bytes: int = RANGE_BYTES) -> DataFrame | None:
     """Annotation file ``{file: [{category, start_char, end_char, text?}, ...]}`` -> span rows.
 
+    ``path`` is such a file or a folder of them; each is read in ranges by many tasks.
     ``on_missing='empty'`` returns None for a missing file (ingestion then marks
     every chunk Uncategorized); ``'error'`` raises.  A missing ``text`` is ``''``.
     """
@@ -158,10 +163,12 @@ def read_annotations(spark: SparkSession, path: str, on_missing: str = "empty")
         if on_missing == "error":
             raise FileNotFoundError(path)
         return None
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.from_json("value", f"map<string,{ANNOTATION_STRUCT}>").alias("m"))
-    per_file = parsed.select(F.explode("m").alias("document_name", "anns"))
-    spans = per_file.select("document_name", F.posexplode("anns").alias("ann_pos", "a"))
+    found = json_elements(spark, path, range_bytes)
+    spans = found.select(
+        F.col("key").alias("document_name"),
+        F.col("place").cast("int").alias("ann_pos"),
+        F.from_json("element", ANNOTATION_STRUCT[len("array<"):-1]).alias("a"),
+    )
     return spans.select(
         "document_name",
         "ann_pos",
@@ -172,6 +179,38 @@ def read_annotations(spark: SparkSession, path: str, on_missing: str = "empty")
     )
 
 
+def write_annotation_map(spans: DataFrame, directory: str) -> str:
+    """Span rows -> a new folder below ``directory`` (returned) of ``{file: [span, ...], ...}`` documents, one per task.
+
+    Rows are ordered by document and start over all files, so a document with very
+    many spans is spread over several; tasks write as the rows come.
+    """
+    folder = f"{directory.rstrip('/')}/{uuid.uuid4().hex}"
+    order = ("document_name", "start_char", "end_char", "category")
+    lines = spans.select(*order, F.to_json(F.struct("category", "start_char", "end_char", "text")).alias("span"))
+    lines = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("document_name", "span")
+
+    def write(batches):
+        fs, root = _fs_and_root(folder)
+        fs.create_dir(root, recursive=True)
+        target = f"{root}/part-{TaskContext.get().partitionId():05}.json"
+        tmp = f"{root}/_{TaskContext.get().taskAttemptId()}.part"
+        last, n = None, 0
+        with fs.open_output_stream(tmp) as out:
+            out.write(b"{")
+            for pdf in batches:
+                for name, span in zip(pdf["document_name"].tolist(), pdf["span"].tolist()):
+                    lead = ",\n" if name == last else ("" if last is None else "],\n") + json.dumps(name) + ": ["
+                    out.write((lead + span).encode("utf-8"))
+                    last, n = name, n + 1
+            out.write(b"]}" if last is not None else b"}")
+        fs.move(tmp, target)
+        yield pd.DataFrame({"n": [n]})
+
+    lines.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
 def write_annotations(spans: DataFrame, path: str, mode: str = "overwrite", window: int = 4000) -> None:
     """Span rows -> JSON lines of (``document_name``, ``annotations``).
 
@@ -207,15 +246,17 @@ QA_SCHEMA = (
 )
 
 
-def read_qa_corpus(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_qa_corpus(spark: SparkSession, path: str, multiline: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Nested QA JSON -> (title, qa_id, question, answer_text, answer_start) with declared schema.
 
-    ``multiline=True`` reads one JSON document per file (the published layout;
-    a file is then parsed by one task); ``False`` reads one ``{"data": [...]}``
-    object per line, which splits across tasks.
+    ``multiline=True`` reads one JSON document per file (the published layout), in
+    ranges by many tasks; ``False`` reads one ``{"data": [...]}`` object per line.
     """
-    raw = spark.read.schema(QA_SCHEMA).option("multiLine", multiline).json(path)
-    return qa_rows(raw)
+    if multiline:
+        entry = QA_SCHEMA[len("data array<"):-1]
+        found = json_elements(spark, path, range_bytes).where(F.col("key") == "data")
+        return qa_rows(found.select(F.array(F.from_json("element", entry)).alias("data")))
+    return qa_rows(spark.read.schema(QA_SCHEMA).json(path))
 
 
 def qa_rows(raw: DataFrame) -> DataFrame:
