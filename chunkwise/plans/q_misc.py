@@ -25,6 +25,7 @@ from chunkwise.operators.tokens import contract_estimates, estimate_details, est
 from chunkwise.plans.catalog import register, scratch
 from chunkwise.plans.q_ingest import all_annotations, categorized_chunks, sql_categorized_chunks
 from chunkwise.sources import files
+from chunkwise.sources.json_elements import write_json_arrays
 from chunkwise.sources.tables import SQL_CORPUS, SQL_PRODUCTS, corpus, products, sql_with, table
 
 # ------------------------------------------------------------ token estimate --
@@ -322,6 +323,15 @@ def q_qa_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir)
 
 
+@register("qa_document", sql_with(_qa_ctes(), "SELECT * FROM spans"))
+def q_qa_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same corpus in single JSON documents of the published layout, read in byte ranges."""
+    entries = spark.read.text(qa_json_path(spark, sf_dir)).select(F.regexp_extract("value", r'^\{"data":\[(.*)\]\}$', 1).alias("element"))
+    folder = f"{scratch(spark, sf_dir, 'qa_documents')}/{uuid.uuid4().hex}"
+    write_json_arrays(entries, "data", folder)
+    return answers_to_spans(files.read_qa_corpus(spark, folder))
+
+
 @register(
     "annotation_summary",
     sql_with(

@@ -192,3 +192,19 @@ def json_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     rest = found.where("element is not null and key is null").join(carried, ["path", "start"])
     rest = rest.select("path", F.col("held").alias("key"), (F.col("place") + F.col("earlier")).alias("place"), "element")
     return known_key.unionAll(rest.where("key is not null"))
+
+
+def write_json_arrays(rows: DataFrame, key: str, path: str, per_file: int = 1000) -> None:
+    """The JSON texts in column ``element`` -> files ``{key: [null, element, ...]}`` of about ``per_file`` elements each.
+
+    The null gives every element the same leading comma, so a file is written row by row.
+    """
+    n = max(1, -(-rows.count() // per_file))
+    numbers = rows.sparkSession.range(n).select(F.col("id").alias("file"))
+    head = numbers.select("file", F.lit(0).alias("part"), F.lit("{" + json.dumps(key) + ": [null").alias("value"))
+    tail = numbers.select("file", F.lit(2).alias("part"), F.lit("]}").alias("value"))
+    middle = rows.select(
+        F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("file"), F.lit(1).alias("part"), F.concat(F.lit(", "), "element").alias("value")
+    )
+    lines = head.unionAll(middle).unionAll(tail).repartition("file").sortWithinPartitions("file", "part")
+    lines.select("file", "value").write.partitionBy("file").text(path)

@@ -94,3 +94,15 @@ def test_map_writer_splits_a_hot_document(spark, tmp_path):
     folder = files.write_annotation_map(rows, str(tmp_path))
     back = files.read_annotations(spark, folder, range_bytes=500)
     assert sorted((r.document_name, r.start_char) for r in back.collect()) == sorted((r.document_name, r.start_char) for r in rows.collect())
+
+
+def test_array_writer_and_reader(spark, tmp_path):
+    texts = [json.dumps({"i": i, "t": 'a "}"\n{'}) for i in range(250)]
+    rows = spark.createDataFrame([(t,) for t in texts], "element string")
+    json_elements.write_json_arrays(rows, 'the "data"', str(tmp_path / "out"), per_file=40)
+    back = json_elements.json_elements(spark, str(tmp_path / "out"), range_bytes=300).collect()
+    assert sorted(json.loads(r.element)["i"] for r in back) == list(range(250)) and {r.key for r in back} == {'the "data"'}
+    for file in (tmp_path / "out").rglob("*.txt"):
+        assert json.loads(file.read_text())['the "data"'][0] is None
+    json_elements.write_json_arrays(rows.limit(0), "data", str(tmp_path / "none"))
+    assert json_elements.json_elements(spark, str(tmp_path / "none")).count() == 0
