@@ -6,16 +6,14 @@ an embedding service) runs as an Arrow-batched pandas UDF, one call per batch.
 
 The default offline embedder is a hashed bag of words: word tokens (lower
 case, ``[\\p{L}\\p{N}_]+``) are hashed with ``md5`` to a bucket in ``[0, dim)``
-and the bucket counts L2-normalised -- inside one Arrow batch, hashing each
-distinct token once.  ``token_buckets`` is the same tokenisation and hashing as
-JVM expressions (and ``sql_hashed_long`` in SQL).
+and the bucket counts L2-normalised.  It is one JVM expression, no Python
+worker takes part; ``sql_hashed_long`` is the same in SQL.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,63 +33,40 @@ def token_buckets(text, dim: int = DEFAULT_DIM) -> Column:
     )
 
 
-def _normalised_counts(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def counts_to_vec(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            if b is None:
-                out.append(None)
-                continue
-            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            norm = np.sqrt((c * c).sum())
-            v = c / norm if norm > 0 else c
-            out.append(v.astype(np.float32))
-        return pd.Series(out)
+def bucket_counts(buckets, dim: int = DEFAULT_DIM) -> Column:
+    """ARRAY<BIGINT> of ``dim`` counts: how often each of 0 .. dim-1 stands in ``buckets``.
 
-    return counts_to_vec
+    Every bucket is added once, so that the sorted array is ``dim`` runs in bucket
+    order; a run's length less one is the count.  One sort and one pass over it,
+    whatever ``dim`` is.  One-element ``transform`` calls name the intermediates,
+    which would else be worked out again in every step.
+    """
+    buckets = F.col(buckets) if isinstance(buckets, str) else buckets
+    marked = F.sort_array(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))))
 
+    def lengths(ends: Column) -> Column:
+        return F.transform(ends, lambda end, i: (end - F.when(i > 0, F.get(ends, i - 1)).otherwise(-1) - 1).cast("long"))
 
-def _hashed_text_udf(dim: int):
-    """Arrow-batched embedder: tokenise, hash each distinct token once, count, L2-normalise.
+    def run_ends(run: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(run) - 1), lambda i: ~F.get(run, i).eqNullSafe(F.get(run, i + 1)))
+
+    return _named(marked, lambda run: _named(run_ends(run), lengths))
 
-    Same result as ``_normalised_counts(token_buckets(text))``: tokens are the
-    lower-cased ``[\\p{L}\\p{N}_]+`` runs and a token's bucket is the first 8 hex
-    digits of its md5, modulo ``dim``.
-    """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed_texts(texts: pd.Series) -> pd.Series:
-        import hashlib
-
-        import regex
-
-        pattern = regex.compile(r"[\p{L}\p{N}_]+")
-        cache: dict[str, int] = {}
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            idx = []
-            for tok in pattern.findall(t.lower()):
-                b = cache.get(tok)
-                if b is None:
-                    b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
-                    cache[tok] = b
-                idx.append(b)
-            c = np.bincount(np.asarray(idx, dtype=np.int64), minlength=dim).astype(np.float64)
-            norm = np.sqrt((c * c).sum())
-            v = c / norm if norm > 0 else c
-            out.append(v.astype(np.float32))
-        return pd.Series(out)
-
-    return embed_texts
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
+    """ARRAY<FLOAT>: bucket counts of the text's tokens, L2-normalised in double; all zero without a token, null for null."""
     text = F.col(text) if isinstance(text, str) else text
-    return _hashed_text_udf(dim)(text)
+
+    def normalised(counts: Column) -> Column:
+        squares = F.aggregate(counts, F.lit(0).cast("long"), lambda total, c: total + c * c)
+        return _named(F.sqrt(squares), lambda norm: F.transform(counts, lambda c: F.when(norm > 0, c / norm).otherwise(F.lit(0.0)).cast("float")))
+
+    return F.when(text.isNotNull(), _named(bucket_counts(token_buckets(text, dim), dim), normalised))
 
 
 def embed(

@@ -231,3 +231,29 @@ def test_embedder_runs_once_per_query(spark):
     df = df.withColumn("embedding", F.slice("embedding", 1, 2))
     asked = embed(spark.createDataFrame([(i, "x" * i) for i in range(20)], "query_id int, query string"), "query", "query_vec", embedder=client)
     assert knn_join(asked, df, 3).count() == 60 and calls.value == 20
+
+
+def test_default_embedding_is_native_and_equals_a_plain_count(spark):
+    import hashlib
+    import struct
+
+    import regex
+
+    from chunkwise.operators.embed import embed
+
+    texts = [None, "", "?! --", "one One oNe two", "ÄÖ ß_1 a-b", " ".join(f"w{i % 97}" for i in range(5000))]
+
+    def plain(text, dim):
+        counts = [0] * dim
+        for token in regex.findall(r"[\p{L}\p{N}_]+", text.lower()):
+            counts[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim] += 1
+        norm = sum(c * c for c in counts) ** 0.5
+        return [struct.unpack("f", struct.pack("f", c / norm if norm else 0.0))[0] for c in counts]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for dim in (1, 7, 64):
+        out = embed(rows, "text", dim=dim)
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.i: r.embedding for r in out.collect()}
+        assert got == {i: None if t is None else plain(t, dim) for i, t in enumerate(texts)}
+    assert embed(rows.where("i < 0"), "text").count() == 0
