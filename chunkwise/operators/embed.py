@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkwise.functions.arrays import named, run_ends, run_lengths
 from chunkwise.functions.text import sql_word_tokens, word_tokens
 
 DEFAULT_DIM = 64
@@ -38,24 +39,13 @@ def bucket_counts(buckets, dim: int = DEFAULT_DIM) -> Column:
 
     Every bucket is added once, so that the sorted array is ``dim`` runs in bucket
     order; a run's length less one is the count.  One sort and one pass over it,
-    whatever ``dim`` is.  One-element ``transform`` calls name the intermediates,
-    which would else be worked out again in every step.
+    whatever ``dim`` is.
     """
     buckets = F.col(buckets) if isinstance(buckets, str) else buckets
     marked = F.sort_array(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))))
 
-    def lengths(ends: Column) -> Column:
-        return F.transform(ends, lambda end, i: (end - F.when(i > 0, F.get(ends, i - 1)).otherwise(-1) - 1).cast("long"))
-
-    def run_ends(run: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(run) - 1), lambda i: ~F.get(run, i).eqNullSafe(F.get(run, i + 1)))
-
-    return _named(marked, lambda run: _named(run_ends(run), lengths))
-
-
-def _named(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    counts = lambda ends: F.transform(run_lengths(ends), lambda n: (n - 1).cast("long"))
+    return named(marked, lambda run: named(run_ends(run), counts))
 
 
 def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
@@ -64,9 +54,9 @@ def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
 
     def normalised(counts: Column) -> Column:
         squares = F.aggregate(counts, F.lit(0).cast("long"), lambda total, c: total + c * c)
-        return _named(F.sqrt(squares), lambda norm: F.transform(counts, lambda c: F.when(norm > 0, c / norm).otherwise(F.lit(0.0)).cast("float")))
+        return named(F.sqrt(squares), lambda norm: F.transform(counts, lambda c: F.when(norm > 0, c / norm).otherwise(F.lit(0.0)).cast("float")))
 
-    return F.when(text.isNotNull(), _named(bucket_counts(token_buckets(text, dim), dim), normalised))
+    return F.when(text.isNotNull(), named(bucket_counts(token_buckets(text, dim), dim), normalised))
 
 
 def embed(

@@ -9,162 +9,169 @@ A (span, chunk) pair is relevant when any signal fires, in priority order:
 ratio = sum over tokens of min(count in span, count in chunk) / token count of
 the span (multisets of lower-cased word tokens; 0 for a span without tokens).
 
-Scaling: the labelling never forms all span x chunk pairs of a document.
-Candidate pairs come from
-
-* signal 1: the bucketed interval join of ``categorize.overlapping_pairs``;
-* signal 3: prefix filtering -- a chunk reaching the threshold must contain
-  one of the span's first ``|A| - tau + 1`` token occurrences in any fixed
-  order, so only those tokens (longest first: longer tokens are rarer) probe
-  the (document, token) -> chunk index;
-* signal 2, span inside chunk: a token of the span that is bounded by
-  non-word characters inside the normalised span is a whole token of every
-  chunk containing it -- the longest such token probes the index; spans with
-  only edge tokens probe a character-gram index of the document vocabulary
-  with their first token;
-* signal 2, chunk inside span: the same probes from the chunk's side against the
-  tokens of the document's spans;
-* signal 2, spans without any word character (punctuation only): such a span
-  lies inside a non-word run of the chunk, so its first character probes an
-  index of each chunk's distinct non-word characters.
-
-Every candidate is then verified exactly; its ratio comes from a join of token
-counts.
+Scaling: the labelling never forms all span x chunk pairs of a document.  Spans
+and chunks both post keys to one index, a 64-bit hash of (document, kind, value),
+and a pair is a candidate where two keys meet.  The kinds (posted by span / chunk):
+
+* token -- signal 3 and signal 2, span inside chunk: a chunk reaching the threshold
+  holds one of the span's first ``|A| - tau + 1`` token occurrences in any fixed
+  order (longest first: longer tokens are rarer), and a token that stands between
+  non-word characters inside the span is a whole token of every chunk around it.
+  The span posts these, the chunk all its tokens;
+* gram -- spans with edge tokens only: the first characters of the first token, met
+  by the substrings of up to three characters of the chunk's tokens, which chunks
+  post only in documents that have such spans;
+* symbol -- spans without any word character: their first character, met by the
+  chunk's distinct non-word characters, posted only where such spans exist;
+* the mirrored three for signal 2, chunk inside span, and one key for empty chunks;
+* place -- signal 1: a span posts the one or two buckets it touches at the level
+  that fits its length (powers of two), a chunk its buckets of all levels, so a
+  span of any length posts two keys; offsets are compared where the keys meet.
+
+Every candidate is then verified exactly, document name included, so that equal
+hashes cost time only.  Token overlap is the intersection of the numbered
+occurrences of both token lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwise.functions.text import WORD_PATTERN, WS_CLASS, normalize_ws, word_tokens
-from chunkwise.operators.categorize import overlapping_pairs
+from chunkwise.functions.arrays import named, run_ends, run_lengths
+from chunkwise.functions.text import WORD_PATTERN, WS_CLASS, normalize_ws
 from chunkwise.session import cut_lineage
 
 DEFAULT_THRESHOLD = 0.5
 CONF_OFFSET = 1.0
 CONF_CONTAINS = 0.95
+FIRST_LEVEL, LAST_LEVEL = 12, 33  # buckets of 4,096 positions and up; any distance of 32-bit offsets fits a level
 
 
-def token_overlap(pairs: DataFrame, spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(ann_id, document_name, chunk_id, shared): sum over tokens of min(count in span, count in chunk); pairs without are absent."""
-    count = F.count("*")
-    in_span = spans.select("ann_id", F.explode("atoks").alias("tok")).groupBy("ann_id", "tok").agg(count.alias("a"))
-    in_chunk = chunks.select("document_name", "chunk_id", F.explode("ctoks").alias("tok")).groupBy(
-        "document_name", "chunk_id", "tok"
-    ).agg(count.alias("c"))
-    both = pairs.join(in_span, "ann_id").join(in_chunk, ["document_name", "chunk_id", "tok"])
-    return both.groupBy("ann_id", "document_name", "chunk_id").agg(F.sum(F.least("a", "c")).alias("shared"))
+def numbered(toks: Column) -> Column:
+    """The tokens with their occurrence numbers ("a" 1, "a" 2, "b" 1): a multiset as a set."""
 
+    def spread(run: Column, ends: Column) -> Column:
+        counted = F.arrays_zip(ends.alias("end"), run_lengths(ends).alias("n"))
+        return F.flatten(F.transform(counted, lambda r: F.transform(
+            F.sequence(F.lit(1), r["n"]), lambda n: F.concat_ws(" ", F.get(run, r["end"]), n.cast("string"))
+        )))
 
-def _shape(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, an, toks, sw, n_inner): normalised text, its tokens, and how many of them stand between non-word characters."""
-    norm = rows.select(*ids, normalize_ws("text").alias("an"))
-    toks = F.regexp_extract_all(F.col("an"), F.lit(WORD_PATTERN), 0)
+    occurrences = named(F.sort_array(toks), lambda run: named(run_ends(run), lambda ends: spread(run, ends)))
+    return F.when(F.size(toks) > 0, occurrences).otherwise(_strings())
+
+
+def shared_tokens(a: Column, b: Column) -> Column:
+    """Sum over tokens of min(count in a, count in b), of two ``numbered`` arrays."""
+    return F.size(F.array_intersect(a, b))
+
+
+def _strings(*values: Column) -> Column:
+    return F.array(*values).cast("array<string>")
+
+
+def _shape(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` replaced by the normalised text, its tokens, these numbered, and how many stand between non-word characters."""
+    out = rows.withColumn("an", normalize_ws("text")).drop("text")
+    out = out.withColumn("toks", F.coalesce(F.regexp_extract_all("an", F.lit(WORD_PATTERN), 0), _strings()))
     sw = F.col("an").rlike("^" + WORD_PATTERN).cast("int")
     ew = F.col("an").rlike(WORD_PATTERN + "$").cast("int")
-    return norm.select(*ids, "an", toks.alias("toks"), sw.alias("sw"), (F.size(toks) - sw - ew).alias("n_inner"))
+    return out.select("*", numbered(F.col("toks")).alias("occurrences"), sw.alias("sw"), (F.size("toks") - sw - ew).alias("n_inner"))
 
 
-def _longest_inner(shaped: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, tok): the longest interior token (the least of equally long ones); it is a whole token of any text around."""
-    inner = F.slice("toks", F.col("sw") + F.lit(1), F.col("n_inner"))
-    longest = F.array_min(F.transform(inner, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    return shaped.filter(F.col("n_inner") > 0).select(*ids, longest["t"].alias("tok"))
+_EDGE = "n_inner <= 0 AND size(toks) > 0"  # no token stands between non-word characters
+_BARE = "size(toks) = 0 AND an != ''"  # no word character at all
 
 
-def _edge_token(shaped: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, t1, g): first token of texts without interior tokens, and its first characters."""
-    edge = shaped.filter((F.col("n_inner") <= 0) & (F.size("toks") > 0)).select(*ids, F.col("toks")[0].alias("t1"))
-    return edge.withColumn("g", F.substring("t1", 1, F.least(F.length("t1"), F.lit(3))))
+def _when(condition: str, values: Column) -> Column:
+    return F.when(F.expr(condition), values).otherwise(_strings())
 
 
-def _grams(vocab: DataFrame) -> DataFrame:
-    """(document_name, tok, g): the substrings of one to three characters of every token."""
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda g: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("tok") - g + F.lit(1), F.lit(1))), lambda p: F.substring(F.col("tok"), p, g))))
-    return vocab.select("document_name", "tok", F.explode(pieces).alias("g")).distinct()
+def _longest_first(toks: Column) -> Column:
+    ordered = F.sort_array(F.transform(toks, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return F.transform(ordered, lambda s: s["t"])
 
 
-def _symbols(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, ch): the distinct characters of a text that are neither word characters nor white space."""
-    bare = F.regexp_replace(F.lower("text"), "[\\p{L}\\p{N}_]|" + WS_CLASS, "")
-    return rows.select(*ids, F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit("(?s)."), 0))).alias("ch"))
+def _longest_inner() -> Column:
+    inner = F.slice("toks", F.col("sw") + F.lit(1), F.greatest("n_inner", F.lit(0)))
+    return _when("n_inner > 0", F.slice(_longest_first(inner), 1, 1))
 
 
-def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offsets: bool) -> DataFrame:
-    """Candidate (ann_id, document_name, chunk_id) pairs; a superset of the relevant pairs.
+def _edge_gram() -> Column:
+    return _when(_EDGE, _strings(F.substring(F.get("toks", F.lit(0)), 1, 3)))
 
-    ``spans`` carries ``atoks`` and ``chunks`` carries ``ctoks`` (token arrays).
-    """
-    parts = []
-    key = ["ann_id", "document_name", "chunk_id"]
-    index = chunks.select("document_name", "chunk_id", F.explode(F.array_distinct("ctoks")).alias("tok"))
-
-    # signal 3: prefix probes.  Token occurrences ordered longest first (longer tokens
-    # are rarer); a chunk reaching the threshold holds one of the first |A| - tau + 1.
-    counts = spans.select("ann_id", "document_name", F.explode("atoks").alias("tok")).groupBy(
-        "ann_id", "document_name", "tok"
-    ).agg(F.count("*").alias("a_cnt"))
-    w_ann = Window.partitionBy("ann_id")
-    w_ord = w_ann.orderBy(F.length("tok").desc(), F.col("tok").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("total", F.sum("a_cnt").over(w_ann)).withColumn(
-        "before", F.coalesce(F.sum("a_cnt").over(w_ord), F.lit(0))
+
+def _first_symbol() -> Column:
+    return _when(_BARE, _strings(F.substring("an", 1, 1)))
+
+
+def _grams() -> Column:
+    """The substrings of one to three characters of all tokens."""
+    of_length = lambda t, g: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(t) - g + F.lit(1), F.lit(1))), lambda p: F.substring(t, p, g)
+    )
+    of_token = lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda g: of_length(t, g)))
+    return F.flatten(F.transform(F.array_distinct("toks"), of_token))
+
+
+def _symbols() -> Column:
+    """The characters that are neither word characters nor white space."""
+    bare = F.regexp_replace("an", "[\\p{L}\\p{N}_]|" + WS_CLASS, "")
+    return F.coalesce(F.regexp_extract_all(bare, F.lit("(?s)."), 0), _strings())
+
+
+def _keys(kind: str, values: Column) -> Column:
+    return F.transform(F.array_distinct(values), lambda v: F.xxhash64(F.col("document_name"), F.lit(kind), v))
+
+
+def _places(start: str, end: str, levels: Column) -> Column:
+    """The buckets that the positions touch, of 2^level positions each, as level:bucket."""
+    low, high = F.least(start, end).cast("long"), F.greatest(start, end).cast("long")
+    at = lambda level: F.transform(
+        F.sequence(F.call_function("shiftright", low, level), F.call_function("shiftright", high, level)),
+        lambda bucket: F.concat_ws(":", level.cast("string"), bucket.cast("string")),
     )
-    tau = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(threshold))) - F.lit(1))
-    probes3 = ranked.filter(F.col("before") < F.col("total") - tau + F.lit(1)).select("ann_id", "document_name", "tok")
-
-    # signal 2 (span inside chunk): the longest interior token of the normalised span
-    shaped = _shape(spans, ["ann_id", "document_name"])
-    inner = _longest_inner(shaped, ["ann_id", "document_name"])
-    # edge-only spans: first token inside some vocabulary token of the document
-    edge = _edge_token(shaped, ["ann_id", "document_name"])
-    vocab = index.select("document_name", "tok").join(
-        edge.select("document_name").distinct(), "document_name", "left_semi"
-    ).distinct()
-    hit_toks = edge.join(_grams(vocab), ["document_name", "g"]).filter(F.instr(F.col("tok"), F.col("t1")) > 0)
-
-    probes = probes3.unionByName(inner)
-    probes = probes.unionByName(hit_toks.select("ann_id", "document_name", "tok")).distinct()
-    # one probe of the (document, token) -> chunk index for signals 2 and 3
-    parts.append(probes.join(index, ["document_name", "tok"]).select(*key))
-
-    # signal 2, chunk inside span: the mirror image -- the chunk's longest interior token is a token of the
-    # span; a chunk with edge tokens only probes the span vocabulary with its first token, one without
-    # any word character the span's symbols
-    shaped_c = _shape(chunks, ["document_name", "chunk_id"])
-    empty_c = shaped_c.where("an = ''").select("document_name", "chunk_id")  # an empty chunk lies inside every span
-    parts.append(empty_c.join(shaped.where("an <> ''").select("ann_id", "document_name"), "document_name").select(*key))
-    shaped_c = shaped_c.where("an <> ''")
-    span_index = spans.select("ann_id", "document_name", F.explode(F.array_distinct("atoks")).alias("tok"))
-    spans_of = lambda probes: probes.join(span_index, ["document_name", "tok"]).select(*key)
-    parts.append(spans_of(_longest_inner(shaped_c, ["document_name", "chunk_id"])))
-    edge_c = _edge_token(shaped_c, ["document_name", "chunk_id"])
-    grams_c = _grams(span_index.select("document_name", "tok").join(edge_c.select("document_name").distinct(), "document_name", "left_semi").distinct())
-    hit_c = edge_c.join(grams_c, ["document_name", "g"]).where(F.instr(F.col("tok"), F.col("t1")) > 0)
-    parts.append(spans_of(hit_c.select("document_name", "chunk_id", "tok").distinct()))
-    bare_c = shaped_c.where(F.size("toks") == 0).select("document_name", "chunk_id", F.substring("an", 1, 1).alias("ch"))
-    parts.append(bare_c.join(_symbols(spans, ["ann_id", "document_name"]), ["document_name", "ch"]).select(*key))
-
-    # spans without any word character lie inside a non-word run of the chunk:
-    # probe an index of each chunk's distinct non-word characters with their first character
-    bare = shaped.filter((F.size("toks") == 0) & (F.col("an") != "")).select(
-        "ann_id", "document_name", F.substring("an", 1, 1).alias("ch")
+    return F.when(low.isNotNull() & high.isNotNull(), F.flatten(F.transform(levels, at))).otherwise(_strings())
+
+
+def _postings(rows: DataFrame, ids: list[str], keys: list[Column], start: str, end: str, places: Column | None) -> DataFrame:
+    """(key, ids, start, end): a row per key; only a key of a place carries the offsets."""
+    plain = rows.select(*ids, F.explode(F.flatten(F.array(*keys))).alias("key"), F.lit(None).cast("long").alias(start), F.lit(None).cast("long").alias(end))
+    if places is None:
+        return plain
+    spots = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return plain.unionByName(
+        spots.select(*ids, F.explode(_keys("place", places)).alias("key"), F.col(start).cast("long"), F.col(end).cast("long"))
     )
-    near = chunks.join(bare.select("document_name").distinct(), "document_name", "left_semi")
-    parts.append(bare.join(_symbols(near, ["document_name", "chunk_id"]), ["document_name", "ch"]).select(*key))
-
-    if use_offsets:
-        parts.append(
-            overlapping_pairs(
-                chunks.filter(F.col("chunk_start").isNotNull() & F.col("chunk_end").isNotNull()),
-                spans, ann_cols=("ann_id",),
-            ).select(*key)
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+
+
+def _candidates(spans: DataFrame, chunks: DataFrame, threshold: float, use_offsets: bool) -> DataFrame:
+    """Candidate (ann_id, document_name, chunk_id) pairs, each once; a superset of the relevant pairs."""
+    total = F.size("toks")
+    tau = F.greatest(F.lit(1), F.ceil(total * F.lit(float(threshold))).cast("int") - F.lit(1))
+    prefix = F.slice(_longest_first(F.col("toks")), F.lit(1), F.greatest(total - tau + F.lit(1), F.lit(0)))
+    span_level = F.greatest(F.lit(FIRST_LEVEL), F.length(F.bin(F.abs(F.col("end_char").cast("long") - F.col("start_char")))))
+    one = _postings(spans, ["ann_id"], [
+        _keys("token", F.concat(prefix, _longest_inner())),
+        _keys("gram", _edge_gram()),
+        _keys("symbol", _first_symbol()),
+        _keys("in-token", F.col("toks")),
+        _keys("in-gram", _grams()),
+        _keys("in-symbol", _symbols()),
+        _keys("empty", _when("an != ''", _strings(F.lit("")))),
+    ], "start_char", "end_char", _places("start_char", "end_char", F.array(span_level)) if use_offsets else None)
+    other = _postings(chunks, ["document_name", "chunk_id"], [
+        _keys("token", F.col("toks")),
+        _keys("gram", _when("has_edge", _grams())),
+        _keys("symbol", _when("has_bare", _symbols())),
+        _keys("in-token", _longest_inner()),
+        _keys("in-gram", _edge_gram()),
+        _keys("in-symbol", _first_symbol()),
+        _keys("empty", _when("an = ''", _strings(F.lit("")))),
+    ], "chunk_start", "chunk_end",
+        _places("chunk_start", "chunk_end", F.sequence(F.lit(FIRST_LEVEL), F.lit(LAST_LEVEL))) if use_offsets else None)
+    touch = "start_char IS NULL OR chunk_start IS NULL OR (start_char < chunk_end AND end_char > chunk_start)"
+    return one.join(other, "key").where(touch).select("ann_id", "document_name", "chunk_id").distinct()
 
 
 def label_relevance(
@@ -184,22 +191,22 @@ def label_relevance(
     has_offsets = "chunk_start" in chunks.columns and "chunk_end" in chunks.columns
     use_offsets = use_offsets and has_offsets
     cols = ["document_name", "chunk_id", "text"] + (["chunk_start", "chunk_end"] if has_offsets else [])
-    ch = chunks.select(*cols).join(spans.select("document_name").distinct(), "document_name", "left_semi")
+    # both are read by the index and by the verification: computed once, lineage cut (shared checkpoint folder)
+    sp = cut_lineage(_shape(spans.select("ann_id", "document_name", "start_char", "end_char", "text")))
+    wanted = sp.groupBy("document_name").agg(
+        F.coalesce(F.max(F.expr(_EDGE)), F.lit(False)).alias("has_edge"), F.coalesce(F.max(F.expr(_BARE)), F.lit(False)).alias("has_bare")
+    )
+    ch = _shape(chunks.select(*cols).join(wanted, "document_name"))
     if not has_offsets:
         ch = ch.withColumn("chunk_start", F.lit(None).cast("int")).withColumn("chunk_end", F.lit(None).cast("int"))
-    # reused by every candidate branch: computed once, lineage cut (shared checkpoint folder)
-    sp = cut_lineage(spans.select("ann_id", "document_name", "start_char", "end_char", "text",
-                                  word_tokens("text").alias("atoks")))
-    ch = cut_lineage(ch.withColumn("ctoks", word_tokens("text")))
-    pairs = _candidates(sp, ch, threshold, use_offsets)
-    pairs = cut_lineage(pairs)
-    overlap = token_overlap(pairs, sp, ch)
+    ch = cut_lineage(ch)
     full = (
-        pairs.join(overlap, ["ann_id", "document_name", "chunk_id"], "left").join(sp.select("ann_id", "start_char", "end_char", F.size("atoks").alias("total"), normalize_ws("text").alias("an")), "ann_id")
-        .join(ch.select("document_name", "chunk_id", "chunk_start", "chunk_end",
-                        normalize_ws("text").alias("cn")), ["document_name", "chunk_id"])
+        _candidates(sp, ch, threshold, use_offsets)
+        .join(sp.select("ann_id", "document_name", "start_char", "end_char", "an", F.size("toks").alias("total"), F.col("occurrences").alias("in_span")), ["ann_id", "document_name"])
+        .join(ch.select("document_name", "chunk_id", "chunk_start", "chunk_end", F.col("an").alias("cn"), F.col("occurrences").alias("in_chunk")), ["document_name", "chunk_id"])
+        .withColumn("shared", shared_tokens(F.col("in_span"), F.col("in_chunk")))
     )
-    ratio = F.when(F.col("total") > 0, F.coalesce(F.col("shared"), F.lit(0)) / F.col("total")).otherwise(F.lit(0.0))
+    ratio = F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(F.lit(0.0))
     s1 = (
         F.lit(use_offsets) & F.col("chunk_start").isNotNull() & F.col("chunk_end").isNotNull()
         & (F.col("start_char") < F.col("chunk_end")) & (F.col("end_char") > F.col("chunk_start"))

@@ -83,3 +83,43 @@ def test_metrics(spark, retrieved, relevant, key):
         ret_ids, rel_ids = list(retrieved), set(relevant)
     exp = metrics_model(ret_ids, rel_ids, k)
     assert got == pytest.approx(exp)
+
+
+def test_labels_match_model_on_nulls_odd_offsets_and_long_spans(spark):
+    rnd = random.Random(5)
+    vocab = ["a", "ab", "abc", "bcd", "cdab", "x_1", "né", "--", "(", "§", "c.d"]
+    words = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    offset = lambda: rnd.choice([0, 50, 4095, 4096, 9000, 2**31 - 1, None, rnd.randint(0, 20000)])
+    texts = [None, "", " \t", "§", "(", "-- --", "ab", "cda", "a b", "AB\n ab", words(400)]
+    chunks = [("d" if i % 3 else "e", i, rnd.choice(texts) if i % 2 else words(rnd.randint(1, 9)), offset(), offset()) for i in range(60)]
+    spans = [(f"a{i}", "d" if i % 2 else "e", rnd.randint(0, 20000), rnd.choice([0, 30, 8000, 2**31 - 1]),
+              rnd.choice(texts) if i % 3 else words(rnd.randint(1, 6))) for i in range(80)]
+    spans.append(("none", None, 0, 10, "ab"))
+    cdf = spark.createDataFrame(chunks, "document_name string, chunk_id int, text string, chunk_start int, chunk_end int")
+    sdf = spark.createDataFrame(spans, "ann_id string, document_name string, start_char int, end_char int, text string")
+    got = {(r.ann_id, r.chunk_id): r.confidence for r in label_relevance(sdf, cdf).collect()}
+    exp = {}
+    for aid, doc, s, e, t in spans:
+        for d, cid, ct, cs, ce in chunks:
+            if d == doc:
+                if t is None or ct is None:  # no text: only the offsets can speak
+                    ok, conf = (cs is not None and ce is not None and s < ce and e > cs), 1.0
+                else:
+                    ok, conf = relevance_model(t, s, e, ct, cs, ce)
+                if ok:
+                    exp[(aid, cid)] = conf
+    assert got == exp and len(set(exp.values())) > 2
+    assert label_relevance(sdf.where("ann_id = ''"), cdf).count() == 0 == label_relevance(sdf, cdf.where("chunk_id < 0")).count()
+
+
+def test_labelling_shuffles_seven_times_after_its_tables_are_made(spark):
+    chunks, spans = _data()
+    cdf = spark.createDataFrame(chunks, "document_name string, chunk_id int, text string, chunk_start int, chunk_end int")
+    sdf = spark.createDataFrame(spans, "ann_id string, document_name string, start_char int, end_char int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = label_relevance(sdf, cdf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 7 and "Python" not in plan
