@@ -68,7 +68,8 @@ def embed(
 ) -> DataFrame:
     """``df`` with ``out_col`` = embedding of ``text_col``."""
     if embedder is None:
-        return df.withColumn(out_col, hashed_embedding(F.col(text_col), dim))
+        # generated, not projected: filters and later columns then refer to the vector and do not repeat its expression
+        return df.withColumn(out_col, F.explode(F.array(hashed_embedding(F.col(text_col), dim))))
     udf = F.pandas_udf(embedder, T.ArrayType(T.FloatType()))
     # the user's client is external and not idempotent in cost: never re-run it
     return df.withColumn(out_col, udf.asNondeterministic()(F.col(text_col)))
