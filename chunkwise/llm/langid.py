@@ -18,8 +18,8 @@ A text gets the language of the lowest cross-entropy per character.  It is
 rejected if that exceeds the language's threshold, calibrated on training texts
 so that a ``REJECTED`` share of them exceeds it, plus a margin for short texts
 (whose mean varies more).  A text that is null or has no letter is ``und`` with
-score 0 and rejected.  The threshold is fitted on a bounded hash sample of the
-training rows (``CALIBRATION_ROWS``); the models count all of them.
+score 0 and rejected.  Models and thresholds come from all training rows; the
+thresholds are exact quantiles (``ranks``).
 
 Ties go to the alphabetically first language.  Rows whose language is null
 train nothing; without any training row every text is ``und``.  Equal texts get
@@ -38,6 +38,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkwise.llm.ranks import order_keys, quantiles
 from chunkwise.llm.storage import new_folder, stored
 from chunkwise.llm.token_files import _place, _put
 from chunkwise.llm.worker_cache import per_worker
@@ -48,7 +49,6 @@ SHARD_KEYS = 1_000_000  # keys of one model file
 CACHE_BYTES = 1 << 23  # of a worker's answers for n-grams met lately
 SLICE = 250_000  # characters that are worked on at a time
 FLOOR = 1.0 / 4096  # what a letter never seen gets from below the lowest order
-CALIBRATION_ROWS = 20_000
 REJECTED = 0.0005
 SHARP = 6.0  # scale of the score's softmax over cross-entropies
 BLANK = 1
@@ -343,37 +343,37 @@ class LanguageModels:
             "accepted": ~empty & (entropy[line, best] <= limit),
         })
 
-    def set_limits(self, seen: pd.DataFrame, rejected: float = REJECTED) -> None:
-        """Thresholds from training texts (best language, bits, n): the (1 - rejected) quantile of their bits."""
-        for j, part in seen[seen["n"] > 0].groupby("best"):
-            bits = part["bits"].to_numpy()
-            middle = np.median(bits)
-            self.spread[j] = max(1.0, np.sqrt(np.mean((bits - middle) ** 2 * part["n"].to_numpy())))
-            self.limits[j] = max(np.quantile(bits, 1 - rejected), middle + 1.0)
-
-
-def fit_languages(
-    train: DataFrame, lang_col: str = "lang", text_col: str = "text", calibration_rows: int = CALIBRATION_ROWS
-) -> LanguageModels:
-    """Models from every row of ``train`` with a language and a text."""
+    def set_limits(self, seen: DataFrame, rejected: float = REJECTED) -> None:
+        """Thresholds from all training texts (best language, bits, key of the bits, n): the (1 - rejected) quantile of their bits."""
+        found = quantiles(seen.select(F.col("best").alias("group"), "key"), [0.5, 1 - rejected])
+        if not found:
+            return
+        middle = F.element_at(F.create_map(*[F.lit(x) for j, (m, _) in found.items() for x in (j, m)]), F.col("best"))
+        spread = F.sqrt(F.avg((F.col("bits") - middle) ** 2 * F.col("n")))
+        for r in seen.groupBy("best").agg(F.round(spread, 9).alias("spread")).collect():  # rounded: no order of summing shows
+            self.spread[r.best] = max(1.0, r.spread)
+        for j, (m, high) in found.items():
+            self.limits[j] = max(high, m + 1.0)
+
+
+def fit_languages(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModels:
+    """Models and thresholds from every row of ``train`` with a language and a text."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = stored(count_grams(rows, lang_col, text_col), "gram-counts")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # their names
     folder = new_folder(train.sparkSession, "language-models")
     models = LanguageModels(langs, folder, write_model(model_rows(counts), langs, folder) if langs else [])
-    total = train.count()
-    share = min(1.0, calibration_rows / max(total, 1))
-    picked = rows.where(F.pmod(F.xxhash64(F.substring(text_col, 1, 64), F.length(text_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             entropy, count = models.cross_entropy(batch["text"])
             if len(entropy):
-                yield pd.DataFrame({"best": entropy.argmin(axis=1), "bits": entropy.min(axis=1), "n": count})
+                bits = entropy.min(axis=1)
+                yield pd.DataFrame({"best": entropy.argmin(axis=1), "bits": bits, "key": order_keys(bits), "n": count})[count > 0]
 
     if models.langs:
-        seen = picked.select(F.col(text_col).alias("text")).mapInPandas(measure, "best int, bits double, n long")
-        models.set_limits(seen.limit(4 * calibration_rows).toPandas())
+        seen = rows.select(F.col(text_col).alias("text")).mapInPandas(measure, "best int, bits double, key long, n long")
+        models.set_limits(stored(seen, "language-bits"))
     return models
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from llm_helpers import SF_SMALL
 
-from chunkwise.llm import html_text, langid, queries
+from chunkwise.llm import html_text, langid, queries, ranks
 
 
 def test_language_query_held_out_accuracy(spark):
@@ -75,6 +75,32 @@ def model_docs(spark, parts):
     return spark.createDataFrame(rows, "lang string, text string").repartition(parts)
 
 
+def test_thresholds_come_from_all_training_rows(spark):
+    """20,001 texts and more are all measured: limits and spreads as numpy finds them over every row."""
+    rows = [("x", f"abra cadabra {'zq' * (i % 23 == 0)} {i * 7919 % 9973:b}".replace("0", "o").replace("1", "i")) for i in range(21_000)]
+    rows += [("y", f"lorem ipsum dolor {chr(97 + i % 26) * (1 + i % 5)}") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    models = langid.fit_languages(docs)
+    entropy, count = models.cross_entropy([t for _, t in rows])
+    best, bits = entropy.argmin(axis=1), entropy.min(axis=1)
+    for j in range(2):
+        mine, n = bits[best == j], count[best == j]
+        assert len(mine) > 1000
+        middle = np.median(mine)
+        assert models.limits[j] == pytest.approx(max(np.quantile(mine, 1 - langid.REJECTED), middle + 1), abs=1e-12)
+        assert models.spread[j] == pytest.approx(max(1.0, np.sqrt(np.mean((mine - middle) ** 2 * n))), abs=1e-8)
+
+
+def test_exact_ranks(spark):
+    rng = np.random.default_rng(4)
+    groups = {0: np.concatenate([rng.normal(size=500), [0.0, -0.0, 1e300, -1e-300]]), 1: np.repeat([2.5, -2.5], 40), 7: np.array([3.0])}
+    rows = spark.createDataFrame([(g, int(k)) for g, v in groups.items() for k in ranks.order_keys(v)], "group int, key long").repartition(5)
+    got = ranks.quantiles(rows, [0.0, 0.05, 0.5, 0.9995, 1.0])
+    for g, v in groups.items():
+        assert np.allclose(got[g], np.quantile(v, [0.0, 0.05, 0.5, 0.9995, 1.0]), rtol=1e-12, atol=0)
+    assert ranks.quantiles(rows.limit(0), [0.5]) == {}
+
+
 def test_kneser_ney_equals_plain_version(spark, monkeypatch):
     monkeypatch.setattr(langid, "SHARD_KEYS", 7)  # many files a table
     models = langid.fit_languages(model_docs(spark, 3))
