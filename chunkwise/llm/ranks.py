@@ -21,9 +21,9 @@ def order_keys(values: np.ndarray) -> np.ndarray:
     return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
 
 
-def _value(key: int) -> float:
-    bits = np.array([key], np.int64)
-    return float((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)[0])
+def key_values(keys: np.ndarray) -> np.ndarray:
+    """The doubles of ``order_keys``."""
+    return (keys ^ ((keys >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
 
 
 def order_statistics(rows: DataFrame, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
@@ -49,10 +49,7 @@ def order_statistics(rows: DataFrame, wanted: list[tuple[int, int]]) -> dict[tup
                     break
                 rest -= n
             found[group, rank] = ((bits << (known - left)) | number, rest)
-            if left:
-                continue
-            found[group, rank] = (_value(found[group, rank][0] - (1 << 63)), rest)
-    return {w: value for w, (value, _) in found.items()}
+    return {w: float(key_values(np.array([bits - (1 << 63)], np.int64))[0]) for w, (bits, _) in found.items()}
 
 
 def quantiles(rows: DataFrame, shares: list[float]) -> dict[int, list[float]]:

@@ -118,3 +118,29 @@ def test_forest_leaves_hold_the_rows_left_over():
         return check(left, part[~over], depth + 1) + check(right, part[over], depth + 1)
 
     assert [check(root, rows, 0) for root in forest.roots] == [40] * 5
+
+
+def test_quality_model_comes_from_all_labelled_rows(spark):
+    """22,000 labelled rows: scale and threshold as numpy finds them over every row, every row in the forest."""
+    rng = random.Random(5)
+
+    def text(i, good):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(12)]
+        return " ".join(words if good else [*words[:4], *[rng.choice(["#$%&", "QX!!", "**|"]) for _ in range(rng.randrange(3, 9))], *words[4:]])
+
+    rows = [(i, text(i, i % 10 < 9), int(i % 10 < 9)) for i in range(22_000)] + [(None, text(0, True), 1), (30_000, "too few words", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    model = quality.fit_quality(docs, docs)
+    counts, features = (np.array(x) for x in zip(*(quality.text_counts(t) for _, t, _ in rows[:22_000])))
+    passed = ~quality.base_failed(counts)
+    features, good = features[passed], np.array([g == 1 for _, _, g in rows[:22_000]])[passed]
+    kept = features[good]
+    assert np.allclose(model.middle, np.median(kept, axis=0), atol=1e-12)
+    assert np.allclose(model.spread, np.maximum(np.quantile(kept, 0.95, axis=0) - np.quantile(kept, 0.05, axis=0), 1e-3), atol=1e-12)
+    score = np.concatenate([model.score(part) for part in np.array_split(features, 10)])
+    cut = np.sort(score[good])[quality._kept_rank(good.sum(), quality.GOOD_LOST)]
+    above = score[~good & (score > cut)]
+    assert len(above) and model.threshold == (cut + above.min()) / 2
+    assert len(model.forest.roots) == quality.TREES and model.forest.expected == quality._path_credit(passed.sum() / quality.TREES)
+    again = quality.fit_quality(docs.repartition(3), docs)
+    assert again.threshold == model.threshold and (again.forest.cut == model.forest.cut).all()
