@@ -37,6 +37,7 @@ _TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+("?)|[{}\[\]]', re.S)
 _REST = re.compile(rb'(?:[^"\\]++|\\.)*+("?)', re.S)
 _ESCAPED = re.compile(rb"\\.", re.S)
 _COLON = re.compile(rb"\s*+:")
+_SPACE = re.compile(rb"\s*+")
 
 
 def _open(path: str):
@@ -99,7 +100,7 @@ def elements(data: bytes, in_string: bool, depth: int, more: Callable[[], bytes]
                 data += block
                 m = _TOKEN.match(data, m.start())
             if depth == 1:
-                while not data[m.end() :].strip() and (block := more()):
+                while _SPACE.match(data, m.end()).end() == len(data) and (block := more()):
                     data += block
                 if _COLON.match(data, m.end()):
                     yield json.loads(m[0]), None

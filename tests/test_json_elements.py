@@ -106,3 +106,18 @@ def test_array_writer_and_reader(spark, tmp_path):
         assert json.loads(file.read_text())['the "data"'][0] is None
     json_elements.write_json_arrays(rows.limit(0), "data", str(tmp_path / "none"))
     assert json_elements.json_elements(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_keys_do_not_copy_the_rest_of_a_range():
+    class Counted(bytes):
+        copied = 0
+
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            Counted.copied += len(got) if isinstance(at, slice) else 0
+            return got
+
+    data = Counted(json.dumps({f"file {i}": [{"a": i}] for i in range(500)}).encode())
+    found = list(json_elements.elements(data, False, 0, lambda: b""))
+    assert len(found) == 1000 and found[-2][0] == "file 499" and json.loads(found[-1][1]) == {"a": 499}
+    assert Counted.copied <= len(data)
