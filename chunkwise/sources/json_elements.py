@@ -32,6 +32,7 @@ from chunkwise.session import cut_lineage
 
 RANGE_BYTES = 32 << 20
 READ_ON = 1 << 20
+BATCH_ROWS, BATCH_CHARS = 2000, 2 << 20  # of the elements that a task passes on at a time
 _STRING = re.compile(rb'"(?:[^"\\]++|\\.)*+("?)', re.S)
 _TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+("?)|[{}\[\]]', re.S)
 _REST = re.compile(rb'(?:[^"\\]++|\\.)*+("?)', re.S)
@@ -147,16 +148,17 @@ def _elements_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     at += len(block)
                     return block
 
-                key, place, rows = None, 0, []
+                key, place, rows, held = None, 0, [], 0
                 for new, element in elements(data, bool(r.in_string), r.depth, more):
                     if element is None:
                         key, place = new, 0
                     else:
                         rows.append((r.path, r.start, key, place, element))
                         place += 1
-                    if len(rows) == 2000:
+                        held += len(element)
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
                         yield pd.DataFrame(rows, columns=["path", "start", "key", "place", "element"])
-                        rows = []
+                        rows, held = [], 0
                 rows.append((r.path, r.start, key, place, None))  # the range's last key, elements behind it
                 yield pd.DataFrame(rows, columns=["path", "start", "key", "place", "element"])
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,18 @@ def test_array_writer_and_reader(spark, tmp_path):
     assert json_elements.json_elements(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_elements_are_passed_on_in_bounded_batches(tmp_path):
+    """Long elements leave a task a few at a time, not 2,000."""
+    path = tmp_path / "long.json"
+    path.write_text(json.dumps({"data": [{"t": "x" * 100_000, "i": i} for i in range(200)]}))
+    size = path.stat().st_size
+    ranges = pd.DataFrame([(str(path), size, 0, size, 0, 0)], columns=["path", "size", "start", "stop", "in_string", "depth"])
+    batches = list(json_elements._elements_of(iter([ranges])))
+    found = [e for b in batches for e in b["element"] if e is not None]
+    assert [json.loads(e)["i"] for e in found] == list(range(200))
+    assert max(b["element"].str.len().sum() for b in batches) <= json_elements.BATCH_CHARS + 110_000
+
+
 def test_keys_do_not_copy_the_rest_of_a_range():
     class Counted(bytes):
         copied = 0
