@@ -365,6 +365,12 @@ def q_annotation_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ streaming --
 
 
+def write_incoming(docs: DataFrame, folder: str) -> str:
+    """Documents as the files that a stream finds; their number follows the size (the shuffle's partitions)."""
+    docs.repartition("document_name").write.mode("overwrite").parquet(folder)
+    return folder
+
+
 @register(
     "stream_ingest",
     sql_with(
@@ -380,8 +386,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = scratch(spark, sf_dir, f"stream/{run}/incoming")
     store = scratch(spark, sf_dir, f"stream/{run}/store")
     ckpt = scratch(spark, sf_dir, f"stream/{run}/checkpoint")
-    docs = corpus(spark, sf_dir)
-    docs.repartition(4, "document_name").write.mode("overwrite").parquet(src)
+    write_incoming(corpus(spark, sf_dir), src)
     q = start_ingest_stream(spark, src, "document_name string, text string", store, ckpt, all_annotations(spark, sf_dir))
     q.awaitTermination()
     out = spark.read.parquet(store)

@@ -359,3 +359,21 @@ def test_snapshots_read_back_with_mode_and_stamp(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(mode" in back.where("mode = 'm2'")._jdf.queryExecution().executedPlan().toString()
     (tmp_path / "file").write_text("x")
     assert files.save_snapshot(df, str(tmp_path / "file"), "m", "t") is False
+
+
+def test_stream_source_has_as_many_files_as_the_session_asks_for(spark):
+    """The documents of the streaming ingest are not dealt to a fixed number of files."""
+    from pyspark.sql import functions as F
+
+    from chunkwise.plans import q_misc
+
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = q_misc.write_incoming(spark.range(300).select(F.concat(F.lit("d"), "id").alias("document_name"), F.lit("t").alias("text")), q_misc.scratch(spark, "none", "incoming-test"))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    rows = spark.read.parquet(folder)
+    assert rows.count() == 300 and rows.select(F.input_file_name()).distinct().count() == 11
