@@ -251,7 +251,8 @@ def fit_quality(
         for batch in batches:
             counts, features = _statistics(batch["text"])
             passed = ~base_failed(counts)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[passed], "keys": list(order_keys(features[passed]))})
+            if passed.any():
+                yield pd.DataFrame({"id": batch["id"].to_numpy()[passed], "keys": list(order_keys(features[passed]))})
 
     rows = docs.where(ids.isNotNull()).select(ids.alias("id"), F.col(text_col).alias("text"))
     measured = rows.mapInPandas(measure, f"id {kind}, keys array<long>")
