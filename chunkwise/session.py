@@ -62,15 +62,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Explicit number of partitions for CPU-heavy per-row work on the input texts; unset: the scan's own.
+# Explicit number of partitions for CPU-heavy per-row work on the input texts; unset: dealt where the files are too few.
 INPUT_PARTITIONS = "chunkwise.input.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to the number of partitions that the session asks for, or as the scan split it.
 
-    Large inputs are split by ``spark.sql.files.maxPartitionBytes``; a caller
-    whose files have one row group each may ask for more partitions here.
+    A file may be a single row group, which one task reads whatever its size;
+    a table of fewer files than the cluster has cores is therefore dealt anew.
     """
     n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
-    return df.repartition(int(n)) if n else df
+    if n:
+        return df.repartition(int(n))
+    few = len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*df.columns) if few else df

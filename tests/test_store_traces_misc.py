@@ -377,3 +377,17 @@ def test_stream_source_has_as_many_files_as_the_session_asks_for(spark):
             spark.conf.set(c, v)
     rows = spark.read.parquet(folder)
     assert rows.count() == 300 and rows.select(F.input_file_name()).distinct().count() == 11
+
+
+def test_a_table_of_one_file_is_dealt_to_all_cores(spark, tmp_path):
+    from chunkwise.session import spread
+
+    path = str(tmp_path / "one")
+    spark.range(5000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 50) AS text").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    dealt = spread(df)
+    assert "hashpartitioning(doc_id" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert dealt.exceptAll(df).isEmpty() and dealt.count() == 5000
+    many = str(tmp_path / "many")
+    df.repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(many)
+    assert "Exchange" not in spread(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
