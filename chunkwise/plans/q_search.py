@@ -22,6 +22,7 @@ from chunkwise.operators.search import contract_results, knn_join, product_resul
 from chunkwise.operators.store import sql_contract_key
 from chunkwise.plans.catalog import register, scratch, shared
 from chunkwise.plans.q_ingest import categorized_chunks, sql_categorized_chunks
+from chunkwise.session import spread
 from chunkwise.sources.tables import (
     SQL_PRODUCTS,
     SQL_VECTOR_QUERIES,
@@ -44,7 +45,12 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed(products(spark, sf_dir).withColumn("embedding_text", product_embedding_text()), "embedding_text")
+    """The product store with embeddings (built once per session)."""
+
+    def build() -> DataFrame:
+        return embed(spread(products(spark, sf_dir)).withColumn("embedding_text", product_embedding_text()), "embedding_text")
+
+    return shared(spark, sf_dir, "products_embedded", build)
 
 
 def sql_embedded_chunks() -> dict[str, str]:

@@ -257,3 +257,12 @@ def test_default_embedding_is_native_and_equals_a_plain_count(spark):
         got = {r.i: r.embedding for r in out.collect()}
         assert got == {i: None if t is None else plain(t, dim) for i, t in enumerate(texts)}
     assert embed(rows.where("i < 0"), "text").count() == 0
+
+
+def test_products_are_embedded_once_and_stored(spark):
+    from chunkwise.plans.q_search import embedded_products
+
+    for _ in range(2):  # the search reads its corpus several times
+        found = embedded_products(spark, "/root/testdata/sf0.001")
+        assert "md5" not in found._jdf.queryExecution().executedPlan().toString()
+        assert all("products_embedded" in f for f in found.inputFiles())
