@@ -27,6 +27,8 @@ PRODUCT_CSV_SCHEMA = T.StructType([
     T.StructField("PrimaryColor", T.StringType()),
 ])
 
+SPLITS_A_TASK, BYTES_A_TASK = 64, 64 << 20  # most that a task reads of a text corpus
+
 ANNOTATION_STRUCT = "array<struct<category:string,start_char:int,end_char:int,text:string>>"
 
 
@@ -85,6 +87,9 @@ def read_text_corpus(spark: SparkSession, directory: str, glob: str = "*.txt") -
     if not fs.exists(jvm_path):
         raise FileNotFoundError(f"corpus directory not found: {directory}")
     raw = spark.read.option("pathGlobFilter", glob).text(directory, wholetext=True)
+    # Spark adds spark.sql.files.openCostInBytes to every file, so that a split holds a handful of small ones
+    size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    raw = raw.coalesce(max(spark.sparkContext.defaultParallelism, -(-raw.rdd.getNumPartitions() // SPLITS_A_TASK), -(-size // BYTES_A_TASK)))
     return raw.select(
         F.col("_metadata.file_name").alias("document_name"),
         F.regexp_replace(F.col("value"), "\r\n?", "\n").alias("text"),
