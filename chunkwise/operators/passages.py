@@ -13,12 +13,17 @@ numbers of the classes comes to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PIECE_CHARS = 1 << 20  # characters hashed at a time, whatever the size of a batch
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,27 +55,46 @@ def text_keys(text: str, classes: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about PIECE_CHARS characters of text, a row at least."""
+    held = np.cumsum(pc.utf8_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + PIECE_CHARS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _keys_of(rows: DataFrame, classes: list[int], heads: bool) -> DataFrame:
     """``rows`` (with text) and a row per key: class and key.  ``heads``: the one key of each text's own class."""
     fields = [f for f in rows.schema.fields if f.name != "text"]
-    names = [f.name for f in fields]
-
-    def make(batches):
-        for pdf in batches:
-            line, cls, key = [], [], []
-            for i, text in enumerate(pdf["text"]):
-                if heads:
-                    own = len(text).bit_length() - 1
-                    found = text_keys(text[: 1 << own], [own])
-                else:
-                    found = text_keys(text, classes)
-                for c, keys in found.items():
-                    line.append(np.full(len(keys), i)), cls.append(np.full(len(keys), c)), key.append(keys)
-            if line:
-                out = pdf[names].iloc[np.concatenate(line)].reset_index(drop=True)
-                yield out.assign(cls=np.concatenate(cls).astype(np.int32), key=np.concatenate(key))
-
-    return rows.mapInPandas(make, T.StructType([*fields, T.StructField("cls", T.IntegerType()), T.StructField("key", T.LongType())]))
+    kept, at = [i for i, c in enumerate(rows.columns) if c != "text"], rows.columns.index("text")
+    names = [*[f.name for f in fields], "cls", "key"]
+
+    def keyed(piece: pa.RecordBatch) -> pa.RecordBatch | None:
+        line, cls, key = [], [], []
+        for i, text in enumerate(piece.column(at).to_pylist()):
+            if heads:
+                own = len(text).bit_length() - 1
+                found = text_keys(text[: 1 << own], [own])
+            else:
+                found = text_keys(text, classes)
+            for c, keys in found.items():
+                line.append(np.full(len(keys), i)), cls.append(np.full(len(keys), c, np.int32)), key.append(keys)
+        if not line:
+            return None
+        lines = pa.array(np.concatenate(line))
+        columns = [piece.column(c).take(lines) for c in kept]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(cls)), pa.array(np.concatenate(key))], names)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch, at):
+                out = keyed(piece)
+                if out is not None:
+                    yield out
+
+    return rows.mapInArrow(make, T.StructType([*fields, T.StructField("cls", T.IntegerType()), T.StructField("key", T.LongType())]))
 
 
 def locate_passages(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id", passage_key: str = "item_id") -> DataFrame:

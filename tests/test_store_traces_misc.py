@@ -391,3 +391,83 @@ def test_a_table_of_one_file_is_dealt_to_all_cores(spark, tmp_path):
     many = str(tmp_path / "many")
     df.repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(many)
     assert "Exchange" not in spread(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passage_keys_are_few():
+    from chunkwise.operators.passages import text_keys
+
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("abcdefghij ") for _ in range(50_000))
+    for c, keys in text_keys(text, [4, 6, 8]).items():
+        assert len(keys) < 5 * len(text) / 2**c
+
+
+def test_sketches_of_appends_merge(spark, tmp_path):
+    from chunkwise.operators.stats import append_sketches, distinct_across_ingests
+
+    path = str(tmp_path / "sketches")
+    for i in range(5):  # each append shares half of its keys with the next
+        rows = spark.range(i * 1000, i * 1000 + 2000).selectExpr("cast(id AS string) AS name", "array(concat('c', id % 40), NULL) AS cats")
+        append_sketches(rows, path, str(i), names=F.col("name"), cats=F.col("cats"))
+    append_sketches(rows, path, "4", names=F.col("name"), cats=F.col("cats"))  # a replay changes nothing
+    append_sketches(rows.limit(0), path, "5", names=F.col("name"), cats=F.col("cats"))
+    r = distinct_across_ingests(spark.read.parquet(path), "names", "cats").first()
+    assert (r.ingests, r.n_rows, r.cats) == (6, 10_000, 40) and abs(r.names - 6000) < 0.03 * 6000
+
+
+def test_snapshots_read_back_with_mode_and_stamp(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    df = spark.createDataFrame([("a", 0.5), (None, 1.0)], "category string, recall double")
+    assert files.save_snapshot(df, root, "m1", "2024-01-01_00-00") and files.save_snapshot(df.limit(1), root, "m2", "2024-01-02_10-30")
+    back = files.read_snapshots(spark, root, "category string, recall double")
+    assert sorted((r.mode, r.ts, r.recall) for r in back.collect()) == [
+        ("m1", "2024-01-01_00-00", 0.5), ("m1", "2024-01-01_00-00", 1.0), ("m2", "2024-01-02_10-30", 0.5)]
+    assert "PartitionFilters: [isnotnull(mode" in back.where("mode = 'm2'")._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "file").write_text("x")
+    assert files.save_snapshot(df, str(tmp_path / "file"), "m", "t") is False
+
+
+def test_stream_source_has_as_many_files_as_the_session_asks_for(spark):
+    """The documents of the streaming ingest are not dealt to a fixed number of files."""
+    from pyspark.sql import functions as F
+
+    from chunkwise.plans import q_misc
+
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = q_misc.write_incoming(spark.range(300).select(F.concat(F.lit("d"), "id").alias("document_name"), F.lit("t").alias("text")), q_misc.scratch(spark, "none", "incoming-test"))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    rows = spark.read.parquet(folder)
+    assert rows.count() == 300 and rows.select(F.input_file_name()).distinct().count() == 11
+
+
+def test_text_corpus_is_read_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i}.txt").write_bytes(f"text {i}\r\nend".encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # as much as an opened file counts
+    try:
+        docs = files.read_text_corpus(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() <= 8
+        assert sorted(tuple(r) for r in docs.collect()) == sorted((f"d{i}.txt", f"text {i}\nend") for i in range(300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_passage_keys_leave_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from chunkwise.operators import passages
+
+    sizes = [400_000, 700_000, 10, 2_000_000, 0, 5, 600_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["x" * n for n in sizes])], ["dk", "text"])
+    pieces = list(passages._pieces(batch, 1))
+    assert [r for p in pieces for r in p.column(0).to_pylist()] == list(range(7))
+    chars = [[len(t) for t in p.column(1).to_pylist()] for p in pieces]
+    assert all(len(c) == 1 or sum(c) <= passages.PIECE_CHARS for c in chars) and len(pieces) >= 4
+    assert list(passages._pieces(batch.slice(0, 0), 1)) == []
