@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PART_ROWS = 4096  # vectors a task holds at a time
+PART_ROWS = 1 << 15  # vectors a task holds at a time; every query is sent once to each part that it visits
 CELL_ROWS = 4096  # vectors a cell should have, as long as MAX_CELLS allows it
 MAX_CELLS = 2048
-QUERIES_A_TASK = 1 << 16
+QUERIES_A_TASK = 1 << 14
 CHUNK = 256  # queries scored at a time
+BLOCK_ROWS = 4096  # vectors they are scored against at a time
 
 
 @dataclass
@@ -112,7 +113,55 @@ def cell_facts(rows: DataFrame, pivots: np.ndarray) -> Cells:
 
 
 Reach = Callable[[np.ndarray, np.ndarray | None], np.ndarray]  # (queries, their limits) -> bool per query and cell
-Scorer = Callable[[pa.RecordBatch, np.ndarray, pa.RecordBatch, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # numbers of queries and rows, values
+Score = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], Found]  # (queries, their vectors, reach, limits)
+Scorer = Callable[[pa.RecordBatch, np.ndarray], Score]  # (rows of a part, their cells)
+
+
+class Rows:
+    """Vectors in the order of their cells, in blocks for ``least``; ``at`` are their places in the part."""
+
+    def __init__(self, x: np.ndarray, cell: np.ndarray, at: np.ndarray):
+        order = np.argsort(cell, kind="stable")
+        self.x, self.cell, self.at = x[order], cell[order], at[order]
+        self.square = (self.x * self.x).sum(axis=1)
+        self.blocks = []
+        start = 0
+        for end in [*(np.flatnonzero(np.diff(self.cell)) + 1).tolist(), len(cell)]:  # the ends of cells
+            if self.blocks and end - self.blocks[-1][0] <= BLOCK_ROWS:
+                start = self.blocks.pop()[0]  # small cells share a block
+            self.blocks += [(s, min(s + BLOCK_ROWS, end)) for s in range(start, end, BLOCK_ROWS)]
+            start = end
+        self.held = [np.unique(self.cell[s:e]) for s, e in self.blocks]
+
+    def least(self, q: np.ndarray, seen: np.ndarray, k: int, limit: np.ndarray, slack: float = 0.0) -> Found:
+        """Per query the ``k`` least squared distances to rows of the cells it has ``seen``, with all others up to ``slack`` above them or ``limit``."""
+        own, limit = (q * q).sum(axis=1), limit.copy()
+        who, which, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for (s, e), held in zip(self.blocks, self.held):
+            some = seen[:, held]
+            asks = np.flatnonzero(some.any(axis=1))
+            if not len(asks):
+                continue
+            near = self.square[s:e] + own[asks][:, None] - 2.0 * (q[asks] @ self.x[s:e].T)
+            if not some[asks].all():
+                near[~seen[asks][:, self.cell[s:e]]] = np.inf
+            free = np.flatnonzero(np.isinf(limit[asks]))
+            if e - s > k and len(free):
+                limit[asks[free]] = np.partition(near[free], k - 1, axis=1)[:, k - 1]
+            most = np.minimum(limit[asks] + slack, np.finfo(np.float64).max)
+            i, j = np.nonzero(near <= most[:, None])
+            if not len(i):
+                continue
+            who, which, value = np.append(who, asks[i]), np.append(which, j + s), np.append(value, near[i, j])
+            order = np.lexsort((value, who))
+            who, which, value = who[order], which[order], value[order]
+            count = np.bincount(who, minlength=len(q))
+            full = np.flatnonzero(count >= k)
+            limit[full] = np.minimum(limit[full], value[(np.cumsum(count) - count)[full] + k - 1])
+            kept = value <= (limit + slack)[who]
+            who, which, value = who[kept], which[kept], value[kept]
+        return who, which, value
 
 
 def _routed(asked: DataFrame, cells: Cells, reach: Reach, dims: int) -> DataFrame:
@@ -143,8 +192,8 @@ def visit(
 
     ``asked`` has qid, qvec, theta (the limit handed to ``reach``) and may have
     qcat; ``rows`` are placed rows with keys, vec or code, cell, r and maybe cat.
-    ``score(rows, row cells, queries, query vectors, reach)`` yields (query,
-    rows, values).  With ``report`` the number of visits is put into it.
+    ``score`` gets the rows of a part once and returns what finds them for
+    queries.  With ``report`` the number of visits is put into it.
     """
     dims = cells.pivots.shape[1]
     routed = _routed(asked, cells, reach, dims)
@@ -160,23 +209,20 @@ def visit(
     come = routed.join(copies, "part", "left")
     come = come.withColumn("copy", F.pmod(F.xxhash64("qid"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
     both = held.withColumn("asks", F.lit(0)).unionByName(come.withColumn("asks", F.lit(1)), allowMissingColumns=True)
-    # a part's vectors come first, then its queries stream past them
-    ordered = both.repartition("part", "copy").sortWithinPartitions("part", "copy", "asks")
+    # a part's vectors come first, then its queries stream past them, those of a category together
+    ordered = both.repartition("part", "copy").sortWithinPartitions("part", "copy", "asks", *(["qcat"] if "qcat" in asked.columns else []))
     names, kinds = ordered.columns, {f.name: f.dataType for f in ordered.schema.fields}
     schema = T.StructType([T.StructField("qid", kinds["qid"]), *[T.StructField(c, kinds[c]) for c in keys], T.StructField(out, T.DoubleType())])
 
-    def answer(part_rows: pa.RecordBatch, row_cells: np.ndarray, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def answer(part_rows: pa.RecordBatch, found: Score, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for s in range(0, queries.num_rows, CHUNK):
             piece = queries.slice(s, CHUNK)
             q = matrix(piece.column("qvec"), dims)
-            seen = reach(q, piece.column("theta").to_numpy(zero_copy_only=False))
-            who, which, value = [], [], []
-            for j, found, values in score(part_rows, row_cells, piece, q, seen):
-                who.append(np.full(len(found), j)), which.append(found), value.append(values)
-            if who:
-                taken = part_rows.take(pa.array(np.concatenate(which).astype(np.int64)))
-                ids = piece.column("qid").take(pa.array(np.concatenate(who).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, *[taken.column(c) for c in keys], pa.array(np.concatenate(value), pa.float64())], ["qid", *keys, out])
+            theta = piece.column("theta").to_numpy(zero_copy_only=False)
+            who, which, value = found(piece, q, reach(q, theta), theta)
+            if len(who):
+                ids, which = piece.column("qid").take(pa.array(who)), pa.array(which)
+                yield pa.RecordBatch.from_arrays([ids, *[part_rows.column(c).take(which) for c in keys], pa.array(value, pa.float64())], ["qid", *keys, out])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, pending, ready = None, [], None
@@ -194,7 +240,7 @@ def visit(
                     continue
                 if ready is None and pending:
                     whole = pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
-                    ready, pending = (whole, whole.column("cell").to_numpy(zero_copy_only=False)), []
+                    ready, pending = (whole, score(whole, whole.column("cell").to_numpy(zero_copy_only=False))), []
                 if ready is not None:
                     yield from answer(*ready, batch.slice(s, e - s))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwise.functions.vectors import l2_distance
-from chunkwise.operators.cells import Cells, cell_facts, distances, matrix, placed, visit
+from chunkwise.operators.cells import Cells, Rows, cell_facts, distances, matrix, placed, visit
 from chunkwise.operators.search import DEFAULT_K, RANK_DECIMALS, asked_queries
 
 SAMPLE_ROWS = 20_000
@@ -144,20 +144,22 @@ def _code_scorer(index: IvfIndex, best: int):
     """The ``best`` rows per query by the distance to what their codes stand for."""
     stretches, books, pivots = _stretches(index.dims, len(index.books)), index.books, index.cells.pivots
 
-    def score(rows, row_cells, asked, q, seen):
-        code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, len(books))
-        x = pivots[row_cells]
+    def prepare(part, cell):
+        code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, len(books))
+        x = pivots[cell]
         for i, (s, book) in enumerate(zip(stretches, books)):
             x[:, s] += book[code[:, i]]
-        near = distances(q, x)
-        for j in range(len(q)):
-            found = np.flatnonzero(seen[j][row_cells])
-            if len(found) > best:
-                found = found[np.argpartition(near[j, found], best - 1)[:best]]
-            if len(found):
-                yield j, found, near[j, found]
-
-    return score
+        rows = Rows(x, cell, np.arange(len(x)))
+
+        def score(asked, q, seen, theta):
+            who, which, near = rows.least(q, seen, best, theta)
+            rank = np.arange(len(who)) - np.searchsorted(who, who)  # of a query's rows, nearest first
+            few = rank < best
+            return who[few], rows.at[which[few]], np.sqrt(np.maximum(near[few], 0.0))
+
+        return score
+
+    return prepare
 
 
 def search_index(

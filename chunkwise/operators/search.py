@@ -16,13 +16,15 @@ Ties are broken by the corpus key columns; NULL vectors never match.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwise.functions.vectors import l2_distance, vector_literal
 from chunkwise.operators import cells as cells_module
-from chunkwise.operators.cells import Cells, Scorer, cell_facts, distances, matrix, pivot_rows, placed, visit
+from chunkwise.operators.cells import Cells, Rows, Scorer, cell_facts, distances, matrix, pivot_rows, placed, visit
 from chunkwise.session import cut_lineage
 
 DEFAULT_K = 8
@@ -30,6 +32,7 @@ DEFAULT_K = 8
 # last bits (which differs between engines and summation orders) never decides
 # an order; remaining ties are broken by the key columns.
 RANK_DECIMALS = 9
+STEP = 1 << 16  # candidates whose distances are computed at a time
 
 
 def category_filter(category: str | None, col: str = "category") -> Column | None:
@@ -91,32 +94,52 @@ def search(
 def _exact_scorer(k: int, key_cols: list[str], dims: int, category: bool) -> Scorer:
     """Top-k rows per query among the rows of the cells that it reaches."""
 
-    def score(rows, row_cells, asked, q, seen):
-        x = matrix(rows.column("vec"), dims)
-        square = (x * x).sum(axis=1)
-        keys = list(zip(*[rows.column(c).to_pylist() for c in key_cols]))
-        holders: dict[str, list[int]] = {}
+    def prepare(part, cell):
+        x, places = matrix(part.column("vec"), dims), np.arange(part.num_rows)
+        by_key = pc.sort_indices(pa.table({c: part.column(c) for c in key_cols}), [(c, "ascending") for c in key_cols], null_placement="at_start")
+        place_of = np.empty(len(x), np.int64)
+        place_of[by_key.to_numpy()] = places
+        holders: dict[str | None, list[int]] = {}
         if category:
-            for i, names in enumerate(rows.column("cat").to_pylist()):
+            for i, names in enumerate(part.column("cat").to_pylist()):
                 for name in set(names or ()):
                     holders.setdefault(name, []).append(i)
-        near = square + (q * q).sum(axis=1)[:, None] - 2.0 * (q @ x.T)
-        tol = 1e-6 * (square.max() + (q * q).sum(axis=1).max() + 1.0)
-        wanted = asked.column("qcat").to_pylist() if category else [None] * len(q)
-        for j, name in enumerate(wanted):
-            rows_seen = np.flatnonzero(seen[j][row_cells])
-            if name:
-                rows_seen = np.intersect1d(rows_seen, holders.get(name, []))
-            if not len(rows_seen):
-                continue
-            column = near[j, rows_seen]
-            if len(rows_seen) > k:
-                rows_seen = rows_seen[column <= np.partition(column, k - 1)[k - 1] + tol]
-            exact = np.sqrt(((x[rows_seen] - q[j]) ** 2).sum(axis=1))
-            ranked = sorted((round(float(d), RANK_DECIMALS), keys[i], i, d) for i, d in zip(rows_seen, exact))[:k]
-            yield j, np.array([r[2] for r in ranked]), np.array([r[3] for r in ranked])
-
-    return score
+        last = {}  # the category that was asked for last; queries come by category
+
+        def rows_of(name):
+            if name not in last:
+                last.clear()
+                at = np.array(holders.get(name, []), np.int64) if name else places
+                last[name] = Rows(x[at], cell[at], at) if len(at) else None
+            return last[name]
+
+        def nearest(rows, q, seen, theta):
+            slack = 1e-6 * (rows.square.max() + (q * q).sum(axis=1).max() + 1.0)
+            who, which, _ = rows.least(q, seen, k, theta * theta, slack)
+            which = rows.at[which]
+            exact = np.concatenate([np.zeros(0), *[
+                np.sqrt(((x[which[s : s + STEP]] - q[who[s : s + STEP]]) ** 2).sum(axis=1)) for s in range(0, len(who), STEP)
+            ]])
+            rounded = np.array([round(d, RANK_DECIMALS) for d in exact.tolist()])
+            order = np.lexsort((place_of[which], rounded, who))
+            who, which, exact = who[order], which[order], exact[order]
+            first = np.searchsorted(who, who)  # where the query's rows begin
+            best = np.arange(len(who)) - first < k
+            return who[best], which[best], exact[best]
+
+        def score(asked, q, seen, theta):
+            names = np.array([name or None for name in asked.column("qcat").to_pylist()] if category else [None] * len(q), object)
+            out = []
+            for name in dict.fromkeys(names.tolist()):
+                some, rows = np.flatnonzero(names == name), rows_of(name)
+                if rows is not None:
+                    who, which, exact = nearest(rows, q[some], seen[some], theta[some])
+                    out.append((some[who], which, exact))
+            return tuple(np.concatenate(c) for c in zip(*out)) if out else (places[:0], places[:0], np.zeros(0))
+
+        return score
+
+    return prepare
 
 
 def _nearest_only(pivots: np.ndarray):

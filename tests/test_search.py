@@ -266,3 +266,41 @@ def test_products_are_embedded_once_and_stored(spark):
         found = embedded_products(spark, "/root/testdata/sf0.001")
         assert "md5" not in found._jdf.queryExecution().executedPlan().toString()
         assert all("products_embedded" in f for f in found.inputFiles())
+
+
+def test_scorer_keeps_ties_limits_and_categories(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from chunkwise.operators import cells
+    from chunkwise.operators.search import _exact_scorer
+
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
+    rnd = np.random.default_rng(5)
+    x = np.repeat(rnd.integers(0, 3, (30, 4)).astype(float), 4, axis=0)[rnd.permutation(120)]
+    cell = rnd.integers(0, 9, 120).astype(np.int32)
+    names = [[["a"], ["a", "b"], [], None][i % 4] for i in range(120)]
+    ids = [None if i == 17 else (i * 77) % 120 for i in range(120)]
+    part = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x.tolist()), pa.array(names)], ["id", "vec", "cat"])
+    score = _exact_scorer(5, ["id"], 4, True)(part, cell)
+    q, asked = rnd.integers(0, 3, (12, 4)).astype(float), ["a", "b", None, "none"] * 3
+    seen = rnd.random((12, 9)) < 0.6
+    theta = np.where(np.arange(12) % 2 == 0, np.inf, 2.0)
+    who, which, value = score(pa.RecordBatch.from_arrays([pa.array(asked)], ["qcat"]), q, seen, theta)
+    for j, name in enumerate(asked):
+        fit = [i for i in range(120) if seen[j, cell[i]] and (name is None or name in (names[i] or ()))]
+        far = lambda i: float(np.sqrt(((x[i] - q[j]) ** 2).sum()))
+        want = sorted(fit, key=lambda i: (round(far(i), 9), -1 if ids[i] is None else ids[i]))[:5]
+        got = which[who == j].tolist()
+        near = [i for i in want if far(i) <= theta[j]]
+        assert got[: len(near)] == near and set(got) <= set(want)
+        assert np.allclose(value[who == j], [far(i) for i in got])
+
+
+def test_vectors_and_queries_travel_to_few_parts(spark):
+    """Queries are copied once per part: the default part holds tens of thousands of vectors."""
+    rows = spark.range(20_000).selectExpr("id AS vec_id", "array(cast(id % 199 AS double), cast(id % 101 AS double)) AS embedding")
+    report = {}
+    found = knn_join(rows.where("vec_id < 50").selectExpr("vec_id AS query_id", "embedding AS query_vec"), rows, 2, keys=("vec_id",), report=report)
+    assert found.where("rank = 1 AND distance = 0 AND query_id = vec_id").count() == 50
+    assert report["visits"] <= 2 * 50
