@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import logging
 import os
+import re
 import uuid
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkwise.session import cut_lineage
 from chunkwise.sources.json_elements import RANGE_BYTES, json_elements
 
 # The catalogue CSV header.
@@ -27,7 +31,10 @@ PRODUCT_CSV_SCHEMA = T.StructType([
     T.StructField("PrimaryColor", T.StringType()),
 ])
 
-SPLITS_A_TASK, BYTES_A_TASK = 64, 64 << 20  # most that a task reads of a text corpus
+SPLITS_A_TASK, BYTES_A_TASK = 64, 64 << 20  # most that a task reads of a text corpus in a store that only Spark reads
+LOT_FILES, LOT_BYTES, LOTS_A_TASK = 256, 4 << 20, 16  # files that leave a task together, a larger one alone; lots a task
+# what java.net.URI quotes in a path, as _metadata.file_name shows it
+QUOTED = "[\x00-\x20\"#%<>?\\[\\\\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 ANNOTATION_STRUCT = "array<struct<category:string,start_char:int,end_char:int,text:string>>"
 
@@ -77,7 +84,11 @@ def write_products_csv(products: DataFrame, path: str, mode: str = "overwrite")
 
 
 def read_text_corpus(spark: SparkSession, directory: str, glob: str = "*.txt") -> DataFrame:
-    """One row per ``*.txt`` file of ``directory`` (not recursive): (document_name, text).
+    """One row per ``*.txt`` file of ``directory`` (not recursive, empty files left out): (document_name, text).
+
+    The files are those of the folder now; tasks list and read them, the driver
+    holds none of their names.  Only of a store that pyarrow does not open,
+    Spark's reader lists the files on the driver.
 
     ``\\r\\n`` and ``\\r`` become ``\\n`` (Python text mode does the same, and
     every offset depends on it).  A missing directory raises.
@@ -86,16 +97,92 @@ def read_text_corpus(spark: SparkSession, directory: str, glob: str = "*.txt") -
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
         raise FileNotFoundError(f"corpus directory not found: {directory}")
+    where = fs.makeQualified(jvm_path)
+    where = where.toUri().getPath() if where.toUri().getScheme() == "file" else where.toString()
+    raw = _listed_texts(spark, where, glob) if _opened_by_pyarrow(where) else _scanned_texts(spark, directory, glob)
+    return raw.select(
+        "document_name",
+        F.regexp_replace(F.col("value"), "\r\n?", "\n").alias("text"),
+    )
+
+
+def _scanned_texts(spark: SparkSession, directory: str, glob: str) -> DataFrame:
     raw = spark.read.option("pathGlobFilter", glob).text(directory, wholetext=True)
     # Spark adds spark.sql.files.openCostInBytes to every file, so that a split holds a handful of small ones
     size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     raw = raw.coalesce(max(spark.sparkContext.defaultParallelism, -(-raw.rdd.getNumPartitions() // SPLITS_A_TASK), -(-size // BYTES_A_TASK)))
-    return raw.select(
-        F.col("_metadata.file_name").alias("document_name"),
-        F.regexp_replace(F.col("value"), "\r\n?", "\n").alias("text"),
+    return raw.select(F.col("_metadata.file_name").alias("document_name"), "value")
+
+
+def _listed_texts(spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    """The files' texts, read by tasks from a stored listing that one task wrote."""
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()  # as pathGlobFilter has it
+    lots = cut_lineage(spark.range(0, 1, 1, 1).mapInArrow(_lots_fn(directory, pattern), "names array<string>"))
+    n = lots.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // LOTS_A_TASK))
+    return lots.repartition(max(1, min(n, tasks))).mapInArrow(_texts_fn(directory), "document_name string, content binary").select(
+        "document_name", F.col("content").cast("string").alias("value")
     )
 
 
+def _opened_by_pyarrow(directory: str) -> bool:
+    from pyarrow import fs as pafs
+
+    try:
+        fs, root = _fs_and_root(directory)
+        return fs.get_file_info(root).type == pafs.FileType.Directory
+    except (OSError, pa.ArrowException):  # a scheme it does not know, a client library that is not there
+        return False
+
+
+def _files_of(directory: str):
+    """(name, bytes) of the files of a folder; a local one is never held as a whole."""
+    from pyarrow import fs as pafs
+
+    fs, root = _fs_and_root(directory)
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(root) as entries:
+            yield from ((e.name, e.stat().st_size) for e in entries if e.is_file())
+    else:
+        yield from ((i.base_name, i.size) for i in fs.get_file_info(pafs.FileSelector(root)) if i.type == pafs.FileType.File)
+
+
+def _lots_fn(directory: str, pattern: str):
+    def lots(batches):
+        wanted, names, held = re.compile(pattern, re.S), [], 0
+        passed_on = lambda: pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string()))], ["names"])
+        for _ in batches:
+            for name, size in _files_of(directory):
+                hidden = name[0] == "." or (name[0] == "_" and "=" not in name) or name.endswith("._COPYING_")
+                if hidden or not size or not wanted.fullmatch(name):  # as Spark's file sources do
+                    continue
+                if names and (len(names) == LOT_FILES or held + size > LOT_BYTES):
+                    yield passed_on()
+                    names, held = [], 0
+                names.append(name)
+                held += size
+        if names:
+            yield passed_on()
+
+    return lots
+
+
+def _texts_fn(directory: str):
+    def texts(batches):
+        fs, root = _fs_and_root(directory)
+        quoted = re.compile(QUOTED)
+        for batch in batches:
+            for names in batch.column(0).to_pylist():
+                contents = []
+                for name in names:
+                    with fs.open_input_stream(f"{root}/{name}") as file:
+                        contents.append(file.read())
+                names = [quoted.sub(lambda m: quote(m[0], safe=""), n) for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["document_name", "content"])
+
+    return texts
+
+
 def invalid_utf8_count(spark: SparkSession, directory: str, glob: str = "*.txt") -> DataFrame:
     """Files whose bytes are not valid UTF-8 (the reference would raise on them)."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)

@@ -458,6 +458,48 @@ def test_text_corpus_is_read_by_few_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def _odd_corpus(folder):
+    """Files of many kinds, and what of them the corpus has."""
+    texts = {f"d{i}.txt": f"text {i}".encode() for i in range(40)}
+    texts |= {"a b%20+é{x}.txt": "\ufeffé\r\n\r\n".encode(), "cr.txt": b"\r", "bad.txt": b"\xff\r\xfe", "_k=v.txt": b"k", "long.txt": b"x\r\n" * 5000}
+    left_out = {"empty.txt": b"", ".hidden.txt": b"h", "_under.txt": b"u", "_metadata.txt": b"m", "d.md": b"o", "d.txt.1.part": b"p", "D.TXT": b"c", "d.txt\n": b"n"}
+    for name, text in {**texts, **left_out}.items():
+        (folder / name).write_bytes(text)
+    (folder / "folder.txt").mkdir()
+    (folder / "folder.txt" / "inner.txt").write_bytes(b"inner")
+    (folder / "link.txt").symlink_to(folder / "d1.txt")
+    texts["link.txt"] = texts["d1.txt"]
+    odd = "a b%20+é{x}.txt"
+    texts[odd.replace("%", "%25").replace(" ", "%20").replace("{", "%7B").replace("}", "%7D")] = texts.pop(odd)  # as Spark shows it
+    return sorted((n, t.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")) for n, t in texts.items())
+
+
+def test_text_corpus_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no names of the corpus' files, and the rows are those of Spark's own reader."""
+    expected = _odd_corpus(tmp_path)
+    monkeypatch.setattr(files, "LOT_FILES", 7, raising=False)
+    monkeypatch.setattr(files, "LOT_BYTES", 100, raising=False)
+    monkeypatch.setattr(files, "LOTS_A_TASK", 2, raising=False)
+    docs = files.read_text_corpus(spark, str(tmp_path))
+    assert docs.inputFiles() == []
+    (tmp_path / "later.txt").write_bytes(b"not there when the folder was listed")
+    assert docs.rdd.getNumPartitions() >= 4 and sorted(tuple(r) for r in docs.collect()) == expected
+    (tmp_path / "later.txt").unlink()
+    by_spark = files._scanned_texts(spark, str(tmp_path), "*.txt")
+    assert sorted(tuple(r) for r in by_spark.select("document_name", F.regexp_replace("value", "\r\n?", "\n")).collect()) == expected
+    names = sorted(n for n, _ in expected if n in ("cr.txt", "d1.txt", "d2.txt"))
+    assert sorted(r.document_name for r in files.read_text_corpus(spark, f"file:{tmp_path}/", "{cr,d[12]}.t?t").collect()) == names
+    (tmp_path / "none").mkdir()
+    assert files.read_text_corpus(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_text_corpus_of_a_store_that_only_spark_reads(spark, tmp_path):
+    expected = _odd_corpus(tmp_path)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.corpus.link./in", f"file://{tmp_path}")
+    docs = files.read_text_corpus(spark, "viewfs://corpus/in")
+    assert sorted(tuple(r) for r in docs.collect()) == expected
+
+
 def test_passage_keys_leave_in_bounded_batches():
     import numpy as np
     import pyarrow as pa
